@@ -41,14 +41,24 @@ class Departures:
     hot_rows: int = 2_000_000
 
 
-def _long(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None) -> DataFrame:
-    """One row per value: source, load, by, column (position of the contract), text mask, number."""
+def _mask_of(column: Column, numeric: bool) -> Column:
+    """``mask`` of the column's text. The text of a number has few kinds of characters, so one pattern does for it."""
+    text = column.cast("string")
+    if not numeric:
+        return mask(text)
+    digits = F.translate(F.regexp_replace(text, "[0-9]+", "9"), "E", "a")
+    return F.when(digits.isin("NaN", "Infinity"), "a").when(digits == "-Infinity", "-a").otherwise(digits)
+
+
+def _long(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None, masks: bool = True) -> DataFrame:
+    """One row per value: source, load, by, column (position of the contract), text mask (if ``masks``), number."""
     cells = []
     for i, c in enumerate(contracts):
-        text = df[c.name].cast("string")
-        m = mask(text)
-        number = df[c.name].cast("double") if c.masks is None else F.when(m.isin(*c.masks), F.expr(f"try_cast(`{c.name}` AS double)"))
-        cells.append(F.struct(F.lit(i).alias("column"), m.alias("mask"), F.when(~F.isnan(number), number).alias("number")))
+        value = df[c.name]
+        m = _mask_of(value, c.masks is None)
+        number = value.cast("double") if c.masks is None else F.when(m.isin(*c.masks), F.expr(f"try_cast(`{c.name}` AS double)"))
+        fields = [F.lit(i).alias("column"), F.when(~F.isnan(number), number).alias("number")]
+        cells.append(F.struct(*fields, *([m.alias("mask")] if masks else [])))
     keys = [df[source].alias("source"), df[load].alias("load"), (df[by] if by else F.lit("")).cast("string").alias("by")]
     return df.select(*keys, F.explode(F.array(*cells)).alias("cell")).select("source", "load", "by", "cell.*")
 
@@ -137,7 +147,7 @@ def load_profile(df: DataFrame, contracts: list[ColumnContract], source: str, lo
         F.max("most").alias("most"),
     )
     distinct = (
-        _long(df, contracts, source, load, by).where(F.col("number").isNotNull())
+        _long(df, contracts, source, load, by, masks=False).where(F.col("number").isNotNull())
         .groupBy("source", "load", "column").agg(F.countDistinct("number").alias("n_distinct"))
     )
     return cells.join(distinct, ["source", "load", "column"], "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
@@ -217,7 +227,7 @@ def far_counts(df: DataFrame, contracts: list[ColumnContract], source: str, load
     median of every load from two sorts, without pairing loads with values. Only values ranked around the middle can be such
     medians, and only they are looked up.
     """
-    values = _long(df, contracts, source, load, by).where(F.col("number").isNotNull()).select("source", "by", "column", "load", "number")
+    values = _long(df, contracts, source, load, by, masks=False).where(F.col("number").isNotNull()).select("source", "by", "column", "load", "number")
     ranked = _ranked(values, limits)
     rest = F.col("n_all") - F.col("n_load")
     lower, upper = F.floor((rest + 1) / 2), F.floor(rest / 2) + 1
