@@ -95,40 +95,43 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
             return (F.col("high") < F.col("open")) | (F.col("high") < F.col("close"))
         return F.col(c) < 0
 
-    month = F.trunc("trade_date", "month")
-    sketches = (
-        runs.select("source", "ticker", month.alias("context"), F.explode(F.array(*(F.struct(F.lit(c).alias("field"), (F.col(f"x_{c}") - F.col(f"lag1_{c}")).alias("change"), F.col(f"same_{c}").alias("same")) for c in names))).alias("s"))
-        .select("source", "ticker", "context", "s.*")
-        .groupBy("source", "ticker", "field", "context")
-        .agg(F.kll_sketch_agg_double("change").alias("sketch"), F.count("change").alias("n"), F.sum("same").alias("same"), F.count(F.lit(1)).alias("bars"))
-    )
-    width = lambda s: F.greatest(F.kll_sketch_get_quantile_double(s, F.lit(0.75)) - F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.lit(rules.least_range))
-    contexts = sketches.select("source", "ticker", "field", "context", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("context_range"))
-    series = (
-        sketches.groupBy("source", "ticker", "field")
-        .agg(F.kll_merge_agg_double(F.when(F.col("n") > 0, F.col("sketch"))).alias("sketch"), F.sum("n").alias("n"), (F.sum("same") / F.sum("bars")).alias("still"))
-        .select("source", "ticker", "field", "still", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("series_range"))
-    )
+    # one generator for both uses below, so that the bars are brought together once
     cell = [
         F.struct(
             F.lit(c).alias("field"),
+            (F.col(f"x_{c}") - F.col(f"lag1_{c}")).alias("change"),
+            F.col(f"same_{c}").alias("same"),
             impossible(c).alias("impossible"),
             (F.greatest(margin(c, False), margin(c, True)) if rules.fences[c].down else margin(c, False)).alias("margin"),
             F.col(f"hung_{c}").alias("hung"),
         )
         for c in names
     ]
-    fence = lambda k: F.coalesce(*(F.when(F.col("field") == c, F.lit(float(getattr(rules.fences[c], k)))) for c in names))
-    floor = reduce(lambda a, b: a | b, ((F.col("field") == c) & (F.col("margin") > max(f.change, f.series * rules.least_range)) for c, f in rules.fences.items()))
-    cells = runs.select("source", "ticker", "trade_date", month.alias("context"), F.explode(F.array(*cell)).alias("c")).select("source", "ticker", "trade_date", "context", "c.*")
+    cells = runs.select("source", "ticker", "trade_date", F.trunc("trade_date", "month").alias("context"), F.explode(F.array(*cell)).alias("c")).select(
+        "source", "ticker", "trade_date", "context", "c.*"
+    )
+    width = lambda s: F.greatest(F.kll_sketch_get_quantile_double(s, F.lit(0.75)) - F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.lit(rules.least_range))
     key = ["source", "ticker", "field"]
-    candidates = cells.where(floor | F.col("hung") | F.col("impossible")).alias("a")
-    same = lambda a, b, keys: reduce(lambda p, q: p & q, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
-    judged = (
-        candidates.join(series.alias("s"), same("a", "s", key))
-        .join(contexts.alias("m"), same("a", "m", [*key, "context"]))
-        .select("a.*", "s.still", "s.series_range", "m.context_range")
+    sketches = cells.groupBy(*key, "context").agg(
+        F.kll_sketch_agg_double("change").alias("sketch"), F.count("change").alias("n"), F.sum("same").alias("same"), F.count(F.lit(1)).alias("bars")
+    )
+    known = sketches.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
+    # a list of a series' contexts has a row a month
+    fences = (
+        known.groupBy(*key)
+        .agg(
+            F.kll_merge_agg_double("sketch").alias("sketch"),
+            F.sum("n").alias("n"),
+            (F.sum("same") / F.sum("bars")).alias("still"),
+            F.map_from_entries(F.collect_list(F.struct("context", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("range")))).alias("contexts"),
+        )
+        .select(*key, "still", "contexts", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("series_range"))
     )
+    fence = lambda k: F.coalesce(*(F.when(F.col("field") == c, F.lit(float(getattr(rules.fences[c], k)))) for c in names))
+    floor = reduce(lambda a, b: a | b, ((F.col("field") == c) & (F.col("margin") > max(f.change, f.series * rules.least_range)) for c, f in rules.fences.items()))
+    candidates = cells.where(floor | F.col("hung") | F.col("impossible")).select(*key, "trade_date", "context", "impossible", "margin", "hung")
+    on = reduce(lambda p, q: p & q, (F.col(f"a.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key))
+    judged = candidates.alias("a").join(fences.alias("f"), on).select("a.*", "f.still", "f.series_range", F.try_element_at("f.contexts", F.col("a.context")).alias("context_range"))
     spike = floor & (F.col("margin") > fence("series") * F.col("series_range")) & (F.col("margin") > fence("context") * F.coalesce("context_range", "series_range"))
     reasons = F.array_compact(F.array(F.when(F.col("impossible"), F.lit("impossible")), F.when(spike, F.lit("spike")), F.when(F.col("hung") & (F.col("still") < rules.still), F.lit("hangs"))))
     return judged.select("source", "ticker", "trade_date", "field", F.explode(reasons).alias("reason"))
