@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from pitloom.functions.safe import clip, ratio
+from pitloom.functions.safe import ratio
 
 
 def by_date(*keys: str, date: str = "trade_date") -> WindowSpec:
@@ -33,25 +33,6 @@ def volatility(r: Column, w: WindowSpec, n: int, per_year: int = 252) -> Column:
     return F.when(F.count(r).over(last) == n, F.stddev_samp(r).over(last) * F.sqrt(F.lit(float(per_year))))
 
 
-def _paired(x: Column, y: Column) -> tuple[Column, Column]:
-    both = x.isNotNull() & y.isNotNull()
-    return F.when(both, x), F.when(both, y)
-
-
-def beta(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
-    """Slope of x on y over the last n rows; null unless n rows have both."""
-    a, b = _paired(x, y)
-    last = last_rows(w, n)
-    return F.when(F.count(a).over(last) == n, ratio(F.covar_samp(a, b).over(last), F.var_samp(b).over(last)))
-
-
-def correlation(x: Column, y: Column, w: WindowSpec, n: int) -> Column:
-    a, b = _paired(x, y)
-    last = last_rows(w, n)
-    sd = F.stddev_samp(a).over(last) * F.stddev_samp(b).over(last)
-    return F.when(F.count(a).over(last) == n, clip(ratio(F.covar_samp(a, b).over(last), sd), -1.0, 1.0))
-
-
 def wilder_rsi(change: Column, position: Column, w: WindowSpec, n: int = 14) -> Column:
     """Relative strength index with Wilder's recursive averages (weight 1/n, first change in full).
 

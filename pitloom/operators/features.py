@@ -45,8 +45,19 @@ def add_market_features(panel: DataFrame, s: FeatureSettings = FeatureSettings()
     market = panel.where("is_benchmark").groupBy("trade_date").agg(F.max("px_ret_1d").alias("_market"))
     w = W.by_date("ticker")
     x, m = F.col("px_ret_1d"), F.col("_market")
-    joined = panel.join(market, "trade_date", "left").select(*panel.columns, "_market")
-    return joined.select("*", W.beta(x, m, w, s.long).alias(f"mkt_beta_{s.long}d"), W.correlation(x, m, w, s.long).alias(f"mkt_corr_{s.long}d")).drop("_market")
+    both = x.isNotNull() & m.isNotNull()
+    joined = panel.join(market, "trade_date", "left").select(*panel.columns, F.when(both, x).alias("_x"), F.when(both, m).alias("_m"))
+    last = W.last_rows(w, s.long)
+    # each moment once, over one frame
+    moments = joined.select(
+        "*", F.count("_x").over(last).alias("_n"), F.covar_samp("_x", "_m").over(last).alias("_xm"), F.var_samp("_x").over(last).alias("_xx"), F.var_samp("_m").over(last).alias("_mm")
+    )
+    full = F.col("_n") == s.long
+    return moments.select(
+        *panel.columns,
+        F.when(full, ratio(F.col("_xm"), F.col("_mm"))).alias(f"mkt_beta_{s.long}d"),
+        F.when(full, clip(ratio(F.col("_xm"), F.sqrt(F.col("_xx")) * F.sqrt(F.col("_mm"))), -1.0, 1.0)).alias(f"mkt_corr_{s.long}d"),
+    )
 
 
 def add_cross_sectional_features(panel: DataFrame, s: FeatureSettings = FeatureSettings()) -> DataFrame:

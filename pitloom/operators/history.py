@@ -28,6 +28,9 @@ class Snapshots:
     valid_from: str = "valid_from"
     valid_to: str = "valid_to"
 
+    def names(self) -> list[str]:
+        return [self.key, self.date, self.delivered, *self.attributes, self.valid_from, self.valid_to]
+
 
 def versions(raw: DataFrame, columns: Snapshots = Snapshots()) -> DataFrame:
     """(key, version, attributes..., valid_from, valid_to): the whole chain of every key in ``raw``; valid_to null is open.
@@ -72,10 +75,12 @@ def versions(raw: DataFrame, columns: Snapshots = Snapshots()) -> DataFrame:
 def rebuild_touched(history: DataFrame, raw: DataFrame, updates: DataFrame, columns: Snapshots = Snapshots()) -> DataFrame:
     """The history after ``updates``: chains of the touched keys anew from all their raw rows, all others as they are.
 
-    ``raw`` holds the rows known before; rows of ``updates`` may be late, corrected or repeated.
+    ``raw`` holds the rows known before; rows of ``updates`` may be late, corrected or repeated. Only the columns that
+    ``columns`` names are read.
     """
+    names = columns.names()
     touched = updates.select(columns.key).distinct()
-    theirs = raw.join(touched, columns.key, "left_semi").unionByName(updates)
+    theirs = raw.select(*names).join(touched, columns.key, "left_semi").unionByName(updates.select(*names))
     return history.join(touched, columns.key, "left_anti").unionByName(versions(theirs, columns))
 
 
@@ -103,7 +108,7 @@ class ChainStore:
         return spark.read.parquet(os.path.join(self.root, self.current(), part))
 
     def apply(self, updates: DataFrame) -> None:
-        spark, state = updates.sparkSession, uuid.uuid4().hex
+        spark, state, updates = updates.sparkSession, uuid.uuid4().hex, updates.select(*self.columns.names())
         folder = os.path.join(self.root, state)
         if self.current() is None:
             updates.write.parquet(f"{folder}/raw")

@@ -13,24 +13,29 @@ def as_known(events: DataFrame, changes: DataFrame, keys: list[str], event_date:
     ``changes`` has one row per (keys, change_date). Each change gets its number in the key's order; each (keys, date) that
     events or changes have gets the count of changes so far, over narrow distinct rows, one a date; events then join the
     wide attributes on equal keys and number. The sorted groups hold one row a date, however many events or repeated
-    changes a key has. Events with a null key or date know nothing. Names of the events' own columns are kept.
+    changes a key has. Events with a null key or date know nothing. The events' own columns are kept, but for any that is
+    already called ``known_<attribute>``.
     """
-    n = len(keys)
-    named = changes.where(F.col(change_date).isNotNull()).select(
-        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(change_date).alias("_at"), *(F.col(a).alias(f"known_{a}") for a in attributes)
+    ks = [f"k{i}" for i in range(len(keys))]
+    change = changes.where(F.col(change_date).isNotNull()).select(
+        *(F.col(k).alias(n) for k, n in zip(keys, ks)), F.col(change_date).alias("at"), *(F.col(a).alias(f"a{i}") for i, a in enumerate(attributes))
     )
-    ks = [f"_k{i}" for i in range(n)]
-    numbered = named.withColumn("_number", F.row_number().over(Window.partitionBy(*ks).orderBy("_at")).cast("long"))
+    numbered = change.withColumn("number", F.row_number().over(Window.partitionBy(*ks).orderBy("at")).cast("long"))
     dates = (
         events.where(F.col(event_date).isNotNull())
-        .select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(event_date).alias("_at"), F.lit(0).alias("_change"))
-        .unionByName(named.select(*ks, "_at", F.lit(1).alias("_change")))
-        .groupBy(*ks, "_at").agg(F.max("_change").alias("_change"))
+        .select(*(F.col(k).alias(n) for k, n in zip(keys, ks)), F.col(event_date).alias("at"), F.lit(0).alias("change"))
+        .unionByName(change.select(*ks, "at", F.lit(1).alias("change")))
+        .groupBy(*ks, "at").agg(F.max("change").alias("change"))
     )
-    counts = dates.select(*ks, F.col("_at").alias("_on"), F.sum("_change").over(Window.partitionBy(*ks).orderBy("_at")).alias("_count"))
-    first = events.join(counts, [events[k] == counts[f"_k{i}"] for i, k in enumerate(keys)] + [events[event_date] == counts["_on"]], "left").select(*(events[c] for c in events.columns), "_count")
-    return first.join(numbered, [first[k] == numbered[f"_k{i}"] for i, k in enumerate(keys)] + [first["_count"] == numbered["_number"]], "left").select(
-        *(first[c] for c in events.columns), *(f"known_{a}" for a in attributes)
+    counts = dates.select(*ks, "at", F.sum("change").over(Window.partitionBy(*ks).orderBy("at")).alias("number"))
+    known = [f"known_{a}" for a in attributes]
+    kept = [c for c in events.columns if c not in known]
+    # the events' own columns travel as one struct, so that none of their names can clash
+    e = events.select(*(F.col(k).alias(n) for k, n in zip(keys, ks)), F.col(event_date).alias("at"), F.struct(*(F.col(c) for c in kept)).alias("event"))
+    return (
+        e.join(counts, [*ks, "at"], "left").select(*ks, "number", "event")
+        .join(numbered.select(*ks, "number", *(f"a{i}" for i in range(len(attributes)))), [*ks, "number"], "left")
+        .select("event.*", *(F.col(f"a{i}").alias(n) for i, n in enumerate(known)))
     )
 
 

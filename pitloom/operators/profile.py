@@ -174,7 +174,8 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     """Adds bucket (0 but in hot groups), rank (in the group, by number), own (rank among the load's), n_all, n_load, n_most.
 
     n_most is the largest n_load of the group. Hot groups are cut at approximate quantiles into buckets that are ranked
-    alone; counts of the buckets before are added, so ranks stay exact.
+    alone; counts of the buckets before are added, so ranks stay exact. Buckets are drawn from the rows of the scan, in an
+    order that a task that is run again repeats.
     """
     hot, bound = _hot(values, limits)
     if not hot:
@@ -194,11 +195,14 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     at = [i / parts for i in range(1, parts)]
     edges = (
         values.join(F.broadcast(keys), _GROUP).groupBy(*_GROUP)
-        .agg(F.array_distinct(F.percentile_approx("number", at, 10_000)).alias("edges"))
+        .agg(F.percentile_approx("number", at, 10_000).alias("edges"))
     )
-    split = values.join(F.broadcast(edges), _GROUP, "left").withColumn(
-        "bucket", F.when(F.col("edges").isNull(), 0).otherwise(F.size(F.filter("edges", lambda e: e < F.col("number"))))
-    ).drop("edges")
+    # a value that is several edges at once has as many buckets: its rows, all equal, may be ranked in any order
+    low = F.size(F.filter("edges", lambda e: e < F.col("number")))
+    ties = F.size(F.filter("edges", lambda e: e == F.col("number")))
+    split = values.withColumn("pick", F.rand(7)).join(F.broadcast(edges), _GROUP, "left").withColumn(
+        "bucket", F.when(F.col("edges").isNull(), 0).otherwise(low + F.floor(F.col("pick") * (ties + 1)).cast("int"))
+    ).drop("edges", "pick")
     counts = split.groupBy(*_GROUP, "bucket", "load").agg(F.count(F.lit(1)).alias("n"))
     by_bucket = counts.groupBy(*_GROUP, "bucket").agg(F.sum("n").alias("n"))
     by_load = counts.groupBy(*_GROUP, "load").agg(F.sum("n").alias("n_load"))

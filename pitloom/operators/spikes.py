@@ -28,7 +28,7 @@ class Fence:
 @dataclass(frozen=True)
 class SpikeRules:
     fences: dict[str, Fence] = field(
-        default_factory=lambda: {"close": Fence(5.0, 2.5, down=True), "high": Fence(6.0, 3.0), "volume": Fence(2.7, 0.5, change=1.78)}
+        default_factory=lambda: {"close": Fence(5.0, 2.5, down=True), "high": Fence(6.0, 3.0), "volume": Fence(2.7, 0.5, change=1.82)}
     )
     #: An interquartile range below this is taken for this (a pegged price has none).
     least_range: float = 0.0005

@@ -76,7 +76,7 @@ cases AS (
   WHERE CASE field
     WHEN 'close' THEN greatest(up, down) > 5.0 * series_range AND greatest(up, down) > 2.5 * context_range
     WHEN 'high' THEN up > 6.0 * series_range AND up > 3.0 * context_range
-    ELSE up > 2.7 * series_range AND up > 0.5 * context_range AND up > 1.78 END
+    ELSE up > 2.7 * series_range AND up > 0.5 * context_range AND up > 1.82 END
 )"""
 
 _DAILY = """
