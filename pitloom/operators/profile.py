@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitloom.functions.masks import mask
+from pitloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -237,11 +238,14 @@ def far_counts(df: DataFrame, contracts: list[ColumnContract], source: str, load
     lower, upper = F.floor((rest + 1) / 2), F.floor(rest / 2) + 1
     under = F.col("rank") - F.col("own")
     whole_load = Window.partitionBy(*_GROUP, "load")
-    loads = (
+    near = F.abs(2 * F.col("rank") - F.col("n_all")) <= F.col("n_most") + 3
+    # one row a load and group, with its values and those of them that may be a median: sorted once, used three times
+    loads = cut(
         ranked.where(rest > 0)
         .groupBy(*_GROUP, "load", "bucket")
         .agg(
             F.collect_list("number").alias("numbers"),
+            F.collect_list(F.when(near, F.struct(F.col("rank").alias("at"), F.col("number").alias("found")))).alias("middle"),
             F.max(lower).alias("k_lower"),
             F.max(upper).alias("k_upper"),
             F.sum(F.when(under < lower, 1).otherwise(0)).alias("lower"),
@@ -249,13 +253,14 @@ def far_counts(df: DataFrame, contracts: list[ColumnContract], source: str, load
         )
         .withColumn("lower", F.col("k_lower") + F.sum("lower").over(whole_load))
         .withColumn("upper", F.col("k_upper") + F.sum("upper").over(whole_load))
+        .drop("k_lower", "k_upper")
     )
-    middle = ranked.where(F.abs(2 * F.col("rank") - F.col("n_all")) <= F.col("n_most") + 3).select(*_GROUP, F.col("rank").alias("at"), F.col("number").alias("found"))
+    middle = loads.select(*_GROUP, F.explode("middle").alias("m")).select(*_GROUP, "m.*")
     asked = loads.select(*_GROUP, "load", "lower", "upper").distinct().select(*_GROUP, "load", F.explode(F.array("lower", "upper")).alias("at"))
     medians = asked.join(middle, [*_GROUP, "at"]).groupBy(*_GROUP, "load").agg((F.sum("found") / F.count("found")).alias("median"))
     m, factor = F.col("median"), F.lit(limits.far_factor)
     far = F.size(F.filter("numbers", lambda v: (v > m * factor) | (v < m / factor)))
-    return loads.join(medians, [*_GROUP, "load"]).withColumn("far", far).groupBy("source", "load", "column").agg(F.sum("far").alias("n_far"))
+    return loads.drop("middle").join(medians, [*_GROUP, "load"]).withColumn("far", far).groupBy("source", "load", "column").agg(F.sum("far").alias("n_far"))
 
 
 def departures(
@@ -267,7 +272,7 @@ def departures(
     single load has no others, so only pattern and range can be found there; an empty table gives no rows; NaN counts as
     neither null nor value. Columns besides those named are not read.
     """
-    profile = load_profile(df, contracts, source, load, by)
+    profile = cut(load_profile(df, contracts, source, load, by))
     whole = profile.groupBy("source", "column").agg(*(F.sum(c).alias(f"{c}_all") for c in ("n_rows", "n_null", "n_values", "n_distinct")))
     far = far_counts(df, contracts, source, load, by, limits)
     others = lambda c: F.col(f"{c}_all") - F.col(c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,19 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with checkpoint(), in the shared folder of spark.checkpoint.dir.
+    """``df`` written once to the shared folder and read again: what is used more than once is computed once.
 
-    Only where no such folder is set (tests, a single machine) is one of our own used.
+    The folder is the one the cluster names in spark.checkpoint.dir, so the table outlives executors; only where none is set
+    (tests, a single machine) it is a temporary one of our own. The table is deleted when the session's JVM ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "pitloom-checkpoint"))
-    return df.checkpoint()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get() if known.isDefined() else os.path.join(tempfile.gettempdir(), "pitloom")
+    path = f"{root.rstrip('/')}/pitloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
