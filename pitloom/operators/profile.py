@@ -184,10 +184,10 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
         own = Window.partitionBy(*_GROUP, "load")
         return (
             values.withColumn("bucket", F.lit(0))
-            .withColumn("own", F.row_number().over(own.orderBy("number")))
-            .withColumn("n_load", F.count(F.lit(1)).over(own))
-            .withColumn("rank", F.row_number().over(whole.orderBy("number", "load", "own")))
+            .withColumn("rank", F.row_number().over(whole.orderBy("number", "load")))
             .withColumn("n_all", F.count(F.lit(1)).over(whole))
+            .withColumn("own", F.row_number().over(own.orderBy("rank")))
+            .withColumn("n_load", F.count(F.lit(1)).over(own))
             .withColumn("n_most", F.max("n_load").over(whole))
         )
     spark = values.sparkSession
@@ -213,8 +213,8 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     sizes = by_load.groupBy(*_GROUP).agg(F.sum("n_load").alias("n_all"), F.max("n_load").alias("n_most"))
     inner = Window.partitionBy(*_GROUP, "bucket")
     return (
-        split.withColumn("own", F.row_number().over(Window.partitionBy(*_GROUP, "bucket", "load").orderBy("number")))
-        .withColumn("rank", F.row_number().over(inner.orderBy("number", "load", "own")))
+        split.withColumn("rank", F.row_number().over(inner.orderBy("number", "load")))
+        .withColumn("own", F.row_number().over(Window.partitionBy(*_GROUP, "bucket", "load").orderBy("rank")))
         .join(offsets, [*_GROUP, "bucket"])
         .join(own_offsets, [*_GROUP, "bucket", "load"])
         .join(by_load, [*_GROUP, "load"])
