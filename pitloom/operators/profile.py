@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitloom.functions.masks import mask
+from pitloom.operators.ranks import bucket_edges, null_safe
 from pitloom.session import cut
 
 
@@ -38,7 +39,7 @@ class Departures:
     far_share: float = 0.5
     distinct: float = 1 / 3
     rare_mask: float = 0.005
-    #: A group of more values than this, and than 1/1000 of all, is split at its approximate quantiles before it is sorted.
+    #: A group of more values than this is split at its approximate quantiles before it is sorted.
     hot_rows: int = 2_000_000
 
 
@@ -85,9 +86,11 @@ def mask_profile(df: DataFrame, contracts: list[ColumnContract], source: str, lo
     masks = cells.groupBy("source", "column", "mask").agg(F.sum("n").alias("n_mask"))
     rest = F.nullif(F.col("n_source") - F.col("n_load"), F.lit(0))
     return (
-        cells.join(masks, ["source", "column", "mask"])
-        .join(loads, ["source", "load", "column"])
-        .join(whole, ["source", "column"])
+        cells.alias("c")
+        .join(masks.alias("m"), null_safe("c", "m", ["source", "column", "mask"]))
+        .join(loads.alias("l"), null_safe("c", "l", ["source", "load", "column"]))
+        .join(whole.alias("w"), null_safe("c", "w", ["source", "column"]))
+        .select("c.*", "m.n_mask", "l.n_load", "w.n_source")
         .select(
             "source",
             "load",
@@ -151,26 +154,13 @@ def load_profile(df: DataFrame, contracts: list[ColumnContract], source: str, lo
         _long(df, contracts, source, load, by, masks=False).where(F.col("number").isNotNull())
         .groupBy("source", "load", "column").agg(F.countDistinct("number").alias("n_distinct"))
     )
-    return cells.join(distinct, ["source", "load", "column"], "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
+    joined = cells.alias("c").join(distinct.alias("d"), null_safe("c", "d", ["source", "load", "column"]), "left")
+    return joined.select("c.*", F.coalesce("d.n_distinct", F.lit(0)).alias("n_distinct"))
 
 
 _GROUP = ["source", "by", "column"]
 
 
-def _hot(values: DataFrame, limits: Departures) -> tuple[list, int]:
-    """The groups too large for one task and the size they are cut to.
-
-    A group counts as hot beyond ``hot_rows`` and a thousandth of all values, so there are at most 1000, whatever the size
-    of the table, and the driver can hold them.
-    """
-    counts = values.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n"))
-    large = counts.where(F.col("n") > limits.hot_rows)
-    if not large.take(1):
-        return [], limits.hot_rows
-    bound = max(limits.hot_rows, values.count() // 1000)
-    return large.where(F.col("n") > bound).collect(), bound
-
-
 def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     """Adds bucket (0 but in hot groups), rank (in the group, by number), own (rank among the load's), n_all, n_load, n_most.
 
@@ -178,8 +168,8 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     alone; counts of the buckets before are added, so ranks stay exact. Buckets are drawn from the rows of the scan, in an
     order that a task that is run again repeats.
     """
-    hot, bound = _hot(values, limits)
-    if not hot:
+    edges = bucket_edges(values, _GROUP, "number", limits.hot_rows)
+    if edges is None:
         whole = Window.partitionBy(*_GROUP)
         own = Window.partitionBy(*_GROUP, "load")
         return (
@@ -190,20 +180,11 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
             .withColumn("n_load", F.count(F.lit(1)).over(own))
             .withColumn("n_most", F.max("n_load").over(whole))
         )
-    spark = values.sparkSession
-    parts = max(2, max(-(-r["n"] // bound) for r in hot))
-    keys = spark.createDataFrame([(r["source"], r["by"], r["column"]) for r in hot], "source string, by string, column int")
-    at = [i / parts for i in range(1, parts)]
-    edges = (
-        values.join(F.broadcast(keys), _GROUP).groupBy(*_GROUP)
-        .agg(F.percentile_approx("number", at, 10_000).alias("edges"))
-    )
     # a value that is several edges at once has as many buckets: its rows, all equal, may be ranked in any order
-    low = F.size(F.filter("edges", lambda e: e < F.col("number")))
-    ties = F.size(F.filter("edges", lambda e: e == F.col("number")))
-    split = values.withColumn("pick", F.rand(7)).join(F.broadcast(edges), _GROUP, "left").withColumn(
-        "bucket", F.when(F.col("edges").isNull(), 0).otherwise(low + F.floor(F.col("pick") * (ties + 1)).cast("int"))
-    ).drop("edges", "pick")
+    low = F.size(F.filter("_edges", lambda e: e < F.col("number")))
+    ties = F.size(F.filter("_edges", lambda e: e == F.col("number")))
+    drawn = values.withColumn("pick", F.rand(7)).alias("v").join(edges.alias("e"), null_safe("v", "e", _GROUP), "left").select("v.*", "e._edges")
+    split = drawn.withColumn("bucket", F.when(F.col("_edges").isNull(), 0).otherwise(low + F.floor(F.col("pick") * (ties + 1)).cast("int"))).drop("_edges", "pick")
     counts = split.groupBy(*_GROUP, "bucket", "load").agg(F.count(F.lit(1)).alias("n"))
     by_bucket = counts.groupBy(*_GROUP, "bucket").agg(F.sum("n").alias("n"))
     by_load = counts.groupBy(*_GROUP, "load").agg(F.sum("n").alias("n_load"))
@@ -215,10 +196,12 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     return (
         split.withColumn("rank", F.row_number().over(inner.orderBy("number", "load")))
         .withColumn("own", F.row_number().over(Window.partitionBy(*_GROUP, "bucket", "load").orderBy("rank")))
-        .join(offsets, [*_GROUP, "bucket"])
-        .join(own_offsets, [*_GROUP, "bucket", "load"])
-        .join(by_load, [*_GROUP, "load"])
-        .join(sizes, _GROUP)
+        .alias("r")
+        .join(offsets.alias("o"), null_safe("r", "o", [*_GROUP, "bucket"]))
+        .join(own_offsets.alias("p"), null_safe("r", "p", [*_GROUP, "bucket", "load"]))
+        .join(by_load.alias("l"), null_safe("r", "l", [*_GROUP, "load"]))
+        .join(sizes.alias("s"), null_safe("r", "s", _GROUP))
+        .select("r.*", "o.shift", "p.own_shift", "l.n_load", "s.n_all", "s.n_most")
         .withColumn("own", F.col("own") + F.col("own_shift"))
         .withColumn("rank", F.col("rank") + F.col("shift"))
     )
@@ -257,10 +240,12 @@ def far_counts(df: DataFrame, contracts: list[ColumnContract], source: str, load
     )
     middle = loads.select(*_GROUP, F.explode("middle").alias("m")).select(*_GROUP, "m.*")
     asked = loads.select(*_GROUP, "load", "lower", "upper").distinct().select(*_GROUP, "load", F.explode(F.array("lower", "upper")).alias("at"))
-    medians = asked.join(middle, [*_GROUP, "at"]).groupBy(*_GROUP, "load").agg((F.sum("found") / F.count("found")).alias("median"))
+    looked_up = asked.alias("a").join(middle.alias("m"), null_safe("a", "m", [*_GROUP, "at"])).select("a.*", "m.found")
+    medians = looked_up.groupBy(*_GROUP, "load").agg((F.sum("found") / F.count("found")).alias("median"))
     m, factor = F.col("median"), F.lit(limits.far_factor)
     far = F.size(F.filter("numbers", lambda v: (v > m * factor) | (v < m / factor)))
-    return loads.drop("middle").join(medians, [*_GROUP, "load"]).withColumn("far", far).groupBy("source", "load", "column").agg(F.sum("far").alias("n_far"))
+    own = loads.drop("middle").alias("l").join(medians.alias("m"), null_safe("l", "m", [*_GROUP, "load"])).select("l.*", "m.median")
+    return own.withColumn("far", far).groupBy("source", "load", "column").agg(F.sum("far").alias("n_far"))
 
 
 def departures(
@@ -270,7 +255,7 @@ def departures(
 
     Issues: null_rate, pattern, range, distribution, distinct. Repeated rows count as often as they come. A source with a
     single load has no others, so only pattern and range can be found there; an empty table gives no rows; NaN counts as
-    neither null nor value. Columns besides those named are not read.
+    neither null nor value; a null source, load or ``by`` is one of its own. Columns besides those named are not read.
     """
     profile = cut(load_profile(df, contracts, source, load, by))
     whole = profile.groupBy("source", "column").agg(*(F.sum(c).alias(f"{c}_all") for c in ("n_rows", "n_null", "n_values", "n_distinct")))
@@ -286,7 +271,9 @@ def departures(
     }
     issues = F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())))
     return (
-        profile.join(whole, ["source", "column"])
-        .join(far, ["source", "load", "column"], "left")
+        profile.alias("p")
+        .join(whole.alias("w"), null_safe("p", "w", ["source", "column"]))
+        .join(far.alias("f"), null_safe("p", "f", ["source", "load", "column"]), "left")
+        .select("p.*", *(f"w.{c}" for c in whole.columns if c.endswith("_all")), "f.n_far")
         .select("source", "load", _name(contracts), F.explode(issues).alias("issue"))
     )

@@ -6,11 +6,38 @@ buckets; running counts are taken within a bucket and the counts of the buckets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOT = 2_000_000
+MOST_BUCKETS = 1000
+
+
+def null_safe(a: str, b: str, keys: list[str]) -> Column:
+    """Join condition of two aliased tables: equal keys, null being one."""
+    return reduce(lambda p, q: p & q, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+
+
+def bucket_edges(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT) -> DataFrame | None:
+    """(keys..., _edges) of the groups of more than ``hot_rows`` rows, or None if there are none.
+
+    Edges are approximate quantiles that cut a group into parts of about ``hot_rows``, a thousand parts at most; an edge may
+    come several times. Nothing is brought to the driver, and the joins are left to the planner: the table has a row for
+    each hot group, and a hot group's rows are a skewed partition that adaptive execution splits.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > hot_rows)
+    if not sizes.take(1):
+        return None
+    parts = F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("_size") / hot_rows)).cast("int")
+    hot = sizes.select(*keys, parts.alias("_parts"))
+    at = [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)]
+    picked = df.alias("c").join(hot.alias("h"), null_safe("c", "h", keys)).select(*(F.col(f"c.{k}") for k in keys), F.col(f"c.{value}").cast("double").alias("_v"), "h._parts")
+    cut = picked.groupBy(*keys).agg(F.percentile_approx("_v", at, 10_000).alias("_q"), F.max("_parts").alias("_parts"))
+    places = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.element_at("_q", F.floor(i * MOST_BUCKETS / F.col("_parts")).cast("int")))
+    return cut.select(*keys, places.alias("_edges"))
 
 
 def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], hot_rows: int = HOT) -> DataFrame:
@@ -20,28 +47,19 @@ def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], hot
     """
     if not keys:
         return running(counts.withColumn("_all", F.lit(0)), ["_all"], value, sums, hot_rows).drop("_all")
-    sizes = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy(*keys)
-    if not sizes.where(F.col("_size") > hot_rows).take(1):
+    edges = bucket_edges(counts, keys, value, hot_rows)
+    if edges is None:
         order = whole.orderBy(value)
         return counts.select("*", *(before(order, c).alias(f"before_{c}") for c in sums), *(F.sum(c).over(whole).alias(f"all_{c}") for c in sums))
-    # groups above a thousandth of the table are at most a thousand, however large it is; so are the buckets of one of them
-    bound = max(hot_rows, counts.count() // 1000)
-    hot = sizes.where(F.col("_size") > bound)
-    parts = max(2, -(-(hot.agg(F.max("_size")).first()[0] or 1) // bound))
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
-    at = [i / parts for i in range(1, parts)]
-    picked = counts.alias("c").join(F.broadcast(hot).alias("h"), same)
-    edges = picked.groupBy(*(F.col(f"c.{k}").alias(k) for k in keys)).agg(F.array_distinct(F.percentile_approx(F.col(f"c.{value}").cast("double"), at, 10_000)).alias("_edges"))
-    held = counts.alias("c").join(F.broadcast(edges).alias("h"), same, "left").select("c.*", "h._edges")
+    held = counts.alias("c").join(edges.alias("h"), null_safe("c", "h", keys), "left").select("c.*", "h._edges")
     split = held.withColumn("_bucket", F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))).drop("_edges")
     buckets = split.groupBy(*keys, "_bucket").agg(*(F.sum(c).alias(f"_b_{c}") for c in sums))
     offsets = buckets.select(*keys, "_bucket", *(before(whole.orderBy("_bucket"), f"_b_{c}").alias(f"_o_{c}") for c in sums), *(F.sum(f"_b_{c}").over(whole).alias(f"all_{c}") for c in sums))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(value)
     ranked = split.select("*", *(before(inner, c).alias(f"_i_{c}") for c in sums))
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "_bucket"]]
-    joined = ranked.alias("r").join(offsets.alias("o"), on)
+    joined = ranked.alias("r").join(offsets.alias("o"), null_safe("r", "o", [*keys, "_bucket"]))
     return joined.select(*(f"r.{c}" for c in counts.columns), *((F.col(f"r._i_{c}") + F.col(f"o._o_{c}")).alias(f"before_{c}") for c in sums), *(f"o.all_{c}" for c in sums))
 
 

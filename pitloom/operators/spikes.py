@@ -35,8 +35,8 @@ class SpikeRules:
     run: int = 7
     #: A series hangs only if fewer than this share of its readings repeat the one before.
     still: float = 0.5
-    #: Rank accuracy of the sketches: 1/accuracy.
-    accuracy: int = 1000
+    #: Size of the sketches: exact for series of up to so many readings, beyond that with a rank error of some 2 / size.
+    sketch: int = 4096
 
 
 def _ignoring(function: str, name: str, offset: int, window: str) -> Column:
@@ -113,14 +113,14 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     width = lambda s: F.greatest(F.kll_sketch_get_quantile_double(s, F.lit(0.75)) - F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.lit(rules.least_range))
     key = ["source", "ticker", "field"]
     sketches = cells.groupBy(*key, "context").agg(
-        F.kll_sketch_agg_double("change").alias("sketch"), F.count("change").alias("n"), F.sum("same").alias("same"), F.count(F.lit(1)).alias("bars")
+        F.kll_sketch_agg_double("change", F.lit(rules.sketch)).alias("sketch"), F.count("change").alias("n"), F.sum("same").alias("same"), F.count(F.lit(1)).alias("bars")
     )
     known = sketches.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
     # a list of a series' contexts has a row a month
     fences = (
         known.groupBy(*key)
         .agg(
-            F.kll_merge_agg_double("sketch").alias("sketch"),
+            F.kll_merge_agg_double("sketch", F.lit(rules.sketch)).alias("sketch"),
             F.sum("n").alias("n"),
             (F.sum("same") / F.sum("bars")).alias("still"),
             F.map_from_entries(F.collect_list(F.struct("context", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("range")))).alias("contexts"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitloom.functions.hashing import content_hash, fixed
 from pitloom.functions.safe import number
-from pitloom.functions.windows import by_date, log_return
+from pitloom.functions.windows import by_date, log_return, volatility
 from pitloom.operators import backtest as B
 from pitloom.operators import drift as D
 from pitloom.operators import features as X
@@ -221,6 +221,18 @@ def stake_equal_weight(spark: SparkSession, base: str) -> DataFrame:
     return _weights(spark, base).select("ticker", "trade_date", "weight")
 
 
+def stake_odds(spark: SparkSession, base: str) -> DataFrame:
+    picked = B.top_n(_predictions(spark, base), "prob", 10)
+    return B.odds_weights(picked, "prob", 0.25, 0.05).where("selected").select("ticker", "trade_date", *_r("weight", places=8))
+
+
+def stake_scaled(spark: SparkSession, base: str) -> DataFrame:
+    w = by_date("ticker")
+    r = _panel(spark, base).withColumn("r", log_return(F.col("adj_close"), w)).select("ticker", "trade_date", volatility(F.col("r"), w, 20).alias("vol"))
+    picked = B.top_n(_predictions(spark, base), "prob", 10).join(r, ["ticker", "trade_date"])
+    return B.scaled_weights(picked, "vol", 0.10, 0.05).where("selected").select("ticker", "trade_date", *_r("weight"))
+
+
 def turnover(spark: SparkSession, base: str) -> DataFrame:
     return B.plain_turnover(_weights(spark, base), []).select("trade_date", *_r("turnover"))
 
@@ -278,6 +290,11 @@ def reliability_curve(spark: SparkSession, base: str) -> DataFrame:
     return B.reliability(_predictions(spark, base)).select("bin", "n", *_r("mean_prob", "mean_truth"))
 
 
+def calibration(spark: SparkSession, base: str) -> DataFrame:
+    """Slope and intercept of one fit over all rows."""
+    return spark.createDataFrame([B.calibration(_predictions(spark, base))], "slope double, intercept double")
+
+
 def _yearly(spark: SparkSession, base: str) -> DataFrame:
     p = _predictions(spark, base).where("next_return IS NOT NULL").withColumn("year", F.year("trade_date"))
     return B.trading(p, ["ticker", "year"], "next_return")
@@ -387,12 +404,34 @@ def dq_pit_boundaries(spark: SparkSession, base: str) -> DataFrame:
     return n.where("null_returns <> 1 OR null_labels <> 1")
 
 
+TICKER = "^[A-Z][A-Z0-9]{0,9}$"
+
+
+def _like(column: str, pattern: str) -> dict[str, Column]:
+    return {f"matches:{column}": F.col(column).rlike(pattern)}
+
+
+def contracts() -> list[Q.Contract]:
+    """What every layer's table must hold."""
+    not_later = lambda a, b: {f"not_later:{a}": F.col(a) <= F.col(b)}
+    prices = {"ticker": "string", "trade_date": "date", "close": "double", "adj_close": "double", "volume": "bigint"}
+    return [
+        Q.Contract("stg_prices", prices, Q.not_null("open", "low", "adj_close", "volume", "close") | Q.ohlc_rules() | _like("ticker", TICKER), ("source", "ticker", "trade_date")),
+        Q.Contract("fct_prices_daily", prices | {"sector": "string", "is_benchmark": "boolean"}, Q.not_null("ticker", "trade_date", "close", "volume") | Q.ohlc_rules(), ("ticker", "trade_date")),
+        Q.Contract("fct_returns_daily", prices | {"log_return": "double"}, Q.not_null("ticker", "trade_date", "sector") | Q.between("log_return", -1, 1) | Q.between("next_log_return", -1, 1) | not_later("trade_date", "next_trade_date"), ("ticker", "trade_date")),
+        Q.Contract("stg_macro_series", {"series_id": "string", "value": "double"}, Q.not_null("series_id", "value"), ("series_id", "observation_date", "vintage_date")),
+        Q.Contract("int_macro_daily", {"trade_date": "date", "value": "double"}, Q.not_null("series_id", "trade_date", "vintage_date") | not_later("vintage_date", "trade_date") | not_later("observation_date", "trade_date"), ("trade_date", "series_id")),
+        Q.Contract("stg_sec_facts", {"cik": "bigint", "value": "double", "fiscal_year": "int"}, Q.not_null("ticker", "tag", "period_end", "filed", "form", "value") | Q.between("fiscal_year", 1990, 2100) | {"length:form": F.length("form") <= 16} | not_later("period_start", "period_end") | not_later("period_end", "filed")),
+        Q.Contract("int_fundamentals_pit", {"value": "double", "filed_used": "date"}, Q.not_null("ticker", "trade_date", "tag") | not_later("filed_used", "trade_date") | not_later("period_end_used", "filed_used"), ("trade_date", "ticker", "namespace", "tag")),
+        Q.Contract("ticker_metadata", {"sector": "string", "is_benchmark": "boolean"}, Q.not_null("ticker", "sector", "valid_from") | not_later("valid_from", "valid_to") | _like("ticker", TICKER), ("ticker", "snapshot_date")),
+        Q.Contract("manifest", {"manifest_no": "bigint"}, Q.not_null("source", "ticker", "latest_hash", "path") | not_later("first_date", "last_date") | {"positive:row_count": F.col("row_count") > 0}, ("source", "manifest_no", "ticker")),
+        Q.Contract("drift_features", {"psi": "string"}, Q.not_null("status", "psi") | Q.accepted("status", ["PASS", "WARN", "FAIL"])),
+    ]
+
+
 def dq_contract_counts(spark: SparkSession, base: str) -> DataFrame:
-    prices = Q.Contract("stg_prices", {"ticker": "string", "trade_date": "date", "volume": "bigint"}, Q.not_null("open", "low", "adj_close", "volume", "close") | Q.ohlc_rules(), ("source", "ticker", "trade_date"))
-    macro = Q.Contract("stg_macro_series", {"series_id": "string", "value": "double"}, Q.not_null("series_id", "value"), ("series_id", "observation_date", "vintage_date"))
-    drift = Q.Contract("drift_features", {"psi": "string"}, Q.not_null("status", "psi") | Q.accepted("status", ["PASS", "WARN", "FAIL"]))
     out = None
-    for c in (prices, macro, drift):
+    for c in contracts():
         one = Q.check(read(spark, base, c.name), c)
         out = one if out is None else out.unionByName(one)
     return out
@@ -449,8 +488,8 @@ QUERIES = {
     for f in (
         bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, vintage_reconstruct, macro_latest_mode,
         facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled,
-        entry_top_n, entry_above_median, stake_equal_weight, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
-        classification_metrics, reliability_curve, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean,
+        entry_top_n, entry_above_median, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
+        classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean,
         dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_gate, dq_orphans,
         ingest_normalise, missing_sentinel_parse, json_facts_flatten, snapshot_hash, snapshot_retention, sample_exact_n,
     )

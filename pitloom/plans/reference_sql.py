@@ -155,13 +155,38 @@ def _contract(table: str, rules: dict[str, str], columns: list[str], unique: str
     return " UNION ALL ".join(parts)
 
 
+def _nn(*names: str) -> dict[str, str]:
+    return {f"not_null:{c}": f"{c} IS NOT NULL" for c in names}
+
+
+def _later(a: str, b: str) -> dict[str, str]:
+    return {f"not_later:{a}": f"{a} <= {b}"}
+
+
+_BAR = ["ticker", "trade_date", "close", "adj_close", "volume"]
+_LIKE = {"matches:ticker": "regexp_full_match(ticker, '[A-Z][A-Z0-9]{0,9}')"}
 _CONTRACTS = " UNION ALL ".join(
     (
-        _contract("stg_prices", {f"not_null:{c}": f"{c} IS NOT NULL" for c in ("open", "low", "adj_close", "volume", "close")} | _OHLC, ["ticker", "trade_date", "volume"], "source, ticker, trade_date"),
-        _contract("stg_macro_series", {f"not_null:{c}": f"{c} IS NOT NULL" for c in ("series_id", "value")}, ["series_id", "value"], "series_id, observation_date, vintage_date"),
-        _contract("drift_features", {"not_null:status": "status IS NOT NULL", "not_null:psi": "psi IS NOT NULL", "accepted:status": "status IN ('PASS', 'WARN', 'FAIL')"}, ["psi"], None),
+        _contract("stg_prices", _nn("open", "low", "adj_close", "volume", "close") | _OHLC | _LIKE, _BAR, "source, ticker, trade_date"),
+        _contract("fct_prices_daily", _nn("ticker", "trade_date", "close", "volume") | _OHLC, [*_BAR, "sector", "is_benchmark"], "ticker, trade_date"),
+        _contract(
+            "fct_returns_daily",
+            _nn("ticker", "trade_date", "sector") | {f"between:{c}": f"{c} BETWEEN -1 AND 1" for c in ("log_return", "next_log_return")} | _later("trade_date", "next_trade_date"),
+            [*_BAR, "log_return"], "ticker, trade_date",
+        ),
+        _contract("stg_macro_series", _nn("series_id", "value"), ["series_id", "value"], "series_id, observation_date, vintage_date"),
+        _contract("int_macro_daily", _nn("series_id", "trade_date", "vintage_date") | _later("vintage_date", "trade_date") | _later("observation_date", "trade_date"), ["trade_date", "value"], "trade_date, series_id"),
+        _contract(
+            "stg_sec_facts",
+            _nn("ticker", "tag", "period_end", "filed", "form", "value") | {"between:fiscal_year": "fiscal_year BETWEEN 1990 AND 2100", "length:form": "length(form) <= 16"} | _later("period_start", "period_end") | _later("period_end", "filed"),
+            ["cik", "value", "fiscal_year"], None,
+        ),
+        _contract("int_fundamentals_pit", _nn("ticker", "trade_date", "tag") | _later("filed_used", "trade_date") | _later("period_end_used", "filed_used"), ["value", "filed_used"], "trade_date, ticker, namespace, tag"),
+        _contract("ticker_metadata", _nn("ticker", "sector", "valid_from") | _later("valid_from", "valid_to") | _LIKE, ["sector", "is_benchmark"], "ticker, snapshot_date"),
+        _contract("manifest", _nn("source", "ticker", "latest_hash", "path") | _later("first_date", "last_date") | {"positive:row_count": "row_count > 0"}, ["manifest_no"], "source, manifest_no, ticker"),
+        _contract("drift_features", _nn("status", "psi") | {"accepted:status": "status IN ('PASS', 'WARN', 'FAIL')"}, ["psi"], None),
     )
-)
+)
 
 SQL = {
     "bars_in_force": f"WITH {_PANEL} SELECT * FROM panel",
@@ -200,6 +225,10 @@ FROM pf JOIN (SELECT ticker, trade_date, nr FROM lab) l USING (ticker, trade_dat
     "entry_top_n": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, prob FROM tp WHERE selected",
     "entry_above_median": f"WITH {_PANEL}, {_PRED} SELECT ticker, trade_date, prob FROM pr QUALIFY prob > quantile_cont(prob, 0.5) OVER (PARTITION BY trade_date)",
     "stake_equal_weight": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, CAST(weight AS DOUBLE) AS weight FROM wt",
+    "stake_odds": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, round(least(0.05, greatest(0.0, 0.25 * (2 * prob - 1))), 8) AS weight FROM tp WHERE selected",
+    "stake_scaled": f"""WITH {_PANEL}, {_PRED}, {_TOP},
+vl AS (SELECT ticker, trade_date, CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS 19 PRECEDING))
+SELECT ticker, trade_date, round(CASE WHEN vol > 0 THEN 0.05 * least(1.0, 0.10 / vol) ELSE 0.05 END, 6) AS weight FROM tp JOIN vl USING (ticker, trade_date) WHERE selected""",
     "turnover": f"""WITH {_PANEL}, {_PRED}, {_TOP}
 SELECT trade_date, round(sum(d), 6) AS turnover FROM (SELECT trade_date, CAST(abs(weight - coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY trade_date), 0)) AS DOUBLE) AS d FROM wt) GROUP BY trade_date""",
     "folds": f"WITH RECURSIVE {_FOLDS} SELECT * FROM fold",

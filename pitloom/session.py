@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,14 +34,17 @@ def read(spark: SparkSession, base: str, table: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: what is used more than once is computed once.
 
-    The folder is the one the cluster names in spark.checkpoint.dir, so the table outlives executors; only where none is set
-    (tests, a single machine) it is a temporary one of our own. The table is deleted when the session's JVM ends.
+    The folder is the one the cluster names in spark.checkpoint.dir, so the table outlives executors. Where none is set it is
+    the warehouse's, and with a local master (tests, a single machine) a temporary one. The table is deleted when the
+    session's JVM ends.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else os.path.join(tempfile.gettempdir(), "pitloom")
+        alone = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        spare = os.path.join(tempfile.gettempdir(), "pitloom") if alone else spark.conf.get("spark.sql.warehouse.dir")
+        root = known.get() if known.isDefined() else spare
     path = f"{root.rstrip('/')}/pitloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm

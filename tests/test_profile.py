@@ -62,6 +62,9 @@ def test_nulls_empty_and_single_load(spark):
     for contracts in (LOW, PSI):
         assert P.departures(nulls, contracts, "source", "load_id", "ticker").count() == 0
         assert P.mask_profile(nulls, contracts, "source", "load_id").count() == 0
+    nameless = table(spark, [(None, None, None, 0.0, "x")] + [(None, 2, None, 10.0 + i, "0.1") for i in range(9)])
+    assert rows(P.departures(nameless, LOW, "source", "load_id", "ticker"), "source", "load", "issue") == [(None, 2, "distribution"), (None, None, "distribution"), (None, None, "range")]
+    assert rows(P.departures(nameless, PSI, "source", "load_id"), "load", "issue") == [(None, "pattern")]
     one = table(spark, [("s", 1, "x", 0.0, "n/a"), ("s", 1, "x", 0.0, "")])
     assert rows(P.departures(one, LOW, "source", "load_id", "ticker"), "issue") == [("range",)]
     assert rows(P.departures(one, PSI, "source", "load_id"), "issue") == [("pattern",)]
