@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from pitloom.functions.masks import mask
 from pitloom.operators.ranks import bucket_edges, null_safe
-from pitloom.session import cut
+from pitloom.session import cut, together
 
 
 @dataclass(frozen=True)
@@ -257,9 +257,10 @@ def departures(
     single load has no others, so only pattern and range can be found there; an empty table gives no rows; NaN counts as
     neither null nor value; a null source, load or ``by`` is one of its own. Columns besides those named are not read.
     """
-    profile = cut(load_profile(df, contracts, source, load, by))
+    profile, far = together(
+        lambda: cut(load_profile(df, contracts, source, load, by)), lambda: far_counts(df, contracts, source, load, by, limits)
+    )
     whole = profile.groupBy("source", "column").agg(*(F.sum(c).alias(f"{c}_all") for c in ("n_rows", "n_null", "n_values", "n_distinct")))
-    far = far_counts(df, contracts, source, load, by, limits)
     others = lambda c: F.col(f"{c}_all") - F.col(c)
     share = lambda a, b: F.try_divide(a, b)
     tests = {

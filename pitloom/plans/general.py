@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.operators import grid, history, known, profile, rolling, snapshots, spikes
-from pitloom.session import read
+from pitloom.session import read, together
 
 PRICES = [profile.ColumnContract("low", least=0.0, strict=True), profile.ColumnContract("volume", least=0.0)]
 #: Readable psi texts: a plain decimal number with a point, perhaps with a minus sign.
@@ -14,8 +14,10 @@ DRIFT = [profile.ColumnContract("psi", least=0.0, masks=("9.9", "-9.9"))]
 
 
 def _both(spark: SparkSession, base: str, of) -> DataFrame:
-    prices = of(read(spark, base, "stg_prices"), PRICES, "load_id", "ticker").withColumn("table_name", F.lit("stg_prices"))
-    drift = of(read(spark, base, "drift_features"), DRIFT, "report_id", None).withColumn("table_name", F.lit("drift_features"))
+    prices, drift = together(
+        lambda: of(read(spark, base, "stg_prices"), PRICES, "load_id", "ticker").withColumn("table_name", F.lit("stg_prices")),
+        lambda: of(read(spark, base, "drift_features"), DRIFT, "report_id", None).withColumn("table_name", F.lit("drift_features")),
+    )
     return prices.unionByName(drift).withColumnRenamed("load", "load_id")
 
 

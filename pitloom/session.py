@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,12 @@ def build_session(name: str = "pitloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def together(*steps: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Results of steps that run jobs of their own and do not need each other, side by side."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{table}.parquet")
 
