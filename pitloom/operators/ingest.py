@@ -58,9 +58,9 @@ def latest_only(df: DataFrame, series: str = "series_id", observed: str = "obser
     return df.drop("vintage_date").join(last, series)
 
 
-def effective_vintage(df: DataFrame, latest_ids: list[str]) -> DataFrame:
+def effective_vintage(df: DataFrame, never_revised: Column) -> DataFrame:
     """For series that are never revised the vintage is the observation's own date."""
-    return df.withColumn("vintage_date", F.when(F.col("series_id").isin(latest_ids), F.col("observation_date")).otherwise(F.col("vintage_date")))
+    return df.withColumn("vintage_date", F.when(never_revised, F.col("observation_date")).otherwise(F.col("vintage_date")))
 
 
 FACTS = (

@@ -61,8 +61,7 @@ def _kind(column: str = "series_id") -> Column:
 def macro_vintage_override(spark: SparkSession, base: str) -> DataFrame:
     """Series of the kind RATEPATH are taken as never revised."""
     s = read(spark, base, "stg_macro_series")
-    ids = [r["series_id"] for r in s.where(_kind() == "RATEPATH").select("series_id").distinct().limit(10_000).collect()]
-    return I.effective_vintage(s, ids).groupBy("series_id", "vintage_date").agg(F.count(F.lit(1)).alias("n"))
+    return I.effective_vintage(s, _kind() == "RATEPATH").groupBy("series_id", "vintage_date").agg(F.count(F.lit(1)).alias("n"))
 
 
 def macro_vintages_latest(spark: SparkSession, base: str) -> DataFrame:
@@ -318,11 +317,9 @@ def bootstrap_ci(spark: SparkSession, base: str) -> DataFrame:
 
 
 def deflated_sharpe(spark: SparkSession, base: str) -> DataFrame:
-    """Of each sector's mean return; one row a sector, so the normal quantiles are taken on the driver."""
+    """Of each sector's mean return, the sectors being the trials."""
     daily = _predictions(spark, base).where("next_return IS NOT NULL AND sector IS NOT NULL").groupBy("sector", "trade_date").agg(F.avg("next_return").alias("r"))
-    rows = B.trading(daily, ["sector"], "r").limit(10_000).collect()
-    out = [(r["sector"], float(B.deflated_sharpe(r["sharpe"] / 252**0.5, max(2, len(rows)), r["n"], r["skew"], r["kurt"]))) for r in rows]
-    return spark.createDataFrame(out, "sector string, deflated double")
+    return B.deflated(B.trading(daily, ["sector"], "r"), ["sector"])
 
 
 # --- monitoring ----------------------------------------------------------------------------------------------------------

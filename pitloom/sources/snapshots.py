@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.functions.hashing import content_hash
+from pitloom.session import cut
 
 MANIFEST = "entity string, hash string, written_at timestamp, n_rows long, first_date date, last_date date"
 
@@ -47,7 +48,7 @@ class SnapshotStore:
         judged = hashes.join(known, "entity", "left").select(
             "entity", F.col("content_hash").alias("hash"), "n_rows", "first_date", "last_date", F.when(F.col("_old") == F.col("content_hash"), "skipped").otherwise("written").alias("status")
         )
-        judged = spark.createDataFrame(judged.toArrow())  # one row an entity; fixed before the store changes
+        judged = cut(judged)  # fixed before the store changes
         new = judged.where("status = 'written'")
         rows = df.join(new.select(F.col("entity").alias("_entity"), F.col("hash").alias("_hash")), df[self.entity].cast("string") == F.col("_entity"))
         rows.write.mode("append").partitionBy("_entity", "_hash").parquet(f"{self.root}/data")
