@@ -36,7 +36,7 @@ class SpikeRules:
     #: A series hangs only if fewer than this share of its readings repeat the one before.
     still: float = 0.5
     #: Size of the sketches: exact for series of up to so many readings, beyond that with a rank error of some 2 / size.
-    sketch: int = 4096
+    sketch: int = 512
 
 
 def _ignoring(function: str, name: str, offset: int, window: str) -> Column:
@@ -95,46 +95,50 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
             return (F.col("high") < F.col("open")) | (F.col("high") < F.col("close"))
         return F.col(c) < 0
 
-    # one generator for both uses below, so that the bars are brought together once
-    cell = [
-        F.struct(
-            F.lit(c).alias("field"),
-            (F.col(f"x_{c}") - F.col(f"lag1_{c}")).alias("change"),
-            F.col(f"same_{c}").alias("same"),
-            impossible(c).alias("impossible"),
-            (F.greatest(margin(c, False), margin(c, True)) if rules.fences[c].down else margin(c, False)).alias("margin"),
-            F.col(f"hung_{c}").alias("hung"),
-        )
-        for c in names
-    ]
-    cells = runs.select("source", "ticker", "trade_date", F.trunc("trade_date", "month").alias("context"), F.explode(F.array(*cell)).alias("c")).select(
-        "source", "ticker", "trade_date", "context", "c.*"
+    def candidate(c: str, i: int) -> Column:
+        """What may be a case of the field, before it is held against the fences; null if nothing is."""
+        out, bad, hung = F.col(f"out_{c}"), F.col(f"bad_{c}"), F.col(f"hung_{c}")
+        return F.when(out.isNotNull() | bad | hung, F.struct("trade_date", F.lit(i).alias("i"), bad.alias("impossible"), out.alias("margin"), hung.alias("hung")))
+
+    # each expression once: a step for the margins, one for those beyond the least fence, one for the candidates
+    least = {c: max(f.change, f.series * rules.least_range) for c, f in rules.fences.items()}
+    margins = runs.select(
+        "source", "ticker", "trade_date", *(f"same_{c}" for c in names), *((F.col(f"x_{c}") - F.col(f"lag1_{c}")).alias(f"change_{c}") for c in names),
+        *((F.greatest(margin(c, False), margin(c, True)) if rules.fences[c].down else margin(c, False)).alias(f"all_{c}") for c in names),
+        *(F.coalesce(impossible(c), F.lit(False)).alias(f"bad_{c}") for c in names), *(F.coalesce(F.col(f"hung_{c}"), F.lit(False)).alias(f"hung_{c}") for c in names),
+    )
+    beyond = margins.select("*", *(F.when(F.col(f"all_{c}") > least[c], F.col(f"all_{c}")).alias(f"out_{c}") for c in names))
+    any_case = reduce(lambda a, b: a | b, (F.col(f"out_{c}").isNotNull() | F.col(f"bad_{c}") | F.col(f"hung_{c}") for c in names))
+    # months, then series: both groups lie within the partitions of the sort, so nothing is shuffled again; a series' lists
+    # have at most a row a date
+    kept = beyond.select(
+        "source", "ticker", F.trunc("trade_date", "month").alias("context"), *(f"change_{c}" for c in names), *(f"same_{c}" for c in names),
+        F.when(any_case, F.array(*(candidate(c, i) for i, c in enumerate(names)))).alias("may"),
+    )
+    per = lambda *f: [g(c) for c in names for g in f]
+    months = kept.groupBy("source", "ticker", "context").agg(
+        F.array_compact(F.flatten(F.collect_list("may"))).alias("may"), F.count(F.lit(1)).alias("bars"),
+        *per(lambda c: F.kll_sketch_agg_double(f"change_{c}", F.lit(rules.sketch)).alias(f"sketch_{c}"), lambda c: F.count(f"change_{c}").alias(f"n_{c}"), lambda c: F.sum(f"same_{c}").alias(f"same_{c}")),
     )
     width = lambda s: F.greatest(F.kll_sketch_get_quantile_double(s, F.lit(0.75)) - F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.lit(rules.least_range))
-    key = ["source", "ticker", "field"]
-    sketches = cells.groupBy(*key, "context").agg(
-        F.kll_sketch_agg_double("change", F.lit(rules.sketch)).alias("sketch"), F.count("change").alias("n"), F.sum("same").alias("same"), F.count(F.lit(1)).alias("bars")
+    sketch = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(f"sketch_{c}"))
+    series = months.groupBy("source", "ticker").agg(
+        F.collect_list(F.when(F.size("may") > 0, F.struct("may", F.array(*(F.when(F.col(f"n_{c}") > 0, width(sketch(c))) for c in names)).alias("ranges")))).alias("months"),
+        *per(lambda c: F.kll_merge_agg_double(sketch(c), F.lit(rules.sketch)).alias(f"sketch_{c}"), lambda c: F.sum(f"n_{c}").alias(f"n_{c}"), lambda c: (F.sum(f"same_{c}") / F.sum("bars")).alias(f"still_{c}")),
     )
-    known = sketches.withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
-    # a list of a series' contexts has a row a month
-    fences = (
-        known.groupBy(*key)
-        .agg(
-            F.kll_merge_agg_double("sketch", F.lit(rules.sketch)).alias("sketch"),
-            F.sum("n").alias("n"),
-            (F.sum("same") / F.sum("bars")).alias("still"),
-            F.map_from_entries(F.collect_list(F.struct("context", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("range")))).alias("contexts"),
+    judged = (
+        series.where(F.size("months") > 0)
+        .select(
+            "source", "ticker", F.explode("months").alias("m"),
+            F.array(*(F.when(F.col(f"n_{c}") > 0, width(sketch(c))) for c in names)).alias("ranges"), F.array(*(F.col(f"still_{c}") for c in names)).alias("stills"),
         )
-        .select(*key, "still", "contexts", F.when(F.col("n") > 0, width(F.col("sketch"))).alias("series_range"))
+        .select("source", "ticker", "ranges", "stills", F.col("m.ranges").alias("context_ranges"), F.explode("m.may").alias("c"))
+        .select("source", "ticker", "c.*", F.get("ranges", F.col("c.i")).alias("series_range"), F.get("stills", F.col("c.i")).alias("still"), F.get("context_ranges", F.col("c.i")).alias("context_range"))
     )
-    fence = lambda k: F.coalesce(*(F.when(F.col("field") == c, F.lit(float(getattr(rules.fences[c], k)))) for c in names))
-    floor = reduce(lambda a, b: a | b, ((F.col("field") == c) & (F.col("margin") > max(f.change, f.series * rules.least_range)) for c, f in rules.fences.items()))
-    candidates = cells.where(floor | F.col("hung") | F.col("impossible")).select(*key, "trade_date", "context", "impossible", "margin", "hung")
-    on = reduce(lambda p, q: p & q, (F.col(f"a.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key))
-    judged = candidates.alias("a").join(fences.alias("f"), on).select("a.*", "f.still", "f.series_range", F.try_element_at("f.contexts", F.col("a.context")).alias("context_range"))
-    spike = floor & (F.col("margin") > fence("series") * F.col("series_range")) & (F.col("margin") > fence("context") * F.coalesce("context_range", "series_range"))
+    fixed = lambda k: F.get(F.array(*(F.lit(float(getattr(rules.fences[c], k))) for c in names)), F.col("i"))
+    spike = (F.col("margin") > fixed("series") * F.col("series_range")) & (F.col("margin") > fixed("context") * F.coalesce("context_range", "series_range"))
     reasons = F.array_compact(F.array(F.when(F.col("impossible"), F.lit("impossible")), F.when(spike, F.lit("spike")), F.when(F.col("hung") & (F.col("still") < rules.still), F.lit("hangs"))))
-    return judged.select("source", "ticker", "trade_date", "field", F.explode(reasons).alias("reason"))
+    return judged.select("source", "ticker", "trade_date", F.get(F.array(*map(F.lit, names)), F.col("i")).alias("field"), F.explode(reasons).alias("reason"))
 
 
 def spike_rows(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
