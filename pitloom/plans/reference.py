@@ -208,6 +208,16 @@ def entry_top_n(spark: SparkSession, base: str) -> DataFrame:
     return B.top_n(_predictions(spark, base), "prob", 10).where("selected").select("ticker", "trade_date", "prob")
 
 
+def entry_threshold(spark: SparkSession, base: str) -> DataFrame:
+    return B.rule(B.SELECTIONS, "above")(_predictions(spark, base), "prob", 0.55).where("selected").select("ticker", "trade_date", "prob")
+
+
+def baseline_momentum(spark: SparkSession, base: str) -> DataFrame:
+    """The upper fifth of each date by its rank, in equal parts."""
+    ranked = X.percentile_ranks(_predictions(spark, base), ["trade_date"], "prob", "rank")
+    return B.equal_weights(B.above(ranked, "rank", 0.8), 0.05).where("selected").select("ticker", "trade_date", *_r("weight"))
+
+
 def entry_above_median(spark: SparkSession, base: str) -> DataFrame:
     return B.above_median(_predictions(spark, base), "prob").where("selected").select("ticker", "trade_date", "prob")
 
@@ -485,7 +495,7 @@ QUERIES = {
     for f in (
         bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, vintage_reconstruct, macro_latest_mode,
         facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled,
-        entry_top_n, entry_above_median, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
+        entry_top_n, entry_threshold, entry_above_median, baseline_momentum, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
         classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean,
         dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_gate, dq_orphans,
         ingest_normalise, missing_sentinel_parse, json_facts_flatten, snapshot_hash, snapshot_retention, sample_exact_n,

@@ -223,6 +223,10 @@ SELECT pf.ticker, pf.trade_date, pf.sector, nr > 0 AS next_return_positive, {_PX
   round(macro_ratepath_yoy, 6) AS macro_ratepath_yoy, round(fd_margin, 6) AS fd_margin, round(fd_roe, 6) AS fd_roe, round(fd_outlay, 6) AS fd_outlay, round(fd_growth, 6) AS fd_growth, round(rsi, 4) AS px_rsi_14
 FROM pf JOIN (SELECT ticker, trade_date, nr FROM lab) l USING (ticker, trade_date) LEFT JOIN mf USING (ticker, trade_date) LEFT JOIN yoy USING (trade_date) LEFT JOIN fr USING (ticker, trade_date)""",
     "entry_top_n": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, prob FROM tp WHERE selected",
+    "entry_threshold": f"WITH {_PANEL}, {_PRED} SELECT ticker, trade_date, prob FROM pr WHERE prob > 0.55",
+    "baseline_momentum": f"""WITH {_PANEL}, {_PRED},
+rk AS (SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY prob) + (count(*) OVER (PARTITION BY trade_date, prob) - 1) / 2) / count(*) OVER (PARTITION BY trade_date) AS rk FROM pr WHERE prob IS NOT NULL)
+SELECT ticker, trade_date, round(least(0.05, 1 / count(*) OVER (PARTITION BY trade_date)), 6) AS weight FROM rk WHERE rk > 0.8""",
     "entry_above_median": f"WITH {_PANEL}, {_PRED} SELECT ticker, trade_date, prob FROM pr QUALIFY prob > quantile_cont(prob, 0.5) OVER (PARTITION BY trade_date)",
     "stake_equal_weight": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, CAST(weight AS DOUBLE) AS weight FROM wt",
     "stake_odds": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, round(least(0.05, greatest(0.0, 0.25 * (2 * prob - 1))), 8) AS weight FROM tp WHERE selected",

@@ -39,6 +39,10 @@ class SnapshotStore:
         """(entity, hash): the last snapshot written."""
         return self.manifest(spark).groupBy("entity").agg(F.max_by("hash", F.struct("written_at", "hash")).alias("hash"))
 
+    def missing(self, spark: SparkSession, wanted: DataFrame) -> DataFrame:
+        """Those of ``wanted`` (entity) that have no snapshot yet: what an ingest limited to the missing has to fetch."""
+        return wanted.select("entity").distinct().join(self.manifest(spark).select("entity"), "entity", "left_anti")
+
     def write(self, df: DataFrame, written_at: Column | None = None) -> DataFrame:
         """Appends the entities whose content differs from their last snapshot; (entity, hash, status) of all of them."""
         spark = df.sparkSession

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from helpers import day, rows, stamp
+from pitloom import pipeline
 from pitloom.functions.hashing import content_hash, fixed
 from pitloom.sources import bars, readers, sinks
 from pitloom.sources.snapshots import SnapshotStore, retained
@@ -26,6 +27,7 @@ def test_snapshot_store(spark, tmp_path):
     assert rows(store.write(second, F.lit(stamp(3))), "entity", "status") == [("a", "skipped"), ("b", "written"), ("c", "written")]
     assert rows(store.read_latest(spark), "ticker", "close") == [("a", 1.0), ("b", 3.0), ("c", 4.0)]
     assert store.manifest(spark).count() == 4
+    assert rows(store.missing(spark, spark.createDataFrame([("a",), ("z",), ("z",)], "entity string"))) == [("z",)]
 
 
 def test_retention(spark):
@@ -66,3 +68,17 @@ def test_bar_source(spark, tmp_path):
     df = spark.read.format("daily_bars").option("end", "2021-01-31").load(str(tmp_path))
     assert rows(df, "ticker", "date", "open", "close") == [("x", "2021-01-04", "1", "2"), ("y", "2021-01-05", None, "9")]
     assert spark.read.format("daily_bars").option("tickers", "y,none").load(str(tmp_path)).count() == 1
+
+
+def test_pipeline():
+    seen = []
+
+    def failing():
+        seen.append("b")
+        if seen.count("b") < 3:
+            raise ValueError("not yet")
+
+    done = pipeline.run({"a": lambda: seen.append("a"), "b": failing}, waits=(0, 0))
+    assert [(s.name, s.status, s.tries) for s in done] == [("a", "done", 1), ("b", "done", 3)]
+    broken = pipeline.run({"x": lambda: 1 / 0, "y": lambda: None}, waits=(0,))
+    assert [(s.name, s.status, s.tries) for s in broken] == [("x", "failed", 2), ("y", "skipped", 0)] and "division" in broken[0].error
