@@ -80,7 +80,8 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], least: int = 14, per_edit: int = 10, seed: int = 5):
         self.least, self.per_edit, self.seed = least, per_edit, seed
-        self.items = {i: w for i, w in ((i, words(t)) for i, t in items) if len(w) >= least}
+        self.ids = [i for i, _ in items]
+        self.items = {k: w for k, w in enumerate(words(t) for _, t in items) if len(w) >= least}
         patterns: dict[str, list[tuple[int, int]]] = {}
         for i, w in self.items.items():
             for k in range(len(w) - seed + 1):
@@ -152,8 +153,11 @@ class Matcher:
                             found[i] = (n, -e, j - m1, j + m2)
         if not found:
             return []
+        longest: dict[int, tuple[int, int, int, int]] = {}
+        for k, passage in found.items():  # an item may have several texts
+            longest[self.ids[k]] = max(passage, longest.get(self.ids[k], passage))
         places = placed_words(text)
-        return [(i, places[a][1], places[b - 1][2], n, -e) for i, (n, e, a, b) in sorted(found.items())]
+        return [(i, places[a][1], places[b - 1][2], n, -e) for i, (n, e, a, b) in sorted(longest.items())]
 
 
 _matchers: dict[bytes, Matcher] = {}
@@ -178,10 +182,11 @@ def leaked_passages(
     characters, entities and markup do not count. ``begin`` and ``end`` are code point offsets in the document. Documents are
     read once in a narrow pass, whole. The items are sent to every worker; beyond ``block_chars`` characters they are taken
     in blocks, with a pass for each. Null and empty texts hold nothing, items of fewer than ``least`` words are never found;
-    repeated documents are reported row by row, repeated items once.
+    repeated documents are reported row by row, repeated items once, with the longest passage of any of their texts. Items
+    without an id are left out.
     """
     spark = docs.sparkSession
-    asked = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
+    asked = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
     chars = asked.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // block_chars) or 1
     kinds = [docs.schema[doc_id].dataType, items.schema[item_id].dataType]

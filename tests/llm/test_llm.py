@@ -125,7 +125,7 @@ def test_placed_words_are_the_words(text):
 def test_corpus_of_leaks(spark):
     docs = [(1, ITEM), (2, None), (3, ""), (4, "nothing here"), (5, OTHER + " " + ITEM), (5, OTHER), (6, "x " * 5000 + ITEM)]
     df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, item_id string, words int")
-    items = spark.createDataFrame([(1, ITEM, 1), (1, ITEM, 1), (2, OTHER, 1), (3, None, 1), (None, "a b", 1)], "item_id long, text string, doc_id int")
+    items = spark.createDataFrame([(1, ITEM, 1), (1, ITEM, 1), (1, "another text of the item", 1), (2, OTHER, 1), (3, None, 1), (None, OTHER, 1)], "item_id long, text string, doc_id int")
     want = [(1, 1), (5, 1), (5, 2), (6, 1)]
     for block in (8_000_000, 500):
         got = leak.leaked_passages(df, "doc_id", "text", items, "item_id", "text", block_chars=block)
