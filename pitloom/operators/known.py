@@ -11,8 +11,8 @@ def as_known(events: DataFrame, changes: DataFrame, keys: list[str], event_date:
     """``events`` with ``known_<attribute>`` of the last change at or before the event's date; null where there is none.
 
     ``changes`` has one row per (keys, change_date). Each change gets its number in the key's order; each (keys, date) that
-    events or changes have gets the count of changes so far, over narrow distinct rows, one a date; events then join the
-    wide attributes on equal keys and number. The sorted groups hold one row a date, however many events or repeated
+    events or changes have gets the count of changes so far, over narrow distinct rows, one a date; these join the wide
+    attributes on equal keys and number, and the events take over what their key and date has. The sorted groups hold one row a date, however many events or repeated
     changes a key has. Events with a null key or date know nothing. The events' own columns are kept, but for any that is
     already called ``known_<attribute>``.
     """
@@ -28,15 +28,14 @@ def as_known(events: DataFrame, changes: DataFrame, keys: list[str], event_date:
         .groupBy(*ks, "at").agg(F.max("change").alias("change"))
     )
     counts = dates.select(*ks, "at", F.sum("change").over(Window.partitionBy(*ks).orderBy("at")).alias("number"))
+    attributes_of = numbered.select(*ks, "number", *(f"a{i}" for i in range(len(attributes))))
+    # the wide attributes meet the narrow rows, so that the events themselves are shuffled once
+    states = counts.join(attributes_of, [*ks, "number"], "left").select(*ks, "at", *(f"a{i}" for i in range(len(attributes))))
     known = [f"known_{a}" for a in attributes]
     kept = [c for c in events.columns if c not in known]
     # the events' own columns travel as one struct, so that none of their names can clash
     e = events.select(*(F.col(k).alias(n) for k, n in zip(keys, ks)), F.col(event_date).alias("at"), F.struct(*(F.col(c) for c in kept)).alias("event"))
-    return (
-        e.join(counts, [*ks, "at"], "left").select(*ks, "number", "event")
-        .join(numbered.select(*ks, "number", *(f"a{i}" for i in range(len(attributes)))), [*ks, "number"], "left")
-        .select("event.*", *(F.col(f"a{i}").alias(n) for i, n in enumerate(known)))
-    )
+    return e.join(states, [*ks, "at"], "left").select("event.*", *(F.col(f"a{i}").alias(n) for i, n in enumerate(known)))
 
 
 def vintage_changes(vintages: DataFrame, series: str = "series_id", observed: str = "observation_date", vintage: str = "vintage_date", value: str = "value") -> DataFrame:
