@@ -67,9 +67,9 @@ def add_cross_sectional_features(panel: DataFrame, s: FeatureSettings = FeatureS
     return percentile_ranks(one, ["trade_date", "sector"], value, f"cs_sector_rank_{s.medium}d")
 
 
-def add_year_changes(wide: DataFrame, date: str, columns: list[str], rows: int, scale: float = 100.0) -> DataFrame:
-    """(date, columns..., <column>_yoy): change in percent over so many rows of a table of one row a date, not filled."""
-    w = W.by_date(date=date)
+def add_year_changes(wide: DataFrame, date: str, columns: list[str], rows: int, scale: float = 100.0, keys: list[str] = []) -> DataFrame:
+    """(date, columns..., <column>_yoy): change in percent over so many rows of a table of one row a date (and key), not filled."""
+    w = W.by_date(*keys, date=date)
     return wide.select("*", *(((ratio(F.col(c), F.lag(c, rows).over(w)) - 1) * scale).alias(f"{c}_yoy") for c in columns))
 
 

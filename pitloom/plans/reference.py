@@ -19,13 +19,15 @@ from pitloom.plans import general
 from pitloom.session import read
 from pitloom.sources.snapshots import retained
 
-#: The macro mart's columns: kinds of series, set by configuration.
+#: The columns of macro_pivot_wide, as its SQL has them: the greatest value of a kind's series. mc_yoy_by_series keeps each series.
 KINDS = ["CORECPI", "CREDITGAP", "FUELSTOCK", "HOUSESTART", "JOBLESS", "MILLOUT", "PORTCALLS", "POTOUT", "RATEPATH", "RETAILVOL", "TRUCKORD", "WAGEIDX"]
 TAGS = ["OwnersFunds", "PlantOutlay", "ProfitAfterTax", "SalesNet", "StaffCount"]
 FOLDS = B.FoldSettings(train_months=3, test_months=1, step_months=1, gap_days=6, least_train=30, least_test=10)
 FEATURES = X.FeatureSettings()
 MODEL = ["px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_20d", "px_rsi_14", "cs_market_rank_20d"]
 YOY_ROWS = 60
+YEAR = 252
+YEAR = 252
 
 
 def _r(*names: str, places: int = 6) -> list[Column]:
@@ -68,13 +70,17 @@ def macro_vintages_latest(spark: SparkSession, base: str) -> DataFrame:
     return P.latest_by(read(spark, base, "stg_macro_series"), ["series_id", "vintage_date"], "observation_date", ["value"])
 
 
-def _macro_daily(spark: SparkSession, base: str) -> DataFrame:
-    """Every series on every weekday from its first to its last vintage, as known then; nothing known gives no row."""
+def _macro_days(spark: SparkSession, base: str) -> DataFrame:
+    """Every series on every weekday from its first to its last vintage, with what was known then, null if nothing."""
     s = read(spark, base, "stg_macro_series")
     spans = s.groupBy("series_id").agg(F.min("vintage_date").alias("a"), F.max("vintage_date").alias("b"))
     days = spans.select("series_id", F.explode(F.filter(F.sequence("a", "b"), lambda d: F.weekday(d) < 5)).alias("trade_date"))
-    known = K.as_known(days, K.vintage_changes(s).withColumnRenamed("series", "series_id"), ["series_id"], "trade_date", "on", ["vintage", "observed", "value"])
-    return known.where("known_vintage IS NOT NULL").select("trade_date", "series_id", F.col("known_vintage").alias("vintage_date"), F.col("known_observed").alias("observation_date"), F.col("known_value").alias("value"))
+    return K.as_known(days, K.vintage_changes(s).withColumnRenamed("series", "series_id"), ["series_id"], "trade_date", "on", ["vintage", "observed", "value"])
+
+
+def _macro_daily(spark: SparkSession, base: str) -> DataFrame:
+    """As _macro_days; nothing known gives no row."""
+    return _macro_days(spark, base).where("known_vintage IS NOT NULL").select("trade_date", "series_id", F.col("known_vintage").alias("vintage_date"), F.col("known_observed").alias("observation_date"), F.col("known_value").alias("value"))
 
 
 def macro_asof_daily(spark: SparkSession, base: str) -> DataFrame:
@@ -98,6 +104,26 @@ def mc_yoy(spark: SparkSession, base: str) -> DataFrame:
     return _macro_features(spark, base).select("trade_date", *_r("macro_corecpi_yoy", "macro_ratepath_yoy"))
 
 
+def _macro_by_series(spark: SparkSession, base: str) -> DataFrame:
+    """(series_id, trade_date, value, value_yoy): each series by itself, with its change in percent over 252 of its weekdays."""
+    days = _macro_days(spark, base).select("series_id", "trade_date", F.col("known_value").alias("value"))
+    return X.add_year_changes(days, "trade_date", ["value"], YEAR, keys=["series_id"])
+
+
+def mc_yoy_by_series(spark: SparkSession, base: str) -> DataFrame:
+    return _macro_by_series(spark, base).select("series_id", "trade_date", "value", *_r("value_yoy"))
+
+
+def _macro_by_series(spark: SparkSession, base: str) -> DataFrame:
+    """(series_id, trade_date, value, value_yoy): each series by itself, with its change in percent over 252 of its weekdays."""
+    days = _macro_days(spark, base).select("series_id", "trade_date", F.col("known_value").alias("value"))
+    return X.add_year_changes(days, "trade_date", ["value"], YEAR, keys=["series_id"])
+
+
+def mc_yoy_by_series(spark: SparkSession, base: str) -> DataFrame:
+    return _macro_by_series(spark, base).select("series_id", "trade_date", "value", *_r("value_yoy"))
+
+
 def _intervals(spark: SparkSession, base: str) -> DataFrame:
     s = read(spark, base, "stg_macro_series").distinct()
     w = by_date("series_id", "observation_date", date="vintage_date")
@@ -493,7 +519,7 @@ def sample_exact_n(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, vintage_reconstruct, macro_latest_mode,
+        bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, mc_yoy_by_series, vintage_reconstruct, macro_latest_mode,
         facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled,
         entry_top_n, entry_threshold, entry_above_median, baseline_momentum, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
         classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean,
