@@ -58,16 +58,32 @@ def latest_run(root: str) -> str | None:
 
 
 def write_report(path: str, sections: dict[str, DataFrame], most_rows: int = 10_000) -> dict:
-    """A JSON report of small tables, with the worst status of all; a section that cannot be made is reported as its error."""
+    """A JSON report with the worst status of all rows; a section that cannot be made is reported as its error.
+
+    ``rows`` has each section's number of rows. Of a section of more than ``most_rows`` the report shows that many, the worst
+    first, and ``tables`` names the table beside the report that holds all of them.
+    """
     rank = {"PASS": 0, "WARN": 1, "FAIL": 2}
-    out: dict = {"sections": {}, "status": "PASS"}
+    out: dict = {"sections": {}, "status": "PASS", "rows": {}, "tables": {}}
     for name, df in sections.items():
         try:
-            rows = [r.asDict(recursive=True) for r in df.limit(most_rows).collect()]
+            worst = F.lit(0)
+            if "status" in df.columns:
+                worst = F.coalesce(*(F.when(F.col("status").cast("string") == s, k) for s, k in rank.items()), worst)
+            all_rows = df.agg(F.count(F.lit(1)).alias("n"), F.max(worst).alias("worst")).first()
+            out["status"] = max([out["status"], *(s for s, k in rank.items() if k == all_rows["worst"])], key=lambda s: rank[s])
+            shown = df
+            if all_rows["n"] > most_rows:
+                table = f"{os.path.splitext(path)[0]}-{name}-{uuid.uuid4().hex[:8]}"
+                df.write.parquet(table)
+                plain = [f"`{c}`" for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+                shown = df.sparkSession.read.schema(df.schema).parquet(table).orderBy(worst.desc(), *plain).limit(most_rows)
+                out["tables"][name] = table
+            rows = [r.asDict(recursive=True) for r in shown.collect()]
         except Exception as e:  # noqa: BLE001 - a report is made as far as it can be
             out["sections"][name] = {"error": str(e)[:300]}
             continue
         out["sections"][name] = rows
-        out["status"] = max([out["status"], *(r["status"] for r in rows if r.get("status") in rank)], key=lambda s: rank[s])
+        out["rows"][name] = all_rows["n"]
     write_json(path, out)
     return out

@@ -48,6 +48,14 @@ def test_versions_and_runs(spark, tmp_path):
     assert out["status"] == "WARN" and "error" in json.load(open(tmp_path / "r.json"))["sections"]["b"]
 
 
+def test_report_counts_rows_it_does_not_show(spark, tmp_path):
+    df = spark.range(100).select("id", F.when(F.col("id") == 99, "FAIL").when(F.col("id") == 98, "WARN").otherwise("PASS").alias("status"))
+    out = sinks.write_report(str(tmp_path / "r.json"), {"long": df, "short": df.limit(3)}, most_rows=10)
+    assert out == json.load(open(tmp_path / "r.json")) and out["status"] == "FAIL" and out["rows"] == {"long": 100, "short": 3}
+    assert [r["id"] for r in out["sections"]["long"]] == [99, 98, *range(8)] and list(out["tables"]) == ["long"]
+    assert rows(spark.read.parquet(out["tables"]["long"])) == rows(df)
+
+
 def test_readers(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "t/one"))
     spark.range(1).withColumn("more", F.lit(1)).write.parquet(str(tmp_path / "t/two"))
