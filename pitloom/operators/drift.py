@@ -85,7 +85,11 @@ def status(rank: Column) -> Column:
 
 
 def drift_report(df: DataFrame, date: str, features: list[str], n_ref: int = 60, n_cur: int = 60) -> DataFrame:
-    long = long_features(windows(df, date, n_ref, n_cur), features)
+    return drift_of(long_features(windows(df, date, n_ref, n_cur), features))
+
+
+def drift_of(long: DataFrame) -> DataFrame:
+    """(feature, n_ref, n_cur, psi, ks_stat, ks_pvalue, status) of each feature of (part, feature, x)."""
     both = psi(long).join(ks(long).select("feature", "ks_stat"), "feature", "left")
     p = ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
     return both.withColumn("ks_pvalue", p).withColumn("status", severity(F.col("psi"), F.col("ks_pvalue")))

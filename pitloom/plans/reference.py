@@ -16,7 +16,7 @@ from pitloom.operators import known as K
 from pitloom.operators import panel as P
 from pitloom.operators import quality as Q
 from pitloom.plans import general
-from pitloom.session import read
+from pitloom.session import cut, read
 from pitloom.sources.snapshots import retained
 
 #: The columns of macro_pivot_wide, as its SQL has them: the greatest value of a kind's series. mc_yoy_by_series keeps each series.
@@ -361,7 +361,13 @@ def deflated_sharpe(spark: SparkSession, base: str) -> DataFrame:
 # --- monitoring ----------------------------------------------------------------------------------------------------------
 
 REFERENCE_DAY = "2022-06-30"
+#: What the SQL of psi and ks_statistic has; drift_status gives both figures for all features.
 DRIFT_FEATURES = ["px_ret", "volume", "close"]
+DRIFT_COLUMNS = [
+    "px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_5d", "px_vol_20d", "px_vol_60d", "px_vol_ratio", "px_mom_60d", "px_rsi_14", "mkt_beta_60d", "mkt_corr_60d",
+    "cs_market_rank_20d", "cs_sector_rank_20d", "fd_margin", "fd_roe", "fd_outlay", "fd_sales_per_head", "fd_growth",
+]
+DRIFT_DATES = 60
 
 
 def freshness(spark: SparkSession, base: str) -> DataFrame:
@@ -383,10 +389,19 @@ def ks_statistic(spark: SparkSession, base: str) -> DataFrame:
     return D.ks(_drift_long(spark, base)).select("feature", "n_ref", "n_cur", *_r("ks_stat"))
 
 
+def _drift_whole(spark: SparkSession, base: str) -> DataFrame:
+    """Every numeric column of the assembled features, and every macro series' level and yearly change, once a date; on the panel's first and last dates."""
+    built = X.assemble(_panel(spark, base), None, _fundamentals(spark, base)).select("trade_date", "close", "volume", *_r(*DRIFT_COLUMNS))
+    panel = D.long_features(D.windows(built, "trade_date", DRIFT_DATES, DRIFT_DATES), ["close", "volume", *DRIFT_COLUMNS])
+    dates = D.windows(_panel(spark, base).select("trade_date").distinct(), "trade_date", DRIFT_DATES, DRIFT_DATES)
+    macro = _macro_by_series(spark, base).join(dates, "trade_date")
+    cells = F.array(*(F.struct(F.concat(F.lit(f"{n}:"), "series_id").alias("feature"), x.alias("x")) for n, x in (("macro", F.col("value")), ("macro_yoy", F.round("value_yoy", 6)))))
+    series = macro.select("part", F.explode(cells).alias("c")).select("part", "c.*").where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')")
+    return panel.unionByName(series)
+
+
 def drift_status(spark: SparkSession, base: str) -> DataFrame:
-    w = by_date("ticker")
-    p = _panel(spark, base).select("ticker", "trade_date", F.round(log_return(F.col("adj_close"), w), 6).alias("px_ret"), "volume", "close")
-    return D.drift_report(p, "trade_date", DRIFT_FEATURES, 30, 30)
+    return D.drift_of(cut(_drift_whole(spark, base)))
 
 
 def perf_tail_mean(spark: SparkSession, base: str) -> DataFrame:
