@@ -35,6 +35,8 @@ class SpikeRules:
     run: int = 7
     #: A series hangs only if fewer than this share of its readings repeat the one before.
     still: float = 0.5
+    #: A context of fewer changes has no range of its own, as the suspect's two or three would make it: the series' is taken.
+    least_changes: int = 8
     #: Size of the sketches: exact for series of up to so many readings, beyond that with a rank error of some 2 / size.
     sketch: int = 512
 
@@ -59,7 +61,7 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     """(source, ticker, trade_date, field, reason) of the bars that hold a case; reason is impossible, spike or hangs.
 
     Impossible: close <= 0, high below open or close, volume < 0. Spike: one or two bars above (close: or below) both
-    neighbours by more than the fences; neighbours are the nearest positive readings, so nulls and impossible readings are
+    neighbours by more than the fences, a context of fewer than ``least_changes`` having the series' range; neighbours are the nearest positive readings, so nulls and impossible readings are
     stepped over, and the first and last readings of a series are none. Hangs: equal to the bar before, within a run of at
     least ``run`` equal bars of a series that otherwise moves; a null reading ends a run. A bar delivered several times with
     different readings counts with the one of the greatest (load_id, row_id). Rows without trade_date have no place in the
@@ -123,7 +125,7 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     width = lambda s: F.greatest(F.kll_sketch_get_quantile_double(s, F.lit(0.75)) - F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.lit(rules.least_range))
     sketch = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(f"sketch_{c}"))
     series = months.groupBy("source", "ticker").agg(
-        F.collect_list(F.when(F.size("may") > 0, F.struct("may", F.array(*(F.when(F.col(f"n_{c}") > 0, width(sketch(c))) for c in names)).alias("ranges")))).alias("months"),
+        F.collect_list(F.when(F.size("may") > 0, F.struct("may", F.array(*(F.when(F.col(f"n_{c}") >= rules.least_changes, width(sketch(c))) for c in names)).alias("ranges")))).alias("months"),
         *per(lambda c: F.kll_merge_agg_double(sketch(c), F.lit(rules.sketch)).alias(f"sketch_{c}"), lambda c: F.sum(f"n_{c}").alias(f"n_{c}"), lambda c: (F.sum(f"same_{c}") / F.sum("bars")).alias(f"still_{c}")),
     )
     judged = (

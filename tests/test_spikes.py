@@ -39,6 +39,12 @@ def test_down_only_for_close(spark):
     assert found(spark, bars(volume={30: 90_000})) == [(30, "volume")]
 
 
+def test_spike_in_a_month_of_few_bars(spark):
+    # the series ends on the third day of a month, whose own range would be the spike's
+    assert found(spark, bars(59, close={57: 130.0}, high={57: 131.0})) == [(57, "close"), (57, "high")]
+    assert found(spark, bars(59)) == []
+
+
 def test_level_shift_is_none(spark):
     assert found(spark, bars(close={k: 50.0 + k % 3 for k in range(30, 60)}, high={k: 53.0 + k % 3 for k in range(30, 60)}, open={k: 50.0 for k in range(30, 60)})) == []
 
