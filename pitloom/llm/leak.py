@@ -18,8 +18,10 @@ from pyspark.sql import types as T
 from pitloom.llm.bpe import text_of
 
 #: Markup within a word joins what it parts; any other parts words.
-_INLINE = regex.compile(r"</?(?:b|i|u|s|em|strong|span|a|font|sup|sub|small|mark|code)(?:\s[^<>]{0,300})?/?>", regex.IGNORECASE)
-_MARKUP = regex.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.{0,300}?-->")
+_INLINE = regex.compile(r"</?(?:b|i|u|s|em|strong|span|a|font|sup|sub|small|mark|code)(?:\s[^<>]{0,300}|\s[^<>=]*=[^<>]*)?/?>", regex.IGNORECASE)
+#: A tag of more than 300 characters has an attribute with a value; else it is text between two signs.
+_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,300}>|<[A-Za-z][^<>=]*=[^<>]*>")
+_TAG_OR_COMMENT = regex.compile(_TAG.pattern + r"|(?s:<!--.*?-->)")
 _ENTITY = regex.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}]+")
 #: A word is a run of letters and digits; of scripts that write no blanks, a single character.
@@ -33,12 +35,24 @@ def _plain(text: str) -> str:
     return _UNSEEN.sub("", unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()))
 
 
+def _markup(text: str) -> Iterator[regex.Match]:
+    """Tags and comments of any length. Comments are looked for up to the last end of one, so that those without an end cost nothing."""
+    end = text.rfind("-->") + 3
+    if end >= 3:
+        yield from _TAG_OR_COMMENT.finditer(text, 0, end)  # that end closes any tag, so none is cut
+    yield from _TAG.finditer(text, end if end >= 3 else 0)
+
+
 def words(text: str) -> list[str]:
     """The words of a text as they are compared."""
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
     if "<" in text:
-        text = _MARKUP.sub(" ", _INLINE.sub("", text))
+        text, parts, last = _INLINE.sub("", text), [], 0
+        for m in _markup(text):
+            parts.append(text[last : m.start()])
+            last = m.end()
+        text = " ".join([*parts, text[last:]])
     return _WORD.findall(_plain(text))
 
 
@@ -54,9 +68,9 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
         last = m.end()
     chars += text[last:]
     at += [(k, k + 1) for k in range(last, len(text))]
-    for pattern, by in ((_INLINE, ""), (_MARKUP, " ")):
+    for find, by in ((_INLINE.finditer, ""), (_markup, " ")):
         joined, kept, where, last = "".join(chars), [], [], 0
-        for m in pattern.finditer(joined):
+        for m in find(joined):
             kept += chars[last : m.start()] + list(by)
             where += at[last : m.start()] + [(at[m.start()][0], at[m.end() - 1][1])] * len(by)
             last = m.end()

@@ -116,6 +116,16 @@ def test_forms_and_offsets(matcher, form):
     assert [w for w, _, _ in leak.placed_words(text)] == leak.words(text)
 
 
+@pytest.mark.parametrize("mark", [f'<a href="{"x y " * 200}">', f'<div style="{"x y " * 200}">', "<!-- one\ntwo three -->", "<!-- " + "long " * 200 + "-->", "<!-- a <!-- b -->"])
+def test_long_markup_does_not_count(matcher, mark):
+    w = passage(20)
+    text = "before " + " ".join([*w[:10], mark, *w[10:]]) + " after --> <!-- open"
+    assert [(r[0], r[3], r[4]) for r in matcher.passages(text)] == [(1, 20, 0)]
+    assert [x for x, _, _ in leak.placed_words(text)] == leak.words(text)
+    told = "two <three " + " ".join(passage(45, 5)) + " and > four"
+    assert [r[3] for r in matcher.passages(told)] == [45]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aé <>b/&;#9中ß​́.x")), max_size=40))
 def test_placed_words_are_the_words(text):
