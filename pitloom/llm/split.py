@@ -40,12 +40,26 @@ def _atoms(text: str, enc: Encoder, longest: int) -> tuple[list[int], list[int],
     return ends, sizes, torn
 
 
+def _ends_paragraph(text: str, cut: int) -> bool:
+    """Whether the white space around the cut, however long, has two line ends and the cut is behind it or before its last character, an indent's."""
+    if text[cut].isspace():
+        if text[cut] == "\n" or not text[cut - 1].isspace() or cut + 1 == len(text) or text[cut + 1].isspace():
+            return False
+    elif text[cut - 1] != "\n":
+        return False
+    begin = cut
+    while begin and text[begin - 1].isspace():
+        begin -= 1
+    return text.count("\n", begin, cut) > 1
+
+
 def _strength(text: str, cut: int) -> int:
     """Of the boundary before ``text[cut]``; white space belongs to what follows, a line end to what precedes."""
     before, after = text[cut - 1], text[cut]
+    if _ends_paragraph(text, cut):
+        return PARAGRAPH
     if before == "\n" and not after.isspace():
-        head = text[max(0, cut - 8) : cut]
-        return PARAGRAPH if head.rstrip(" \t\r\n").count("\n") < head.count("\n") - 1 else SENTENCE
+        return SENTENCE
     if after.isspace():
         if before.isspace():
             return NONE

@@ -177,6 +177,16 @@ def test_weak_boundaries_go_first(enc):
     assert all(text[b - 1] in ".\n" or text[b].isspace() for b, c, _, _ in pieces[1:])
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\n\n ", "\n\n    ", "\n\n\t", "\n          \n", "\r\n\r\n  ", "\n          \n   "])
+def test_paragraphs_end_at_any_gap(enc, gap):
+    sentence = "The quick brown fox jumps over the lazy dog near the river bank."
+    text = gap.join(" ".join([sentence] * 4) for _ in range(6))
+    pieces = check(text, enc, 140, 20)
+    assert len(pieces) > 2 and all("\n" in text[c - len(gap) : c] and text[c:].lstrip().startswith("The") and text[:c].endswith((gap, gap[:-1])) for _, c, _, _ in pieces[1:])
+    assert [split._strength("a." + gap + "b", k) for k in range(1, len(gap) + 3)].count(split.PARAGRAPH) == 1
+    assert split.PARAGRAPH not in [split._strength("a.\n  b", k) for k in range(1, 6)]
+
+
 def test_corpus_of_pieces(spark, enc):
     long = "A few words here. " * 400
     df = spark.createDataFrame([(1, long, 1), (2, "short", 1), (3, None, 1), (4, "", 1), (5, long, 1)], "doc_id long, text string, piece int")
