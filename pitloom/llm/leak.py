@@ -6,9 +6,11 @@ import hashlib
 import html
 import pickle
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,14 +20,13 @@ from pyspark.sql import types as T
 from pitloom.llm.bpe import text_of
 
 #: Markup within a word joins what it parts; any other parts words.
-_INLINE = regex.compile(r"</?(?:b|i|u|s|em|strong|span|a|font|sup|sub|small|mark|code)(?:\s[^<>]{0,300}|\s[^<>=]*=[^<>]*)?/?>", regex.IGNORECASE)
-#: A tag of more than 300 characters has an attribute with a value; else it is text between two signs.
-_TAG = regex.compile(r"</?[A-Za-z][^<>]{0,300}>|<[A-Za-z][^<>=]*=[^<>]*>")
+_INLINE = regex.compile(r"</?(?:b|i|u|s|em|strong|span|a|font|sup|sub|small|mark|code)(?:\s[^<>]*)?/?>", regex.IGNORECASE)
+_TAG = regex.compile(r"</?[A-Za-z][^<>]*>")
 _TAG_OR_COMMENT = regex.compile(_TAG.pattern + r"|(?s:<!--.*?-->)")
 _ENTITY = regex.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}]+")
-#: A word is a run of letters and digits; of scripts that write no blanks, a single character.
-_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}])[\p{L}\p{N}])+")
+#: A word is a run of letters and digits; of scripts that write no blanks, a single character. Hangul is written with blanks.
+_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{N}])+")
 
 
 def _plain(text: str) -> str:
@@ -43,11 +44,19 @@ def _markup(text: str) -> Iterator[regex.Match]:
     yield from _TAG.finditer(text, end if end >= 3 else 0)
 
 
-def words(text: str) -> list[str]:
-    """The words of a text as they are compared."""
+def _wordy_markup(text: str, least: int) -> bool:
+    """Whether a tag that sets no attribute holds so many words: it may be text between two signs."""
+    if "<" not in text:
+        return False
+    plain = _ENTITY.sub(lambda m: html.unescape(m[0]), text) if "&" in text else text
+    return any("=" not in m[0] and not m[0].startswith("<!") and len(_WORD.findall(m[0])) >= least for m in _markup(plain))
+
+
+def words(text: str, markup: bool = True) -> list[str]:
+    """The words of a text as they are compared; without ``markup`` its tags are text."""
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
-    if "<" in text:
+    if markup and "<" in text:
         text, parts, last = _INLINE.sub("", text), [], 0
         for m in _markup(text):
             parts.append(text[last : m.start()])
@@ -56,7 +65,7 @@ def words(text: str) -> list[str]:
     return _WORD.findall(_plain(text))
 
 
-def placed_words(text: str) -> list[tuple[str, int, int]]:
+def placed_words(text: str, markup: bool = True) -> list[tuple[str, int, int]]:
     """The same words, each with its begin and end in the original text."""
     chars, at, last = [], [], 0
     for m in _ENTITY.finditer(text):
@@ -68,7 +77,7 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
         last = m.end()
     chars += text[last:]
     at += [(k, k + 1) for k in range(last, len(text))]
-    for find, by in ((_INLINE.finditer, ""), (_markup, " ")):
+    for find, by in ((_INLINE.finditer, ""), (_markup, " ")) if markup else ():
         joined, kept, where, last = "".join(chars), [], [], 0
         for m in find(joined):
             kept += chars[last : m.start()] + list(by)
@@ -84,29 +93,91 @@ def placed_words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], where[m.start()][0], where[m.end() - 1][1]) for m in _WORD.finditer("".join(plain))]
 
 
+def longest_run(least: int, per_edit: int) -> int:
+    """The words in a row without an edit that every passage has, with ``least`` words and one edit in ``per_edit`` at most.
+
+    With e edits there are e + 1 runs, and as many words as the passage has, less the edits, to share among them.
+    """
+    runs = [least]
+    for e in range(1, least + 1):
+        n = max(least, per_edit * e)
+        runs.append(-(-(n - e) // (e + 1)))
+    return min(runs)
+
+
 class Matcher:
     """Finds passages of items that a text holds.
 
-    Every sequence of ``seed`` words of every item is a pattern of one Aho-Corasick automaton. A passage with at most one
-    edit in ``per_edit`` words has such a run untouched, so no passage is lost; from each hit the alignment is extended to
-    both sides, edit by edit, as far as it goes.
+    A passage has a run of ``longest_run`` words without an edit. Every second sequence of one word less of every item is a
+    pattern of one Aho-Corasick automaton, so each such run holds a pattern and no passage is lost. Hits are brought to the
+    beginning of their run, all at once; only from runs that are as long as a passage, or have an equal word again within
+    ``_gap`` edits of an end, the alignment is extended to both sides, edit by edit, as far as it goes. Items of the same
+    words are one.
+
+    _gap: let all runs of a passage be shorter than ``least``, H of them hits whose gaps all have more than G edits, and N
+    too short to be hits. With e edits their words are (per_edit - 1) * e at least and (least - 1) * H + (run - 1) * N at
+    most, while e is (G + 1) * H + N - 1 at least, or (G + 1) * (H - 1) if N is 0: a contradiction for the G used here.
     """
 
-    def __init__(self, items: list[tuple[int, str]], least: int = 14, per_edit: int = 10, seed: int = 5):
-        self.least, self.per_edit, self.seed = least, per_edit, seed
-        self.ids = [i for i, _ in items]
-        self.items = {k: w for k, w in enumerate(words(t) for _, t in items) if len(w) >= least}
-        patterns: dict[str, list[tuple[int, int]]] = {}
-        for i, w in self.items.items():
-            for k in range(len(w) - seed + 1):
-                patterns.setdefault(" " + " ".join(w[k : k + seed]) + " ", []).append((i, k))
+    def __init__(self, items: list[tuple[int, str]], least: int = 14, per_edit: int = 10):
+        self.least, self.per_edit = least, per_edit
+        run = longest_run(least, per_edit)
+        self.step = 2 if run > 2 else 1
+        self.seed = run - self.step + 1
+        if per_edit > run:
+            self._gap = int(max((least - 1) / (per_edit - 1) + 1, 2 * (least - 1) / (per_edit - 1)))
+        else:
+            self._gap = max((len(words(t)) for _, t in items), default=0) // per_edit
+        ids: dict[tuple[str, ...], list[int]] = {}
+        for i, t in items:
+            w = tuple(words(t))
+            if len(w) >= least:
+                ids.setdefault(w, []).append(i)
+        self.items, self.ids = [list(w) for w in ids], list(ids.values())
+        self.number: dict[str, int] = {}
+        # all items in one row, with a gap between them that equals no word of a text
+        between = [-1] * (self._gap + 2)
+        flat, self.begins = [*between], []
+        for w in self.items:
+            self.begins.append(len(flat))
+            flat += [self.number.setdefault(x, len(self.number)) for x in w] + between
+        self.flat = np.array(flat, np.int32)
+        patterns: dict[str, list[int]] = {}
+        for w, at in zip(self.items, self.begins):
+            for k in range(0, len(w) - self.seed + 1, self.step):
+                patterns.setdefault(" " + " ".join(w[k : k + self.seed]) + " ", []).append(at + k)
         self.automaton = ahocorasick.Automaton()
         for p, places in patterns.items():
-            self.automaton.add_word(p, (len(p), places))
+            self.automaton.add_word(p, (len(p), np.array(places, np.int32)))
         if patterns:
             self.automaton.make_automaton()
         self.empty = not patterns
 
+    def _runs(self, w: list[str], hits: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """(length, place in the items, word of the text) of each run of equal words that may be in a passage, longest first."""
+        pad, flat = self._gap + 2, self.flat
+        text = np.full(len(w) + 2 * pad, -2, np.int32)
+        text[pad:-pad] = [self.number.get(x, -2) for x in w]
+        p, q = np.concatenate([x for _, x in hits]).astype(np.int64), np.repeat([j + pad for j, _ in hits], [len(x) for _, x in hits])
+        equal = lambda a, b: flat[a] == text[b]
+        first = ~equal(p - 1, q - 1) if self.step == 1 else ~(equal(p - 1, q - 1) & equal(p - 2, q - 2))
+        p, q = p[first], q[first]  # one hit a run; with every second word a pattern, the run may begin a word before
+        back = equal(p - 1, q - 1).astype(np.int64)
+        p, q = p - back, q - back
+        n = np.full(len(p), self.seed, np.int64) + back
+        going = np.arange(len(p))
+        while len(going):
+            going = going[equal(p[going] + n[going], q[going] + n[going])]
+            n[going] += 1
+        e, f, kept = p + n, q + n, n >= self.least
+        for a in range(self._gap + 1):
+            for b in range(self._gap + 1):
+                if a or b:
+                    kept |= equal(e + a, f + b) | equal(p - 1 - a, q - 1 - b)
+        kept = np.flatnonzero(kept)
+        kept = kept[np.argsort(-n[kept], kind="stable")]
+        return list(zip(n[kept].tolist(), p[kept].tolist(), (q[kept] - pad).tolist()))
+
     def _reach(self, a: list[str], b: list[str], edits: int) -> list[tuple[int, int]]:
         """For 0, 1, ... edits: the most words of ``a`` that align with a beginning of ``b`` and end on equal words."""
 
@@ -134,44 +205,47 @@ class Matcher:
         return best
 
     def passages(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, begin, end, words, edits) of the longest passage of each item; offsets in code points of the text."""
+        """(item, begin, end, words, edits) of the longest passage of each item; offsets in code points of the text.
+
+        A text whose tag holds as many words as a passage is read with its tags as markup and as text.
+        """
         if not text or self.empty:
             return []
-        w = words(text)
-        line = " " + " ".join(w) + " "
-        hits = list(self.automaton.iter(line))
+        longest: dict[int, tuple[int, int, int, int]] = {}
+        for markup in (True, False) if _wordy_markup(text, self.least) else (True,):
+            found = self._found(words(text, markup))
+            places = placed_words(text, markup) if found else []
+            for k, (n, e, a, b) in found.items():
+                for i in self.ids[k]:  # an item may have several texts, and a text several items
+                    longest[i] = max((n, e, places[a][1], places[b - 1][2]), longest.get(i, (0, 0, 0, 0)))
+        return [(i, begin, end, n, -e) for i, (n, e, begin, end) in sorted(longest.items())]
+
+    def _found(self, w: list[str]) -> dict[int, tuple[int, int, int, int]]:
+        """(words, -edits, first word, word after the last) of the longest passage of each item in the words of a text."""
+        hits = list(self.automaton.iter(" " + " ".join(w) + " "))
         if not hits:
-            return []
+            return {}
         index, p = {}, 0
         for j, x in enumerate(w):
             index[p] = j
             p += len(x) + 1
         found: dict[int, tuple[int, int, int, int]] = {}
-        seen: dict[tuple[int, int], int] = {}
-        for end, (length, places) in hits:
-            j = index[end - length + 1]
-            for i, k in places:
-                again = seen.get((i, j - k), -2)
-                seen[(i, j - k)] = j
-                if again == j - 1:
-                    continue  # the same run of words, one further
-                item = self.items[i]
-                most = len(item) // self.per_edit
-                window = len(item) + most + 1
-                right = self._reach(item[k:], w[j : j + window], most)
-                left = self._reach(item[:k][::-1], w[max(0, j - window) : j][::-1], most)
-                for e1, (n1, m1) in enumerate(left):
-                    for e2, (n2, m2) in enumerate(right):
-                        n, e = n1 + n2, e1 + e2
-                        if n >= self.least and self.per_edit * e <= n and (n, -e) > found.get(i, (0, 0, 0, 0))[:2]:
-                            found[i] = (n, -e, j - m1, j + m2)
-        if not found:
-            return []
-        longest: dict[int, tuple[int, int, int, int]] = {}
-        for k, passage in found.items():  # an item may have several texts
-            longest[self.ids[k]] = max(passage, longest.get(self.ids[k], passage))
-        places = placed_words(text)
-        return [(i, places[a][1], places[b - 1][2], n, -e) for i, (n, e, a, b) in sorted(longest.items())]
+        for n, place, j in self._runs(w, [(index[end - length + 1], places) for end, (length, places) in hits]):
+            i = bisect_right(self.begins, place) - 1
+            item, best = self.items[i], found.get(i, (0, 0, 0, 0))
+            if best[:2] == (len(item), 0):
+                continue  # the whole item was found as it is
+            k = place - self.begins[i]
+            most = len(item) // self.per_edit
+            window = len(item) + most + 1
+            right = self._reach(item[k + n :], w[j + n : j + n + window], most)
+            left = self._reach(item[:k][::-1], w[max(0, j - window) : j][::-1], most)
+            for e1, (n1, m1) in enumerate(left):
+                for e2, (n2, m2) in enumerate(right):
+                    size, e = n1 + n + n2, e1 + e2
+                    if size >= self.least and self.per_edit * e <= size and (size, -e) > best[:2]:
+                        best = found[i] = (size, -e, j - m1, j + n + m2)
+        return found
 
 
 _matchers: dict[bytes, Matcher] = {}
@@ -187,15 +261,15 @@ def _matcher(packed: bytes) -> Matcher:
 
 def leaked_passages(
     docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
-    least: int = 14, per_edit: int = 10, block_chars: int = 8_000_000,
+    least: int = 14, per_edit: int = 10, block_chars: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, begin, end, words, edits): the longest passage of each item that each document holds.
 
     A passage is ``least`` words of an item or more, in one piece and in order, begins and ends with equal words, and has at
     most one word in ``per_edit`` altered, left out or put in; case, accents, punctuation, spacing, width, invisible
     characters, entities and markup do not count. ``begin`` and ``end`` are code point offsets in the document. Documents are
-    read once in a narrow pass, whole. The items are sent to every worker; beyond ``block_chars`` characters they are taken
-    in blocks, with a pass for each. Null and empty texts hold nothing, items of fewer than ``least`` words are never found;
+    read once in a narrow pass, whole. The items are sent to every worker, whose automaton takes some 120 MB a million
+    characters; beyond ``block_chars`` characters they are taken in blocks, with a pass for each. Null and empty texts hold nothing, items of fewer than ``least`` words are never found;
     repeated documents are reported row by row, repeated items once, with the longest passage of any of their texts. Items
     without an id are left out.
     """

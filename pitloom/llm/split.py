@@ -3,41 +3,49 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitloom.llm.bpe import PATTERN, Encoder, encoder, read_vocabulary, text_of
+from pitloom.llm.bpe import Encoder, encoder, read_vocabulary, text_of
 
 #: Strength of a boundary: none, word, sentence, paragraph.
 NONE, WORD, SENTENCE, PARAGRAPH = range(4)
 
-_PIECES = regex.compile(PATTERN)
-_SENTENCE_END = regex.compile(r"[.!?…。！？]+[\"'»“”’)\]]*$")
-_WIDE_END = regex.compile(r"[。！？]")
+#: Characters that end a sentence, those that may follow them, and those that end one without a blank.
+_ENDS, _CLOSERS, _WIDE = frozenset(".!?…。！？"), frozenset("\"'»“”’)]"), frozenset("。！？")
+#: A character has at most so many tokens, one a byte.
+MOST_A_CHARACTER = 4
 
 
-def _atoms(text: str, enc: Encoder, longest: int) -> tuple[list[int], list[int], bool]:
-    """Ends and token counts of the smallest segments; one of more than ``longest`` tokens is cut between its characters."""
-    ends, sizes, torn = [], [], False
-    for m in _PIECES.finditer(text):
-        word = m[0]
-        ids = enc.word(word)
-        if len(ids) <= longest:
-            ends.append(m.end())
-            sizes.append(len(ids))
+def _cut_word(word: str, enc: Encoder, longest: int) -> Iterator[tuple[int, int]]:
+    """(length, tokens) of parts of a word, in order: each of at most ``longest`` tokens, or a single character."""
+    waiting = [word]
+    while waiting:
+        part = waiting.pop()
+        n = len(enc.word(part))
+        if n <= longest or len(part) == 1:
+            yield len(part), n
             continue
-        torn = True
-        step = max(1, len(word) * longest // (2 * len(ids)))
-        for k in range(0, len(word), step):
-            ends.append(m.start() + min(k + step, len(word)))
-            sizes.append(len(enc.merge(word[k : k + step].encode())))
-    return ends, sizes, torn
+        step = min(len(part) // 2, max(1, len(part) * longest // (2 * n)))
+        waiting += [part[k : k + step] for k in range(0, len(part), step)][::-1]
+
+
+def _atoms(words: list[str], sizes: list[int], enc: Encoder, longest: int) -> tuple[list[int], list[int], bool]:
+    """Ends and token counts of the smallest segments, and whether a word of more than ``longest`` tokens was cut."""
+    if max(sizes) <= longest:
+        return list(accumulate(map(len, words))), sizes, False
+    lengths, counts = [], []
+    for word, size in zip(words, sizes):
+        for length, n in ((len(word), size),) if size <= longest else _cut_word(word, enc, longest):
+            lengths.append(length)
+            counts.append(n)
+    return list(accumulate(lengths)), counts, True
 
 
 def _ends_paragraph(text: str, cut: int) -> bool:
@@ -56,17 +64,18 @@ def _ends_paragraph(text: str, cut: int) -> bool:
 def _strength(text: str, cut: int) -> int:
     """Of the boundary before ``text[cut]``; white space belongs to what follows, a line end to what precedes."""
     before, after = text[cut - 1], text[cut]
-    if _ends_paragraph(text, cut):
-        return PARAGRAPH
-    if before == "\n" and not after.isspace():
-        return SENTENCE
-    if after.isspace():
-        if before.isspace():
+    if before.isspace():
+        if _ends_paragraph(text, cut):
+            return PARAGRAPH
+        if after.isspace():
             return NONE
-        return SENTENCE if _SENTENCE_END.search(text[max(0, cut - 6) : cut]) else WORD
-    if _WIDE_END.match(before):
-        return SENTENCE
-    return WORD if before.isspace() else NONE
+        return SENTENCE if before == "\n" else WORD
+    if not after.isspace():
+        return SENTENCE if before in _WIDE else NONE
+    k = cut - 1
+    while k and text[k] in _CLOSERS:
+        k -= 1
+    return SENTENCE if text[k] in _ENDS else WORD
 
 
 def split_text(text: str, enc: Encoder, limit: int = 800, overlap: int = 64) -> list[tuple[int, int, int, int]]:
@@ -74,59 +83,98 @@ def split_text(text: str, enc: Encoder, limit: int = 800, overlap: int = 64) ->
 
     Neighbouring segments wait in a heap by the strength of the boundary between them, then by joint size; the weakest is
     merged as long as the joint size, with the overlap still to come, is within the limit. A text within the limit is one
-    piece. A piece never has more than ``limit`` tokens, and its overlap not more than ``overlap``.
+    piece. A piece never has more than ``limit`` tokens. Its overlap has at most ``overlap``, each word of it counted as in
+    the text (a word of more than half the overlap is cut between characters, whose parts are counted one by one).
+    ``limit`` must hold any single character, and the overlap be less than half of it.
     """
+    return _split(text, *_measure(text, enc), enc, limit, overlap) if text else [(0, 0, 0, 0)]
+
+
+def _measure(text: str, enc: Encoder) -> tuple[list[str], list[int]]:
+    """The words of a text, which put together give it, and the tokens of each."""
+    words, known = enc.find(text), enc.words.get
+    return words, [len(known(w) or enc.word(w)) for w in words]
+
+
+def _split(text: str, words: list[str], sizes: list[int], enc: Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    if limit < MOST_A_CHARACTER:
+        raise ValueError(f"a character may have {MOST_A_CHARACTER} tokens, more than the limit")
     if not 0 <= overlap < limit // 2:
         raise ValueError("overlap must be less than half the limit")
-    budget = limit
+    if sum(sizes) <= limit:
+        return [(0, 0, len(text), sum(sizes))]
+    budget, repeat, longest = limit, overlap, max(1, min(overlap, limit - overlap) // 2)
+    # Every round that fails leaves a smaller budget. Below twice the overlap the overlap is halved, and the atoms with it; in
+    # the end there is no overlap, nothing is merged and an atom is a character, which is within the limit.
     while True:
-        ends, sizes, torn = _atoms(text, enc, max(1, min(overlap, limit - overlap) // 2) or 1)
-        total = [0]
-        for s in sizes:
-            total.append(total[-1] + s)
-        whole = enc.count(text) if torn else total[-1]
-        if whole <= limit:
-            return [(0, 0, len(text), whole)]
-        # white space at an end and characters cut from a long word may merge otherwise: count again
-        pieces = [(b, c, e, enc.count(text[b:e])) for b, c, e in _merge(text, ends, total, budget, overlap)]
+        ends, counts, torn = _atoms(words, sizes, enc, longest)
+        total = list(accumulate(counts, initial=0))
+        pieces = [(b, c, e, enc.count(text[b:e]) if torn else n - _joined(text, b, e, total, ends, enc)) for b, c, e, n in _merge(text, ends, total, budget, repeat)]
         over = max(n for *_, n in pieces) - limit
         if over <= 0:
             return pieces
         budget -= over
+        while repeat and budget < 2 * repeat:
+            repeat, longest = repeat // 2, max(1, longest // 2)
+        if budget <= 0:
+            longest = 1
 
 
-def _merge(text: str, ends: list[int], total: list[int], limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def _joined(text: str, begin: int, end: int, total: list[int], ends: list[int], enc: Encoder) -> int:
+    """By how many tokens the white space at the end of a piece counts less there than in the text.
+
+    Words are found from left to right, and only white space looks at what follows it. So a piece that begins and ends with
+    words of the text has the same words, but for white space at its end, which is one word there and may be two in the text.
+    """
+    start = end
+    while start > begin and text[start - 1].isspace():
+        start -= 1
+    if start == end or end == len(text):
+        return 0
+    first = bisect_right(ends, start)  # the atom that begins at ``start``
+    return total[bisect_left(ends, end) + 1] - total[first] - len(enc.word(text[start:end]))
+
+
+def _merge(text: str, ends: list[int], total: list[int], limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(begin, core, end, tokens) of each piece, the tokens being those of its atoms."""
     n = len(ends)
-    strength = [PARAGRAPH] + [_strength(text, ends[i - 1]) for i in range(1, n)]  # of the boundary before atom i
+    strength = [PARAGRAPH] + [_strength(text, k) for k in ends[:-1]]  # of the boundary before atom i
     after = list(range(1, n + 1))  # first atom behind the segment that starts here
     before = list(range(-1, n - 1))  # start of the segment before
     alive = bytearray([1]) * n
 
-    def fits(i: int, end: int) -> bool:
-        return total[end] - total[i] + (overlap if i else 0) <= limit
-
-    heap = [(strength[i], total[i + 1] - total[i - 1], i) for i in range(1, n)]
+    # segments only grow: a pair that does not fit never will, and is not kept. A pair's key is its strength, size and place as
+    # the digits of one number, which sorts as they would
+    wide = (limit + 1) * n
+    base = [s * wide for s in strength]
+    heap = [base[i] + (total[i + 1] - total[i - 1]) * n + i for i in range(1, n) if total[i + 1] - total[i - 1] + (overlap if i > 1 else 0) <= limit]
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, size, i = heapq.heappop(heap)
+        key = pop(heap)
+        i = key % n
         if not alive[i]:
             continue
-        left = before[i]
-        if size != total[after[i]] - total[left] or not fits(left, after[i]):
-            continue  # it has grown since, and is in the heap with its new size, or it cannot grow
+        left, end = before[i], after[i]
+        if key - base[i] != (total[end] - total[left]) * n + i:
+            continue  # it has grown since, and is in the heap with its new size if that fits
         alive[i] = 0
-        after[left] = after[i]
-        if after[i] < n:
-            before[after[i]] = left
-            heapq.heappush(heap, (strength[after[i]], total[after[after[i]]] - total[left], after[i]))
+        after[left] = end
+        if end < n:
+            before[end] = left
+            grown = total[after[end]] - total[left]
+            if grown + (overlap if left else 0) <= limit:
+                push(heap, base[end] + grown * n + end)
         if left:
-            heapq.heappush(heap, (strength[left], total[after[left]] - total[before[left]], left))
+            first = before[left]
+            grown = total[end] - total[first]
+            if grown + (overlap if first else 0) <= limit:
+                push(heap, base[left] + grown * n + left)
     pieces, i, since = [], 0, 0
     while i < n:
         end = after[i]
         begin = _overlap_start(i, since, strength, total, overlap) if i else 0
-        at = ends[begin - 1] if begin else 0
-        pieces.append((at, ends[i - 1] if i else 0, ends[end - 1]))
+        pieces.append((ends[begin - 1] if begin else 0, ends[i - 1] if i else 0, ends[end - 1], total[end] - total[begin]))
         i, since = end, begin
     return pieces
 
@@ -141,7 +189,7 @@ def _overlap_start(i: int, since: int, strength: list[int], total: list[int], ov
     half = [k for k in range(first, i) if total[i] - total[k] >= overlap // 2] or list(range(first, i))
     if not half:
         return i
-    best = max(half, key=lambda k: (min(strength[k], PARAGRAPH), -k))
+    best = max(half, key=lambda k: (strength[k], -k))
     return best if strength[best] > NONE else first
 
 
@@ -165,8 +213,9 @@ def split_corpus(df: DataFrame, id_column: str, text_column: str, limit: int = 8
                 if value is None or len(value) <= limit:
                     continue  # a token has a byte at least
                 text = text_of(value)
-                if enc.count(text) > limit:
-                    rows += ((k, no, b, c, e, n, text[b:e]) for no, (b, c, e, n) in enumerate(split_text(text, enc, limit, overlap)))
+                words, sizes = _measure(text, enc)
+                if sum(sizes) > limit:
+                    rows += ((k, no, b, c, e, n, text[b:e]) for no, (b, c, e, n) in enumerate(_split(text, words, sizes, enc, limit, overlap)))
             if rows:
                 k, *rest = zip(*rows)
                 columns = [keys.take(pa.array(k, pa.int32())), *(pa.array(c, pa.int32()) for c in rest[:-1]), pa.array(rest[-1], pa.string())]
