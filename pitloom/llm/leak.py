@@ -174,6 +174,8 @@ class Matcher:
             for b in range(self._gap + 1):
                 if a or b:
                     kept |= equal(e + a, f + b) | equal(p - 1 - a, q - 1 - b)
+                if a + b < self._gap:  # a word of the run itself, where the item has it again and the text has not
+                    kept |= equal(e + a, f - 1 - b) | equal(p - 1 - a, q + b)
         kept = np.flatnonzero(kept)
         kept = kept[np.argsort(-n[kept], kind="stable")]
         return list(zip(n[kept].tolist(), p[kept].tolist(), (q[kept] - pad).tolist()))
@@ -190,22 +192,24 @@ class Matcher:
         front, best = {0: x}, [(x, x)]
         for _ in range(edits):
             grown = dict(front)
-            top = best[-1]
             for d, x in front.items():
                 for to, begin in ((d, x + 1), (d - 1, x + 1), (d + 1, x)):  # altered, left out, put in
-                    if begin > len(a) or not 0 <= begin + to <= len(b):
-                        continue
-                    end = slide(begin, begin + to)
-                    if end > begin and end > top[0]:
-                        top = (end, end + to)
-                    if end > grown.get(to, -1):
-                        grown[to] = end
-            front = grown
+                    if begin <= len(a) and 0 <= begin + to <= len(b):
+                        end = slide(begin, begin + to)
+                        if end > grown.get(to, -1):
+                            grown[to] = end
+            front, top = grown, best[-1]
+            for d, x in front.items():
+                # what reaches a place reaches those before it on the diagonal; the last of them with equal words ends a passage
+                while x > top[0] and x + d > 0 and a[x - 1] != b[x + d - 1]:
+                    x -= 1
+                if x > top[0] and x + d > 0:
+                    top = (x, x + d)
             best.append(top)
         return best
 
     def passages(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item, begin, end, words, edits) of the longest passage of each item; offsets in code points of the text.
+        """(item, begin, end, words, edits) of the passage of each item with the most words less edits; offsets in code points.
 
         A text whose tag holds as many words as a passage is read with its tags as markup and as text.
         """
@@ -215,13 +219,13 @@ class Matcher:
         for markup in (True, False) if _wordy_markup(text, self.least) else (True,):
             found = self._found(words(text, markup))
             places = placed_words(text, markup) if found else []
-            for k, (n, e, a, b) in found.items():
+            for k, (m, e, a, b) in found.items():
                 for i in self.ids[k]:  # an item may have several texts, and a text several items
-                    longest[i] = max((n, e, places[a][1], places[b - 1][2]), longest.get(i, (0, 0, 0, 0)))
-        return [(i, begin, end, n, -e) for i, (n, e, begin, end) in sorted(longest.items())]
+                    longest[i] = max((m, e, places[a][1], places[b - 1][2]), longest.get(i, (0, 0, 0, 0)))
+        return [(i, begin, end, m - e, -e) for i, (m, e, begin, end) in sorted(longest.items())]
 
     def _found(self, w: list[str]) -> dict[int, tuple[int, int, int, int]]:
-        """(words, -edits, first word, word after the last) of the longest passage of each item in the words of a text."""
+        """(words - edits, -edits, first word, word after the last) of the best passage of each item in the words of a text."""
         hits = list(self.automaton.iter(" " + " ".join(w) + " "))
         if not hits:
             return {}
@@ -238,13 +242,13 @@ class Matcher:
             k = place - self.begins[i]
             most = len(item) // self.per_edit
             window = len(item) + most + 1
-            right = self._reach(item[k + n :], w[j + n : j + n + window], most)
-            left = self._reach(item[:k][::-1], w[max(0, j - window) : j][::-1], most)
+            right = self._reach(item[k:], w[j : j + n + window], most)
+            left = self._reach(item[: k + n][::-1], w[max(0, j - window) : j + n][::-1], most)
             for e1, (n1, m1) in enumerate(left):
-                for e2, (n2, m2) in enumerate(right):
-                    size, e = n1 + n + n2, e1 + e2
-                    if size >= self.least and self.per_edit * e <= size and (size, -e) > best[:2]:
-                        best = found[i] = (size, -e, j - m1, j + n + m2)
+                for e2, (n2, m2) in enumerate(right):  # both hold the run
+                    size, e = n1 + n2 - n, e1 + e2
+                    if size >= self.least and self.per_edit * e <= size and (size - e, -e) > best[:2]:
+                        best = found[i] = (size - e, -e, j + n - m1, j + m2)
         return found
 
 
@@ -263,7 +267,7 @@ def leaked_passages(
     docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str,
     least: int = 14, per_edit: int = 10, block_chars: int = 2_000_000,
 ) -> DataFrame:
-    """(doc_id, item_id, begin, end, words, edits): the longest passage of each item that each document holds.
+    """(doc_id, item_id, begin, end, words, edits): of each item that a document holds, the passage of the most words less edits.
 
     A passage is ``least`` words of an item or more, in one piece and in order, begins and ends with equal words, and has at
     most one word in ``per_edit`` altered, left out or put in; case, accents, punctuation, spacing, width, invisible

@@ -226,7 +226,7 @@ def check(text, enc, limit, overlap):
     for k, (b, c, e, n) in enumerate(pieces):
         assert n == enc.count(text[b:e]) <= limit
         assert (b == c == 0) if k == 0 else b <= c < e
-        torn = max(len(enc.word(w)) for w in enc.find(text)) > overlap // 2
+        torn = max((len(enc.word(w)) for w in enc.find(text)), default=0) > overlap // 2
         assert b == c or enc.count(text[b:c]) <= overlap or torn and enc.count(text[b:c]) <= 2 * overlap  # parts of a cut word count by themselves
     return pieces
 
