@@ -1,9 +1,10 @@
 """Column profile of every load and what departs from the contract or from the source's other loads.
 
-Values are generalised to character-class masks. One pass counts the masks of each load; null rates, unreadable values and
-value ranges are read off these cells, and dominant masks, rare-mask violations and the divergence of a load's mask
-distribution from the other loads follow from the same small table. Distinct counts and the exact leave-one-load-out median
-need the values themselves.
+Values are generalised to character-class masks: texts to the classes of their characters, numbers to sign, leading digit and
+place of the point, which keeps their order. One pass counts the masks of each load and group; null rates, value ranges,
+dominant masks and violations under rare ones are read off these cells. So is how far a load's distribution of number masks
+has moved from the other loads': the cells bound the others' median and the values far from it. Only where these bounds leave
+a load undecided are the values themselves ranked, and distinct counts need them too.
 """
 
 from __future__ import annotations
@@ -15,19 +16,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitloom.functions.masks import mask
+from pitloom.functions.masks import mask, number_mask
 from pitloom.operators.ranks import bucket_edges, null_safe
 from pitloom.session import cut, together
 
 
 @dataclass(frozen=True)
 class ColumnContract:
-    """What a column must hold: texts with one of ``masks`` (None: any), values from ``least`` on (above it if ``strict``)."""
+    """What a column must hold: numbers, or texts of a ``format`` (a pattern for the whole text), from ``least`` on (above it if ``strict``)."""
 
     name: str
     least: float | None = None
     strict: bool = False
-    masks: tuple[str, ...] | None = None
+    format: str | None = None
 
 
 @dataclass(frozen=True)
@@ -52,23 +53,36 @@ def _mask_of(column: Column, numeric: bool) -> Column:
     return F.when(digits.isin("NaN", "Infinity"), "a").when(digits == "-Infinity", "-a").otherwise(digits)
 
 
-def _long(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None, masks: bool = True) -> DataFrame:
-    """One row per value: source, load, by, column (position of the contract), text mask (if ``masks``), number."""
+def _long(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None, mask_of=None) -> DataFrame:
+    """One row per value: source, load, by, column (position of the contract), number, mask (by ``mask_of``, if given)."""
     cells = []
     for i, c in enumerate(contracts):
         value = df[c.name]
-        m = _mask_of(value, c.masks is None)
-        number = value.cast("double") if c.masks is None else F.when(m.isin(*c.masks), F.expr(f"try_cast(`{c.name}` AS double)"))
+        number = value.cast("double") if c.format is None else F.when(value.rlike(f"^(?:{c.format})\\z"), F.expr(f"try_cast(`{c.name}` AS double)"))
         fields = [F.lit(i).alias("column"), F.when(~F.isnan(number), number).alias("number")]
-        cells.append(F.struct(*fields, *([m.alias("mask")] if masks else [])))
+        cells.append(F.struct(*fields, *([mask_of(value, c.format is None).alias("mask")] if mask_of else [])))
     keys = [df[source].alias("source"), df[load].alias("load"), (df[by] if by else F.lit("")).cast("string").alias("by")]
     return df.select(*keys, F.explode(F.array(*cells)).alias("cell")).select("source", "load", "by", "cell.*")
 
 
+def cells(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None = None) -> DataFrame:
+    """Counts of each mask in each load, group and column: (source, load, by, column, mask, size, n, least, most).
+
+    ``mask`` is that of a text, null for a null value, and one sign for all numbers of a numeric column; ``size`` is the mask
+    of the number, null for what is none; ``least`` and ``most`` are the smallest and greatest number under it.
+    """
+    kinds = lambda value, numeric: F.when(value.isNotNull(), "9") if numeric else mask(value.cast("string"))
+    return (
+        _long(df, contracts, source, load, by, kinds)
+        .groupBy("source", "load", "by", "column", "mask", number_mask(F.col("number")).alias("size"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("least"), F.max("number").alias("most"))
+    )
+
+
 def mask_cells(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None = None) -> DataFrame:
     """Counts of each mask (null: null values) in each load and column, with the range of the readable values under it."""
     return (
-        _long(df, contracts, source, load, by)
+        _long(df, contracts, source, load, by, _mask_of)
         .groupBy("source", "load", "column", "mask")
         .agg(F.count(F.lit(1)).alias("n"), F.count("number").alias("n_values"), F.min("number").alias("least"), F.max("number").alias("most"))
     )
@@ -80,7 +94,12 @@ def mask_profile(df: DataFrame, contracts: list[ColumnContract], source: str, lo
     A mask is dominant in a column if it is on at least ``rare_mask`` of the source's texts, else rare. Nulls have no mask and
     are left out; a source with one load has null shares of others.
     """
-    cells = mask_cells(df, contracts, source, load).where(F.col("mask").isNotNull())
+    return _profile_of(mask_cells(df, contracts, source, load), limits).select("source", "load", _name(contracts), "mask", "n", "share", "share_others", "rare")
+
+
+def _profile_of(counts: DataFrame, limits: Departures) -> DataFrame:
+    """As mask_profile, of (source, load, column, mask, n)."""
+    cells = counts.where(F.col("mask").isNotNull())
     loads = cells.groupBy("source", "load", "column").agg(F.sum("n").alias("n_load"))
     whole = cells.groupBy("source", "column").agg(F.sum("n").alias("n_source"))
     masks = cells.groupBy("source", "column", "mask").agg(F.sum("n").alias("n_mask"))
@@ -94,7 +113,7 @@ def mask_profile(df: DataFrame, contracts: list[ColumnContract], source: str, lo
         .select(
             "source",
             "load",
-            _name(contracts),
+            "column",
             "mask",
             "n",
             (F.col("n") / F.col("n_load")).alias("share"),
@@ -135,29 +154,53 @@ def _below(contracts: list[ColumnContract], least: Column) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
-def load_profile(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None = None) -> DataFrame:
-    """Per load and column: rows, nulls, unreadable texts, values, distinct values, least and most."""
-    text = F.col("mask").isNotNull()
-    unreadable = [F.lit(0)]
-    for i, c in enumerate(contracts):
-        if c.masks is not None:
-            unreadable.append(F.when((F.col("column") == i) & text & ~F.col("mask").isin(*c.masks), F.col("n")).otherwise(0))
-    cells = mask_cells(df, contracts, source, load, by).groupBy("source", "load", "column").agg(
+def _texts(contracts: list[ColumnContract]) -> Column:
+    """Whether the row's column is one of texts."""
+    return F.col("column").isin([i for i, c in enumerate(contracts) if c.format is not None])
+
+
+def _loads_of(counted: DataFrame, contracts: list[ColumnContract]) -> DataFrame:
+    """Per load and column, from ``cells``: rows, nulls, unreadable texts, values, least and most."""
+    known, number = F.col("mask").isNotNull(), F.col("size").isNotNull()
+    return counted.groupBy("source", "load", "column").agg(
         F.sum("n").alias("n_rows"),
-        F.sum(F.when(text, 0).otherwise(F.col("n"))).alias("n_null"),
-        F.sum(reduce(lambda a, b: a + b, unreadable)).alias("n_unreadable"),
-        F.sum("n_values").alias("n_values"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("n_null"),
+        F.sum(F.when(_texts(contracts) & known & ~number, F.col("n")).otherwise(0)).alias("n_unreadable"),
+        F.sum(F.when(number, F.col("n")).otherwise(0)).alias("n_values"),
         F.min("least").alias("least"),
         F.max("most").alias("most"),
     )
-    distinct = (
-        _long(df, contracts, source, load, by, masks=False).where(F.col("number").isNotNull())
-        .groupBy("source", "load", "column").agg(F.countDistinct("number").alias("n_distinct"))
-    )
-    joined = cells.alias("c").join(distinct.alias("d"), null_safe("c", "d", ["source", "load", "column"]), "left")
+
+
+def _distinct_values(df: DataFrame, contracts: list[ColumnContract], source: str, load: str) -> DataFrame:
+    values = _long(df, contracts, source, load, None).where(F.col("number").isNotNull())
+    return values.groupBy("source", "load", "column").agg(F.countDistinct("number").alias("n_distinct"))
+
+
+def load_profile(df: DataFrame, contracts: list[ColumnContract], source: str, load: str) -> DataFrame:
+    """Per load and column: rows, nulls, unreadable texts, values, least and most, distinct values."""
+    return _with_distinct(_loads_of(cells(df, contracts, source, load), contracts), _distinct_values(df, contracts, source, load))
+
+
+def _with_distinct(loads: DataFrame, distinct: DataFrame) -> DataFrame:
+    joined = loads.alias("c").join(distinct.alias("d"), null_safe("c", "d", ["source", "load", "column"]), "left")
     return joined.select("c.*", F.coalesce("d.n_distinct", F.lit(0)).alias("n_distinct"))
 
 
+def rare_violations(counted: DataFrame, contracts: list[ColumnContract], limits: Departures = Departures()) -> DataFrame:
+    """(source, load, column, n_unreadable): texts of a load under masks that are not dominant in the source's column.
+
+    A mask is dominant if it is not rare there and its texts have the contract's format. What is left is checked: a rare mask
+    may still be one of readable texts, such as those of negative numbers.
+    """
+    merged = counted.where(_texts(contracts)).groupBy("source", "load", "column", "mask").agg(F.sum("n").alias("n"), F.max("size").isNotNull().alias("_readable"))
+    told = _profile_of(merged.drop("_readable"), limits)
+    readable = merged.where("_readable").select("column", "mask").distinct().withColumn("_readable", F.lit(True))
+    judged = told.join(readable, ["column", "mask"], "left").withColumn("_readable", F.coalesce("_readable", F.lit(False)))
+    suspects = judged.where(~(~F.col("rare") & F.col("_readable")))
+    return suspects.where(~F.col("_readable")).groupBy("source", "load", "column").agg(F.sum("n").alias("n_unreadable"))
+
+
 _GROUP = ["source", "by", "column"]
 
 
@@ -207,15 +250,53 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     )
 
 
-def far_counts(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None, limits: Departures = Departures()) -> DataFrame:
-    """Per load and column, how many values are far from the exact median of the group's values in the other loads.
+def far_bounds(counted: DataFrame, limits: Departures = Departures()) -> DataFrame:
+    """(source, by, column, load, least_far, most_far): between how many of the load's values in the group are far.
 
-    Let a value have rank r in its group (source, by) and rank j within its load, so that r - j values of other loads are
-    below it. The k-th value of the others then has rank k + #{r - j < k} in the group, which gives the leave-one-out
-    median of every load from two sorts, without pairing loads with values. Only values ranked around the middle can be such
-    medians, and only they are looked up.
+    Far from the median of the group's values in the other loads, as in far_counts. The mask under which the others' middle
+    values lie bounds the median; a mask of the load whose values are all beyond these bounds, or all within, is certain.
+    Lists have an entry a mask: some ten a power of ten that the group's values span. A group that no other load has is never
+    far.
+    """
+    own = counted.where(F.col("size").isNotNull()).groupBy(*_GROUP, "load", "size").agg(F.sum("n").alias("n"), F.min("least").alias("lo"), F.max("most").alias("hi"))
+    whole = own.groupBy(*_GROUP, "size").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    listed = lambda t, *keys: t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("size", "n", "lo", "hi"))).alias("cells"), F.sum("n").alias("n"))
+    o, w = listed(own, *_GROUP, "load").alias("o"), listed(whole, *_GROUP).alias("w")
+    both = o.join(w, null_safe("o", "w", _GROUP)).select(
+        *(f"o.{k}" for k in (*_GROUP, "load")), F.col("o.cells").alias("own"), F.col("w.cells").alias("whole"), (F.col("w.n") - F.col("o.n")).alias("rest"),
+        F.map_from_entries(F.transform("o.cells", lambda c: F.struct(c["size"], c["n"]))).alias("mine"),
+    )
+    lower, upper = F.floor((F.col("rest") + 1) / 2), F.floor(F.col("rest") / 2) + 1
+    none = F.lit(None).cast("double")
+    state = lambda c, a, b, x, y: F.struct(c.alias("c"), a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
+
+    def walk(old: Column, cell: Column) -> Column:
+        """c: others so far; a and b: bounds of their lower middle value, x and y: of the upper one."""
+        now = old["c"] + cell["n"] - F.coalesce(F.element_at("mine", cell["size"]), F.lit(0))
+        reached = lambda k: (old["c"] < k) & (now >= k)
+        pick = lambda k, name, kept: F.when(reached(k), cell[name]).otherwise(kept)
+        return state(now, pick(lower, "lo", old["a"]), pick(lower, "hi", old["b"]), pick(upper, "lo", old["x"]), pick(upper, "hi", old["y"]))
+
+    middle = both.withColumn("m", F.aggregate("whole", state(F.lit(0).cast("long"), none, none, none, none), walk))
+    low, high, factor = (F.col("m.a") + F.col("m.x")) / 2, (F.col("m.b") + F.col("m.y")) / 2, F.lit(limits.far_factor)
+    bounded = middle.select(*_GROUP, "load", "own", F.when(F.col("rest") > 0, low).alias("low"), F.when(F.col("rest") > 0, high).alias("high"))
+    surely = lambda c: (c["lo"] > F.col("high") * factor) | (c["hi"] < F.col("low") / factor)
+    never = lambda c: (c["hi"] <= F.col("low") * factor) & (c["lo"] >= F.col("high") / factor)
+    total = lambda test: F.aggregate(F.filter("own", test), F.lit(0).cast("long"), lambda t, c: t + c["n"])
+    alone = F.col("low").isNull()
+    return bounded.select(
+        *_GROUP, "load", F.when(alone, 0).otherwise(total(surely)).alias("least_far"), F.when(alone, 0).otherwise(total(lambda c: ~never(c))).alias("most_far")
+    )
+
+
+def far_counts(values: DataFrame, limits: Departures = Departures()) -> DataFrame:
+    """(source, by, column, load, n_far): how many values are far from the exact median of the group's values in the other loads.
+
+    Input: (source, by, column, load, number). Let a value have rank r in its group and rank j within its load, so that r - j
+    values of other loads are below it. The k-th value of the others then has rank k + #{r - j < k} in the group, which gives
+    the leave-one-out median of every load from two sorts, without pairing loads with values. Only values ranked around the
+    middle can be such medians, and only they are looked up.
     """
-    values = _long(df, contracts, source, load, by, masks=False).where(F.col("number").isNotNull()).select("source", "by", "column", "load", "number")
     ranked = _ranked(values, limits)
     rest = F.col("n_all") - F.col("n_load")
     lower, upper = F.floor((rest + 1) / 2), F.floor(rest / 2) + 1
@@ -245,7 +326,32 @@ def far_counts(df: DataFrame, contracts: list[ColumnContract], source: str, load
     m, factor = F.col("median"), F.lit(limits.far_factor)
     far = F.size(F.filter("numbers", lambda v: (v > m * factor) | (v < m / factor)))
     own = loads.drop("middle").alias("l").join(medians.alias("m"), null_safe("l", "m", [*_GROUP, "load"])).select("l.*", "m.median")
-    return own.withColumn("far", far).groupBy("source", "load", "column").agg(F.sum("far").alias("n_far"))
+    return own.withColumn("far", far).groupBy(*_GROUP, "load").agg(F.sum("far").alias("n_far"))
+
+
+def _far_loads(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None, counted: DataFrame, limits: Departures) -> DataFrame:
+    """(source, load, column): the loads of which at least ``far_share`` of the values are far; bounds first, then exact ranks."""
+    key = ["source", "load", "column"]
+    groups = cut(far_bounds(counted, limits))
+    n = counted.groupBy(*key).agg(F.sum(F.when(F.col("size").isNotNull(), F.col("n")).otherwise(0)).alias("n_values"))
+    sums = groups.groupBy(*key).agg(F.sum("least_far").alias("least_far"), F.sum("most_far").alias("most_far"))
+    enough = F.col("n_values") * limits.far_share
+    loads = cut(sums.alias("s").join(n.alias("n"), null_safe("s", "n", key)).select("s.*", "n.n_values").where(F.col("most_far") >= enough))
+    certain = loads.where(F.col("least_far") >= enough).select(*key)
+    open_loads = loads.where(F.col("least_far") < enough)
+    if not open_loads.take(1):
+        return certain
+    unsure = cut(groups.where("most_far > least_far").alias("g").join(open_loads.select(*key).alias("l"), null_safe("g", "l", key), "left_semi"))
+    values = _long(df, contracts, source, load, by).where(F.col("number").isNotNull())
+    theirs = values.alias("v").join(unsure.select(*_GROUP).distinct().alias("u"), null_safe("v", "u", _GROUP), "left_semi")
+    exact = far_counts(theirs.select(*_GROUP, "load", "number"), limits)
+    gained = (
+        unsure.alias("u").join(exact.alias("e"), null_safe("u", "e", [*_GROUP, "load"]), "left")
+        .select(*(f"u.{k}" for k in key), (F.coalesce("e.n_far", F.lit(0)) - F.col("u.least_far")).alias("more"))
+        .groupBy(*key).agg(F.sum("more").alias("more"))
+    )
+    found = open_loads.alias("o").join(gained.alias("g"), null_safe("o", "g", key)).where(F.col("o.least_far") + F.col("g.more") >= F.col("o.n_values") * limits.far_share)
+    return certain.unionByName(found.select(*(f"o.{k}" for k in key)))
 
 
 def departures(
@@ -257,24 +363,22 @@ def departures(
     single load has no others, so only pattern and range can be found there; an empty table gives no rows; NaN counts as
     neither null nor value; a null source, load or ``by`` is one of its own. Columns besides those named are not read.
     """
+    counted = cut(cells(df, contracts, source, load, by))
+    key = ["source", "load", "column"]
     profile, far = together(
-        lambda: cut(load_profile(df, contracts, source, load, by)), lambda: far_counts(df, contracts, source, load, by, limits)
+        lambda: cut(_with_distinct(_loads_of(counted, contracts), _distinct_values(df, contracts, source, load))),
+        lambda: _far_loads(df, contracts, source, load, by, counted, limits),
     )
+    rare = rare_violations(counted, contracts, limits)
     whole = profile.groupBy("source", "column").agg(*(F.sum(c).alias(f"{c}_all") for c in ("n_rows", "n_null", "n_values", "n_distinct")))
     others = lambda c: F.col(f"{c}_all") - F.col(c)
     share = lambda a, b: F.try_divide(a, b)
     tests = {
         "null_rate": share(F.col("n_null"), F.col("n_rows")) - share(others("n_null"), others("n_rows")) >= limits.null_rate,
-        "pattern": F.col("n_unreadable") > 0,
         "range": _below(contracts, F.col("least")),
-        "distribution": (F.col("n_values") > 0) & (F.col("n_far") >= limits.far_share * F.col("n_values")),
         "distinct": share(F.col("n_distinct"), F.col("n_values")) < limits.distinct * share(others("n_distinct"), others("n_values")),
     }
     issues = F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())))
-    return (
-        profile.alias("p")
-        .join(whole.alias("w"), null_safe("p", "w", ["source", "column"]))
-        .join(far.alias("f"), null_safe("p", "f", ["source", "load", "column"]), "left")
-        .select("p.*", *(f"w.{c}" for c in whole.columns if c.endswith("_all")), "f.n_far")
-        .select("source", "load", _name(contracts), F.explode(issues).alias("issue"))
-    )
+    told = profile.alias("p").join(whole.alias("w"), null_safe("p", "w", ["source", "column"])).select("p.*", *(f"w.{c}" for c in whole.columns if c.endswith("_all"))).select(*key, F.explode(issues).alias("issue"))
+    named = lambda df, issue: df.select(*key, F.lit(issue).alias("issue"))
+    return told.unionByName(named(rare, "pattern")).unionByName(named(far, "distribution")).select("source", "load", _name(contracts), "issue")

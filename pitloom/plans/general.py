@@ -10,7 +10,7 @@ from pitloom.session import read, together
 
 PRICES = [profile.ColumnContract("low", least=0.0, strict=True), profile.ColumnContract("volume", least=0.0)]
 #: Readable psi texts: a plain decimal number with a point, perhaps with a minus sign.
-DRIFT = [profile.ColumnContract("psi", least=0.0, masks=("9.9", "-9.9"))]
+DRIFT = [profile.ColumnContract("psi", least=0.0, format="-?[0-9]+[.][0-9]+")]
 
 
 def _both(spark: SparkSession, base: str, of) -> DataFrame:
@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p1_profile(spark: SparkSession, base: str) -> DataFrame:
     def one(df: DataFrame, contracts: list, load: str, by: str | None) -> DataFrame:
-        return profile.load_profile(df, contracts, "source", load, by).withColumn("column_name", profile._name(contracts)).drop("column")
+        return profile.load_profile(df, contracts, "source", load).withColumn("column_name", profile._name(contracts)).drop("column")
 
     return _both(spark, base, one).select("table_name", "column_name", "source", "load_id", "n_rows", "n_null", "n_unreadable", "n_values", "n_distinct", "least", "most")
 

@@ -2,14 +2,15 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows
-from pitloom.functions.masks import mask
+from pitloom.functions.masks import mask, number_mask
 from pitloom.operators import profile as P
 
 SCHEMA = "source string, load_id long, ticker string, low double, psi string, mask string, rank int, number double, column string"
 LOW = [P.ColumnContract("low", least=0.0, strict=True)]
-PSI = [P.ColumnContract("psi", least=0.0, masks=("9.9", "-9.9"))]
+PSI = [P.ColumnContract("psi", least=0.0, format="-?[0-9]+[.][0-9]+")]
 
 
 def table(spark, data):
@@ -36,14 +37,31 @@ def test_mask(spark):
 
 
 @pytest.mark.parametrize("hot", [2_000_000, 7])
-def test_far_counts_against_brute_force(spark, hot):
+@pytest.mark.parametrize("sign", [1, -1])
+def test_far_counts_against_brute_force(spark, hot, sign):
     rnd = random.Random(3)
-    data = [(s, l, t, rnd.choice([1.0, 2.0, 3.0, 50.0, None]) if rnd.random() < 0.6 else rnd.uniform(0.1, 30), None) for s in "ab" for l in range(4) for t in ("x", "y", "z") for _ in range(rnd.choice([0, 1, 3, 9]))]
+    data = [(s, l, t, rnd.choice([0.0, sign * 1.0, sign * 2.0, sign * 3.0, 50.0, None]) if rnd.random() < 0.6 and rnd.random() < 0.9 else rnd.uniform(-0.1, 30), None) for s in "ab" for l in range(4) for t in ("x", "y", "z") for _ in range(rnd.choice([0, 1, 3, 9]))]
     data += [("a", 9, "lonely", 4.0, None)]
-    got = P.far_counts(table(spark, data), LOW, "source", "load_id", "ticker", P.Departures(hot_rows=hot))
-    hand = {k: v for k, v in far_by_hand(data).items()}
-    found = {(r.source, r.load): r.n_far for r in got.collect()}
+    limits, df = P.Departures(hot_rows=hot), table(spark, data)
+    values = P._long(df, LOW, "source", "load_id", "ticker").where("number IS NOT NULL").select("source", "by", "column", "load", "number")
+    hand = far_by_hand(data)
+    found = {(r["source"], r["load"]): r["n"] for r in P.far_counts(values, limits).groupBy("source", "load").agg(F.sum("n_far").alias("n")).collect()}
     assert all(found.get(k, 0) == v for k, v in hand.items())
+    bounds = P.far_bounds(P.cells(df, LOW, "source", "load_id", "ticker"), limits).groupBy("source", "load").agg(F.sum("least_far").alias("a"), F.sum("most_far").alias("b"))
+    assert all(r["a"] <= hand[r["source"], r["load"]] <= r["b"] for r in bounds.collect())
+    n = {k: sum(1 for s, l, _, x, _ in data if (s, l) == k and x is not None) for k in hand}
+    for share in (0.2, 0.34, 0.5, 0.9):
+        limits = P.Departures(hot_rows=hot, far_share=share)
+        got = P._far_loads(df, LOW, "source", "load_id", "ticker", P.cells(df, LOW, "source", "load_id", "ticker"), limits)
+        assert rows(got, "source", "load") == sorted(k for k, v in hand.items() if v >= share * n[k])
+
+
+def test_number_masks_keep_the_order(spark):
+    rnd = random.Random(1)
+    x = sorted([rnd.choice([-1, 1]) * rnd.uniform(1, 10) * 10.0 ** rnd.randint(-320, 307) for _ in range(500)] + [0.0, 9.999999999999999, 10.0, 10.000000000000002, 1000.0, 999.9999999999999, float("inf"), float("-inf"), 5e-324, 1.7e308])
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(number_mask(F.col("x"))).collect()]
+    assert got == sorted(got) and got[x.index(0.0)] == 0
+    assert [r[0] for r in spark.createDataFrame([(None,)], "x double").select(number_mask(F.col("x"))).collect()] == [None]
 
 
 def test_issues(spark):
