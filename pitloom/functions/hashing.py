@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 
 def fixed(x: Column, places: int) -> Column:
-    """Text of a number with so many decimals, ``null`` for a missing one: smaller changes do not show."""
-    return F.coalesce(F.round(x, places).cast(f"decimal(38,{places})").cast("string"), F.lit("null"))
+    """Text of a number with so many decimals, null for a missing one: smaller changes do not show.
+
+    What has no such decimals (NaN, infinities, numbers beyond 38 digits) is given as it is written.
+    """
+    return F.coalesce(F.round(x, places).try_cast(f"decimal(38,{places})").cast("string"), x.cast("string"))
 
 
 def row_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts)), 256)
+    """Hash of a row. Each part stands behind its length, and a missing one is a sign of its own, so that no two rows are alike."""
+    framed = [F.when(t.isNull(), "-").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in (p.cast("string") for p in parts)]
+    return F.sha2(F.concat(*framed), 256)
 
 
 def content_hash(df: DataFrame, keys: list[str], parts: list[Column]) -> DataFrame:

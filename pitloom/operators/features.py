@@ -25,7 +25,7 @@ def add_price_features(panel: DataFrame, s: FeatureSettings = FeatureSettings())
     """Log returns, volatilities and their ratio, momentum and relative strength; from rows up to the bar's own only."""
     w = W.by_date("ticker")
     x = F.col("adj_close")
-    first = panel.select("*", W.log_return(x, w).alias("px_ret_1d"), (x - F.lag(x).over(w)).alias("_change"), (F.row_number().over(w) - 2).alias("_at"))
+    first = panel.select("*", W.log_return(x, w).alias("px_ret_1d"), (x - F.lag(x).over(w)).alias("_change"))
     r = F.col("px_ret_1d")
     vol = first.select(
         "*",
@@ -35,9 +35,9 @@ def add_price_features(panel: DataFrame, s: FeatureSettings = FeatureSettings())
         W.volatility(r, w, s.medium).alias(f"px_vol_{s.medium}d"),
         W.volatility(r, w, s.long).alias(f"px_vol_{s.long}d"),
         W.momentum(x, w, s.long).alias(f"px_mom_{s.long}d"),
-        W.wilder_rsi(F.col("_change"), F.col("_at"), w, s.rsi).alias(f"px_rsi_{s.rsi}"),
     )
-    return vol.withColumn("px_vol_ratio", ratio(F.col(f"px_vol_{s.short}d"), F.col(f"px_vol_{s.medium}d"))).drop("_change", "_at")
+    whole = W.wilder_rsi(vol, ["ticker"], "_change", f"px_rsi_{s.rsi}", s.rsi)
+    return whole.withColumn("px_vol_ratio", ratio(F.col(f"px_vol_{s.short}d"), F.col(f"px_vol_{s.medium}d"))).drop("_change")
 
 
 def add_market_features(panel: DataFrame, s: FeatureSettings = FeatureSettings()) -> DataFrame:

@@ -63,25 +63,29 @@ def effective_vintage(df: DataFrame, never_revised: Column) -> DataFrame:
     return df.withColumn("vintage_date", F.when(never_revised, F.col("observation_date")).otherwise(F.col("vintage_date")))
 
 
-FACTS = (
-    "map<string, map<string, struct<units: map<string, array<struct<"
-    "start: string, end: string, val: string, fy: string, fp: string, form: string, filed: string, frame: string>>>>>>"
-)
+FACT = "start string, end string, val string, fy string, fp string, form string, filed string, frame string"
+
+
+def _level(text: Column, kind: str) -> Column:
+    """The text read as an object or list of texts, or null if it is of another shape."""
+    return F.when(F.substring(F.ltrim(text), 1, 1) == ("[" if kind.startswith("array") else "{"), F.from_json(text, kind))
 
 
 def flatten_facts(df: DataFrame, document: str, key: str) -> DataFrame:
     """Filed facts from nested documents: namespace, tag, unit and their rows, levels of another shape skipped.
 
-    Rows need end, filed and form; form is cut to 16 characters, blank fiscal period and frame are null, as are values that
-    are no number.
+    Each level is parsed by itself, so that what has another shape is left out alone, with nothing beside it. Rows need end,
+    filed and form; form is cut to 16 characters, blank fiscal period and frame are null, as are values that are no number.
+    Documents that are no JSON give no rows.
     """
-    parsed = df.select(F.col(key).alias("ticker"), F.from_json(F.get_json_object(document, "$.facts"), FACTS).alias("f"))
-    a = parsed.select("ticker", F.explode("f").alias("namespace", "tags"))
-    b = a.select("ticker", "namespace", F.explode("tags").alias("tag", "fact"))
-    c = b.select("ticker", "namespace", "tag", F.explode("fact.units").alias("unit", "rows"))
-    d = c.select("ticker", "namespace", "tag", "unit", F.explode("rows").alias("r"))
-    blank = lambda n: F.nullif(F.trim(f"r.{n}"), F.lit("")).alias(n)
-    return d.select(
+    objects = "map<string,string>"
+    a = df.select(F.col(key).alias("ticker"), F.explode(_level(F.get_json_object(document, "$.facts"), objects)).alias("namespace", "_x"))
+    b = a.select("ticker", "namespace", F.explode(_level(F.col("_x"), objects)).alias("tag", "_x"))
+    c = b.select("ticker", "namespace", "tag", F.explode(_level(_level(F.col("_x"), objects)["units"], objects)).alias("unit", "_x"))
+    d = c.select("ticker", "namespace", "tag", "unit", F.explode(_level(F.col("_x"), "array<string>")).alias("_x"))
+    e = d.select("ticker", "namespace", "tag", "unit", _level(F.col("_x"), FACT).alias("r"))
+    blank = lambda n: F.nullif(F.trim(f"r.{n}"), F.lit(""))
+    return e.select(
         "ticker", "namespace", "tag", "unit", F.col("r.start").try_cast("date").alias("period_start"), F.col("r.end").try_cast("date").alias("period_end"), F.col("r.filed").try_cast("date").alias("filed"),
         F.substring("r.form", 1, 16).alias("form"), F.col("r.fy").try_cast("int").alias("fiscal_year"), blank("fp").alias("fiscal_period"), blank("frame").alias("frame"), finite(F.col("r.val").try_cast("double")).alias("value"),
     ).where("period_end IS NOT NULL AND filed IS NOT NULL AND form IS NOT NULL")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pitloom.functions.hashing import content_hash, fixed
 from pitloom.functions.safe import number
@@ -16,8 +17,8 @@ from pitloom.operators import known as K
 from pitloom.operators import panel as P
 from pitloom.operators import quality as Q
 from pitloom.plans import general
-from pitloom.session import cut, read
-from pitloom.sources.snapshots import retained
+from pitloom.session import cut, read, shared_folder
+from pitloom.sources.snapshots import SnapshotStore, retained
 
 #: The columns of macro_pivot_wide, as its SQL has them: the greatest value of a kind's series. mc_yoy_by_series keeps each series.
 KINDS = ["CORECPI", "CREDITGAP", "FUELSTOCK", "HOUSESTART", "JOBLESS", "MILLOUT", "PORTCALLS", "POTOUT", "RATEPATH", "RETAILVOL", "TRUCKORD", "WAGEIDX"]
@@ -27,7 +28,6 @@ FEATURES = X.FeatureSettings()
 MODEL = ["px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_20d", "px_rsi_14", "cs_market_rank_20d"]
 YOY_ROWS = 60
 YEAR = 252
-YEAR = 252
 
 
 def _r(*names: str, places: int = 6) -> list[Column]:
@@ -114,16 +114,6 @@ def mc_yoy_by_series(spark: SparkSession, base: str) -> DataFrame:
     return _macro_by_series(spark, base).select("series_id", "trade_date", "value", *_r("value_yoy"))
 
 
-def _macro_by_series(spark: SparkSession, base: str) -> DataFrame:
-    """(series_id, trade_date, value, value_yoy): each series by itself, with its change in percent over 252 of its weekdays."""
-    days = _macro_days(spark, base).select("series_id", "trade_date", F.col("known_value").alias("value"))
-    return X.add_year_changes(days, "trade_date", ["value"], YEAR, keys=["series_id"])
-
-
-def mc_yoy_by_series(spark: SparkSession, base: str) -> DataFrame:
-    return _macro_by_series(spark, base).select("series_id", "trade_date", "value", *_r("value_yoy"))
-
-
 def _intervals(spark: SparkSession, base: str) -> DataFrame:
     s = read(spark, base, "stg_macro_series").distinct()
     w = by_date("series_id", "observation_date", date="vintage_date")
@@ -517,6 +507,30 @@ def json_facts_flatten(spark: SparkSession, base: str) -> DataFrame:
     return I.flatten_facts(f.select("ticker", doc.alias("document")), "document", "ticker")
 
 
+def json_facts_messy(spark: SparkSession, base: str) -> DataFrame:
+    """As json_facts_flatten, of documents with something of another shape beside the fact on every level, and some that are none."""
+    f = read(spark, base, "stg_sec_facts").select("*", F.row_number().over(Window.partitionBy("ticker", "tag").orderBy(*(c for c in ("namespace", "unit", "period_start", "period_end", "filed", "form", "value")))).alias("_k"))
+    text = lambda c: F.col(c).cast("string")
+    row = F.to_json(F.struct(text("period_start").alias("start"), text("period_end").alias("end"), text("value").alias("val"), text("fiscal_year").alias("fy"), F.col("fiscal_period").alias("fp"), "form", text("filed").alias("filed"), "frame"))
+    inside = F.concat(F.lit('[7,"x",null,[1],'), row, F.lit(',{"end":"never"}]'))
+    for name, junk in (("unit", '"bad":5,"worse":{"a":1},"none at all":null'), ("units", '"label":"l","more":[1]'), ("tag", '"note":"x","list":[{"units":{}}]'), ("namespace", '"text":"t","number":3')):
+        key = F.lit(name) if name == "units" else F.coalesce(name, F.lit("none"))
+        inside = F.concat(F.lit("{" + junk + ',"'), key, F.lit('":'), inside, F.lit("}"))
+    doc = F.concat(F.lit('{"name":"n","facts":'), inside, F.lit("}"))
+    broken = F.array(doc, F.lit("no json"), F.lit('{"facts":[1,2]}'), F.lit('{"facts":"text"}'), F.lit("{}"), F.lit(None).cast("string"))
+    return I.flatten_facts(f.select("ticker", F.explode(F.when(F.col("_k") == 1, broken).otherwise(F.array(doc))).alias("document")), "document", "ticker")
+
+
+def snapshot_store_returns(spark: SparkSession, base: str) -> DataFrame:
+    """Bars of each source and load in a store: the first half of them, then others, then the first again; what the store holds last."""
+    p = read(spark, base, "stg_prices").select("source", "load_id", "ticker", "trade_date", "close", "row_id")
+    store = SnapshotStore(shared_folder(spark), ("source", "load_id"), "trade_date", (F.col("row_id"), F.col("ticker"), fixed(F.col("close"), 4)))
+    first = p.where("row_id % 2 = 0")
+    for at, rows in enumerate((first, p, first)):
+        store.write(rows, F.timestamp_seconds(F.lit(at)))
+    return store.read_latest(spark).select(*p.columns)
+
+
 def snapshot_hash(spark: SparkSession, base: str) -> DataFrame:
     p = read(spark, base, "stg_prices")
     return content_hash(p, ["source", "load_id"], [F.col("ticker"), F.col("trade_date"), fixed(F.col("close"), 4), fixed(F.col("high"), 4), F.col("volume")])
@@ -539,6 +553,6 @@ QUERIES = {
         entry_top_n, entry_threshold, entry_above_median, baseline_momentum, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
         classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean,
         dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_gate, dq_orphans,
-        ingest_normalise, missing_sentinel_parse, json_facts_flatten, snapshot_hash, snapshot_retention, sample_exact_n,
+        ingest_normalise, missing_sentinel_parse, json_facts_flatten, json_facts_messy, snapshot_hash, snapshot_store_returns, snapshot_retention, sample_exact_n,
     )
 }

@@ -188,6 +188,9 @@ _CONTRACTS = " UNION ALL ".join(
     )
 )
 
+_FLAT = """SELECT ticker, coalesce(namespace, 'none') AS namespace, coalesce(tag, 'none') AS tag, coalesce(unit, 'none') AS unit, period_start, period_end, filed, left(form, 16) AS form, fiscal_year,
+  nullif(trim(fiscal_period), '') AS fiscal_period, nullif(trim(frame), '') AS frame, value FROM stg_sec_facts WHERE period_end IS NOT NULL AND filed IS NOT NULL AND form IS NOT NULL"""
+
 SQL = {
     "bars_in_force": f"WITH {_PANEL} SELECT * FROM panel",
     "returns_labels": f"""WITH {_PANEL} SELECT ticker, trade_date, round(r, 6) AS log_return, next_trade_date, next_close, next_adj_close, round(nr, 6) AS next_log_return, nr > 0 AS next_return_positive FROM lab""",
@@ -288,16 +291,16 @@ SELECT sector, metric, round(avg(x), 5) AS mean FROM (SELECT * FROM l WHERE x IS
     "ingest_normalise": """SELECT source || ':' || ticker AS ticker, trade_date, open, high, low, close, coalesce(adj_close, close) AS adj_close, coalesce(volume, 0) AS volume FROM stg_prices
 WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, ticker, trade_date ORDER BY row_id DESC) = 1""",
     "missing_sentinel_parse": """SELECT report_id, count(*) AS n, count(CASE WHEN isfinite(TRY_CAST(trim(psi) AS DOUBLE)) THEN 1 END) AS n_numbers FROM drift_features GROUP BY report_id""",
-    "json_facts_flatten": """SELECT ticker, coalesce(namespace, 'none') AS namespace, coalesce(tag, 'none') AS tag, coalesce(unit, 'none') AS unit, period_start, period_end, filed, left(form, 16) AS form, fiscal_year,
-  nullif(trim(fiscal_period), '') AS fiscal_period, nullif(trim(frame), '') AS frame, value FROM stg_sec_facts WHERE period_end IS NOT NULL AND filed IS NOT NULL AND form IS NOT NULL""",
-    "snapshot_hash": """WITH h AS (
-  SELECT source, load_id, sha256(coalesce(ticker, 'null') || '|' || coalesce(CAST(trade_date AS VARCHAR), 'null') || '|' || coalesce(CAST(CAST(round(close, 4) AS DECIMAL(38,4)) AS VARCHAR), 'null') || '|'
-    || coalesce(CAST(CAST(round(high, 4) AS DECIMAL(38,4)) AS VARCHAR), 'null') || '|' || coalesce(CAST(volume AS VARCHAR), 'null')) AS s FROM stg_prices
-),
+    "json_facts_flatten": _FLAT,
+    "json_facts_messy": _FLAT,
+    "snapshot_hash": "WITH h AS (SELECT source, load_id, sha256("
+    + " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE length({x}) || ':' || {x} END" for x in ("ticker", "CAST(trade_date AS VARCHAR)", "CAST(CAST(round(close, 4) AS DECIMAL(38,4)) AS VARCHAR)", "CAST(CAST(round(high, 4) AS DECIMAL(38,4)) AS VARCHAR)", "CAST(volume AS VARCHAR)"))
+    + """) AS s FROM stg_prices),
 w AS (SELECT source, load_id, count(*) AS n_rows, """
     + ", ".join(f"CAST(sum(CAST('0x' || substring(s, {1 + 15 * i}, 15) AS HUGEINT)) AS VARCHAR) AS w{i}" for i in range(4))
     + """ FROM h GROUP BY ALL)
 SELECT source, load_id, sha256(n_rows || '|' || w0 || '|' || w1 || '|' || w2 || '|' || w3) AS content_hash, n_rows FROM w""",
+    "snapshot_store_returns": "SELECT source, load_id, ticker, trade_date, close, row_id FROM stg_prices WHERE row_id % 2 = 0",
     "snapshot_retention": "SELECT source, ticker, arg_max(path, (last_date, written_at, path)) AS path FROM manifest WHERE path IS NOT NULL GROUP BY ALL",
     "sample_exact_n": "SELECT row_id, ticker, close FROM stg_prices ORDER BY md5(CAST(row_id AS VARCHAR) || '|42') LIMIT 1000",
 }

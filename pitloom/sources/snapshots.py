@@ -7,10 +7,12 @@ the comparison with the manifest and the write are distributed; entities are nev
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitloom.functions.hashing import content_hash
 from pitloom.session import cut
@@ -20,14 +22,24 @@ MANIFEST = "entity string, hash string, written_at timestamp, n_rows long, first
 
 @dataclass(frozen=True)
 class SnapshotStore:
-    """Snapshots of ``entity`` under ``root``; ``parts`` are the hashed expressions, so columns left out may differ freely."""
+    """Snapshots of ``entity`` under ``root``; ``parts`` are the hashed expressions, so columns left out may differ freely.
+
+    ``entity`` is one column or several (a series and its vintage); an entity's name is the column's text, or a JSON list of
+    the texts. Rows without a (whole) entity are left out.
+    """
 
     root: str
-    entity: str
+    entity: str | tuple[str, ...]
     date: str
     parts: tuple[Column, ...]
 
+    def name(self, *values: Column) -> Column:
+        texts = [v.cast("string") for v in values]
+        known = reduce(lambda a, b: a & b, (t.isNotNull() for t in texts))
+        return F.when(known, texts[0] if len(texts) == 1 else F.to_json(F.array(*texts)))
+
     def manifest(self, spark: SparkSession) -> DataFrame:
+        """One row a snapshot that was in force: its entity, hash, when, rows and span."""
         try:
             return spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
         except AnalysisException as e:
@@ -44,26 +56,49 @@ class SnapshotStore:
         return wanted.select("entity").distinct().join(self.manifest(spark).select("entity"), "entity", "left_anti")
 
     def write(self, df: DataFrame, written_at: Column | None = None) -> DataFrame:
-        """Appends the entities whose content differs from their last snapshot; (entity, hash, status) of all of them."""
-        spark = df.sparkSession
-        spans = df.groupBy(F.col(self.entity).cast("string").alias("entity")).agg(F.min(self.date).cast("date").alias("first_date"), F.max(self.date).cast("date").alias("last_date"))
-        hashes = content_hash(df.withColumn("entity", F.col(self.entity).cast("string")), ["entity"], list(self.parts)).join(spans, "entity")
-        known = self.latest(spark).select("entity", F.col("hash").alias("_old"))
-        judged = hashes.join(known, "entity", "left").select(
-            "entity", F.col("content_hash").alias("hash"), "n_rows", "first_date", "last_date", F.when(F.col("_old") == F.col("content_hash"), "skipped").otherwise("written").alias("status")
+        """Stores the entities whose content differs from their last snapshot; (entity, hash, status) of all of them.
+
+        Content that an entity had before, and has again, gets a new row in the manifest and no data. Data is written by
+        whole snapshots, each replacing what an attempt that failed may have left, and is named in the manifest after it is
+        complete. Files are of even size: small snapshots share a task, a large one is split.
+        """
+        spark, keys = df.sparkSession, [self.entity] if isinstance(self.entity, str) else list(self.entity)
+        rows = df.withColumn("_entity", self.name(*(F.col(k) for k in keys))).where("_entity IS NOT NULL")
+        spans = rows.groupBy("_entity").agg(F.min(self.date).cast("date").alias("first_date"), F.max(self.date).cast("date").alias("last_date"))
+        hashes = content_hash(rows, ["_entity"], list(self.parts)).join(spans, "_entity")
+        known = self.latest(spark).select(F.col("entity").alias("_entity"), F.col("hash").alias("_old"))
+        had = self.manifest(spark).select(F.col("entity").alias("_entity"), F.col("hash").alias("content_hash"), F.lit(True).alias("_had")).distinct()
+        judged = hashes.join(known, "_entity", "left").join(had, ["_entity", "content_hash"], "left").select(
+            F.col("_entity").alias("entity"), F.col("content_hash").alias("hash"), "n_rows", "first_date", "last_date",
+            F.when(F.col("_old") == F.col("content_hash"), "skipped").otherwise("written").alias("status"), F.coalesce("_had", F.lit(False)).alias("had"),
         )
         judged = cut(judged)  # fixed before the store changes
         new = judged.where("status = 'written'")
-        rows = df.join(new.select(F.col("entity").alias("_entity"), F.col("hash").alias("_hash")), df[self.entity].cast("string") == F.col("_entity"))
-        rows.write.mode("append").partitionBy("_entity", "_hash").parquet(f"{self.root}/data")
+        data = rows.join(new.where(~F.col("had")).select(F.col("entity").alias("_entity"), F.col("hash").alias("_hash")), "_entity")
+        data.hint("rebalance", F.col("_entity"), F.col("_hash")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_entity", "_hash").parquet(f"{self.root}/data")
         when = written_at if written_at is not None else F.current_timestamp()
         new.select("entity", "hash", when.alias("written_at"), "n_rows", "first_date", "last_date").write.mode("append").parquet(f"{self.root}/manifest")
         return judged.select("entity", "hash", "status")
 
+    def _data(self, spark: SparkSession) -> DataFrame:
+        # partition values are texts whatever they look like
+        return spark.read.schema(self._schema(spark)).parquet(f"{self.root}/data")
+
+    def _schema(self, spark: SparkSession) -> T.StructType:
+        found = spark.read.parquet(f"{self.root}/data").schema
+        text = {"_entity", "_hash"}
+        return T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in found])
+
     def read_latest(self, spark: SparkSession) -> DataFrame:
-        last = self.latest(spark)
-        data = spark.read.parquet(f"{self.root}/data")
-        return data.join(last, (data["_entity"] == last["entity"]) & (data["_hash"] == last["hash"]), "left_semi").drop("_entity", "_hash")
+        """The rows of every entity's last snapshot."""
+        last = self.latest(spark).select(F.col("entity").alias("_entity"), F.col("hash").alias("_hash"))
+        return self._data(spark).join(last, ["_entity", "_hash"], "left_semi").drop("_entity", "_hash")
+
+    def read_entity(self, spark: SparkSession, *values: object) -> DataFrame:
+        """The rows of one entity's last snapshot, such as one vintage of a series; only its files are read."""
+        name = self.name(*(F.lit(v) for v in values))
+        last = self.latest(spark).where(F.col("entity") == name).select(F.col("entity").alias("_entity"), F.col("hash").alias("_hash"))
+        return self._data(spark).where(F.col("_entity") == name).join(last, ["_entity", "_hash"], "left_semi").drop("_entity", "_hash")
 
 
 def retained(manifest: DataFrame, entity: list[str], path: str = "path") -> DataFrame:

@@ -90,5 +90,16 @@ def test_facts_document(spark):
     assert [(g[:6], g[6], g[7]) for g in got] == [(("x", "ns", "T", "USD", "2021-04-01", "10-K-and-much-to"), None, 5.0), (("x", "ns", "T", "USD", "2021-04-02", "8-K"), None, None)]
 
 
+def test_facts_beside_other_shapes(spark):
+    good = '{"end":"2021-03-31","val":5,"form":"10-K","filed":"2021-04-01"}'
+    unit = f'{{"units":{{"USD":[{good}]}}}}'
+    docs = [
+        f'{{"facts":{{"ns":{{"T":{unit}}}}}}}', f'{{"facts":{{"ns":{{"T":{unit},"U":"text"}}}}}}', f'{{"facts":{{"ns":{{"T":{unit}}},"list":[1]}}}}', f'{{"facts":{{"ns":{{"T":{{"units":{{"USD":[{good}],"EUR":"text"}}}}}}}}}}',
+        f'{{"facts":{{"ns":{{"T":{{"units":{{"USD":[{good},7,null,"x",[{good}]]}}}}}}}}}}', f'{{"facts":{{"ns":{{"T":{unit},"U":{{"units":3}}}}}}}}', '{"facts":[1]}', '{"facts":"x"}', f'[{unit}]',
+    ]
+    df = spark.createDataFrame(list(enumerate(docs)), "t int, d string")
+    assert rows(I.flatten_facts(df, "d", "t"), "ticker", "tag", "unit", "value") == [(i, "T", "USD", 5.0) for i in range(6)]
+
+
 def test_stamp_is_used():
     assert stamp(0).date() == day(0)

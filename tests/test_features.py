@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import day, rows
 from pitloom.functions.safe import clip, number, ratio
+from pitloom.functions.windows import wilder_rsi
 from pitloom.operators import features as X
 from pitloom.operators import panel as P
 
@@ -98,3 +99,21 @@ def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(1000)
     a = rows(P.exact_sample(df, F.col("id"), 50))
     assert len(a) == 50 and a == rows(P.exact_sample(df.repartition(7), F.col("id"), 50)) and a != rows(P.exact_sample(df, F.col("id"), 50, seed=1))
+
+
+def test_rsi_of_long_and_resting_series(spark):
+    rnd, out, change = random.Random(4), [], []
+    for i in range(12_000):
+        resting = 3000 < i < 5000 or 8000 < i < 9600 or i > 11_500
+        change.append(0.0 if resting else rnd.gauss(0, 1))
+    df = spark.createDataFrame([("a", 0, None)] + [("a", i + 1, c) for i, c in enumerate(change)] + [("flat", i, None if i == 0 else 0.0) for i in range(1500)] + [("up", i, None if i == 0 else 1.0) for i in range(40)], "ticker string, trade_date int, change double")
+    got = {(r.ticker, r.trade_date): r.rsi for r in wilder_rsi(df, ["ticker"], "change", "rsi").collect()}
+    up = down = 0.0
+    for i, c in enumerate(change):
+        a = 1.0 if i == 0 else 1 / 14
+        up, down = up * (1 - a) + max(c, 0.0) * a, down * (1 - a) + max(-c, 0.0) * a
+        if i >= 13:
+            assert abs(got["a", i + 1] - (100 - 100 / (1 + up / down))) < 1e-8, i
+        else:
+            assert got["a", i + 1] is None
+    assert all(got["flat", i] is None for i in range(1500)) and got["up", 39] == 100

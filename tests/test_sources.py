@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from helpers import day, rows, stamp
 from pitloom import pipeline
-from pitloom.functions.hashing import content_hash, fixed
+from pitloom.functions.hashing import content_hash, fixed, row_hash
 from pitloom.sources import bars, readers, sinks
 from pitloom.sources.snapshots import SnapshotStore, retained
 
@@ -30,6 +30,31 @@ def test_snapshot_store(spark, tmp_path):
     assert rows(store.missing(spark, spark.createDataFrame([("a",), ("z",), ("z",)], "entity string"))) == [("z",)]
 
 
+def test_rows_that_differ_hash_differently(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("null", "c"), ("", "c"), ("-", "c"), ("1:a", None), ("1", ":a-")], "x string, y string")
+    assert df.select(row_hash(F.col("x"), F.col("y"))).distinct().count() == 8
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (1e300,), (1.00001,), (1.00002,)], "x double")
+    assert [r[0] for r in odd.select(fixed(F.col("x"), 4)).collect()] == ["NaN", "Infinity", None, "1.0E300", "1.0000", "1.0000"]
+
+
+def test_content_that_returns_is_not_stored_again(spark, tmp_path):
+    store = SnapshotStore(str(tmp_path), ("ticker", "close"), "date", (F.col("adj_close"),))
+    a, b = (spark.createDataFrame([("a", day(0), 1.0, x), ("a", day(1), 1.0, x + 1), ("b/c=%", day(0), 2.0, 7.0), (None, day(0), 1.0, 1.0)], SCHEMA) for x in (1.0, 5.0))
+    for at, df in enumerate((a, b, a)):
+        store.write(df, F.lit(stamp(at)))
+    assert rows(store.read_latest(spark), "ticker", "adj_close") == [("a", 1.0), ("a", 2.0), ("b/c=%", 7.0)]
+    assert spark.read.parquet(f"{tmp_path}/data").count() == 5 and store.manifest(spark).count() == 4
+    # an attempt that ended between data and manifest left its rows: the next one replaces them
+    c = spark.createDataFrame([("a", day(0), 1.0, 9.0)], SCHEMA)
+    store.write(c, F.lit(stamp(4)))
+    kept = store.manifest(spark).where(F.col("written_at") < F.lit(stamp(4))).cache()
+    kept.count()
+    kept.write.mode("overwrite").parquet(f"{tmp_path}/manifest")
+    store.write(c, F.lit(stamp(5)))
+    assert rows(store.read_entity(spark, "a", 1.0), "adj_close") == [(9.0,)]
+    assert rows(store.read_entity(spark, "none", 1.0)) == []
+
+
 def test_retention(spark):
     df = spark.createDataFrame([("a", "p1", day(1), stamp(5)), ("a", "p2", day(2), stamp(1)), ("a", "p3", day(2), stamp(3))], "ticker string, path string, last_date date, written_at timestamp")
     assert rows(retained(df, ["ticker"])) == [("a", "p3")]
