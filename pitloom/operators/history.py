@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pitloom.session import Folder
+
 
 def plain_words(text: Column) -> Column:
     """Lower case, only letters, words parted by one blank; null if no letter is left."""
@@ -85,38 +87,85 @@ def rebuild_touched(history: DataFrame, raw: DataFrame, updates: DataFrame, colu
 
 
 class ChainStore:
-    """A history on a shared file system, replaced chain by chain.
-
-    Each state is written to a folder of its own; the pointer file that names the current one is exchanged by a rename, so a
-    reader sees all touched chains replaced or none. ``root`` must be a path that the driver can rename files in.
+    """A history on a shared file system, of which an update replaces the chains it touches and nothing else.
+
+    Keys lie in ``buckets`` by hash. Raw rows are appended as a table for each batch; the history has a table for each
+    replacement, split by bucket, and a pointer file names the table in force of every bucket and the batches taken in. A
+    batch reads the raw rows of its buckets, rebuilds the chains of its keys and writes its buckets anew; then the next
+    numbered pointer is created by a rename, so a reader sees all touched chains replaced or none. Only one writer can create
+    a number: another one fails, and its batch can be given again. A batch that was taken in before changes nothing. What a
+    replacement leaves unused is removed by the next one, so readers have that time to finish.
+
+    ``root`` may be on any file system that the session's Hadoop configuration knows; nothing is kept on the driver. The
+    number of ``buckets`` is fixed when a store is made. The raw rows of a bucket are put together once they are in
+    ``most_tables`` tables, so the pointer stays small: its size is set by the buckets and writers.
     """
 
-    def __init__(self, root: str, columns: Snapshots = Snapshots()):
-        self.root, self.columns = root, columns
-        os.makedirs(root, exist_ok=True)
-
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "current.json")
-
-    def current(self) -> str | None:
-        if not os.path.exists(self._pointer()):
-            return None
-        with open(self._pointer()) as f:
-            return json.load(f)["state"]
-
-    def read(self, spark, part: str = "history") -> DataFrame:
-        return spark.read.parquet(os.path.join(self.root, self.current(), part))
-
-    def apply(self, updates: DataFrame) -> None:
-        spark, state, updates = updates.sparkSession, uuid.uuid4().hex, updates.select(*self.columns.names())
-        folder = os.path.join(self.root, state)
-        if self.current() is None:
-            updates.write.parquet(f"{folder}/raw")
-            versions(spark.read.parquet(f"{folder}/raw"), self.columns).write.parquet(f"{folder}/history")
+    def __init__(self, spark: SparkSession, root: str, columns: Snapshots = Snapshots(), buckets: int = 64, most_tables: int = 16):
+        self.spark, self.root, self.columns, self.buckets, self.most_tables = spark, root.rstrip("/"), columns, buckets, most_tables
+        self.folder = Folder(spark, self.root)
+
+    def _pointers(self) -> list[str]:
+        return [n for n in self.folder.names() if n.startswith("pointer-")]
+
+    def state(self) -> dict:
+        """The pointer in force: its number, each writer's last batch, the history's table and raw tables of every bucket."""
+        names = self._pointers()
+        return json.loads(self.folder.read_text(names[-1])) if names else {"number": 0, "writers": {}, "history": {}, "raw": {}, "schemas": {}, "left": []}
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.columns.key), F.lit(self.buckets)).cast("int").alias("_bucket")
+
+    def _tables(self, paths: list[str], schema: str) -> DataFrame:
+        kind = T.StructType.fromJson(json.loads(schema))
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
+    def read(self, part: str = "history") -> DataFrame:
+        """The history, or the ``raw`` rows, in force."""
+        return self._of(self.state(), part, None)
+
+    def _of(self, state: dict, part: str, buckets: list[str] | None) -> DataFrame:
+        if not state["schemas"]:
+            raise ValueError(f"nothing was put into {self.root} yet")
+        tables = [f"{self.root}/{t}/_bucket={b}" for b, names in state[part].items() if buckets is None or b in buckets for t in ([names] if isinstance(names, str) else names)]
+        return self._tables(tables, state["schemas"][part])
+
+    def _write(self, df: DataFrame, table: str) -> None:
+        # a large bucket is split and small ones share a task
+        df.withColumn("_bucket", self._bucket()).hint("rebalance", F.col("_bucket")).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{table}")
+
+    def apply(self, updates: DataFrame, writer: str | None = None, batch: int = 0) -> None:
+        """Takes in new, late or corrected rows. A writer's batches are numbered upwards: one that is not above its last is a repetition."""
+        state, writer = self.state(), writer or uuid.uuid4().hex
+        if state["writers"].get(writer, -1) >= batch:
+            return
+        number, attempt = state["number"] + 1, uuid.uuid4().hex[:8]
+        raw_table, history_table, merged_table = (f"{kind}-{number:08d}-{attempt}" for kind in ("raw", "history", "merged"))
+        rows = updates.select(*self.columns.names()).where(F.col(self.columns.key).isNotNull())
+        schemas = state["schemas"] or {"raw": rows.schema.json(), "history": versions(rows, self.columns).schema.json()}
+        self._write(rows, raw_table)
+        touched = self._held(raw_table)
+        own = lambda buckets: self._tables([f"{self.root}/{raw_table}/_bucket={b}" for b in buckets], schemas["raw"])
+        if any(b in state["history"] for b in touched):
+            chains = rebuild_touched(self._of(state, "history", touched), self._of(state, "raw", touched), own(touched), self.columns)
         else:
-            raw = self.read(spark, "raw")
-            rebuild_touched(self.read(spark), raw, updates, self.columns).write.parquet(f"{folder}/history")
-            raw.unionByName(updates).write.parquet(f"{folder}/raw")
-        with open(os.path.join(self.root, f"{state}.json"), "w") as f:
-            json.dump({"state": state}, f)
-        os.replace(os.path.join(self.root, f"{state}.json"), self._pointer())
+            chains = versions(own(touched), self.columns)
+        self._write(chains, history_table)
+        held = self._held(history_table)
+        full = [b for b in touched if len(state["raw"].get(b, [])) >= self.most_tables]
+        if full:
+            self._write(self._of(state, "raw", full).unionByName(own(full)), merged_table)
+        left = [f"{state['history'][b]}/_bucket={b}" for b in held if b in state["history"]] + [f"{t}/_bucket={b}" for b in full for t in [*state["raw"][b], raw_table]]
+        following = {
+            "number": number, "writers": state["writers"] | {writer: batch}, "schemas": schemas, "left": left, "history": state["history"] | {b: history_table for b in held},
+            "raw": state["raw"] | {b: [merged_table] if b in full else [*state["raw"].get(b, []), raw_table] for b in touched},
+        }
+        if not self.folder.create_text(f"pointer-{number:08d}.json", json.dumps(following)):
+            for table in (raw_table, history_table, merged_table):
+                self.folder.delete(table)
+            raise RuntimeError(f"another writer has changed {self.root}: give the batch again")
+        for name in [*state["left"], *self._pointers()[:-2]]:
+            self.folder.delete(name)
+
+    def _held(self, table: str) -> list[str]:
+        return [n.split("=")[1] for n in Folder(self.spark, f"{self.root}/{table}").names() if n.startswith("_bucket=")]

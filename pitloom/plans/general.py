@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitloom.operators import grid, history, known, profile, rolling, snapshots, spikes
-from pitloom.session import read, together
+from pitloom.session import read, shared_folder, together
 
 PRICES = [profile.ColumnContract("low", least=0.0, strict=True), profile.ColumnContract("volume", least=0.0)]
 #: Readable psi texts: a plain decimal number with a point, perhaps with a minus sign.
@@ -102,11 +102,13 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p5_versions(spark: SparkSession, base: str, grace_days: int = 5) -> DataFrame:
-    """History from the deliveries in time, then the chains that late or superseding ones touch, rebuilt."""
+    """History from the deliveries in time, in a store; late or superseding ones then replace the chains that they touch there."""
     raw = read(spark, base, "ticker_metadata").select("ticker", "snapshot_date", "delivered_at", history.plain_words(F.col("sector")).alias("sector"), "is_benchmark", "valid_from", "valid_to")
     late = F.coalesce(F.col("delivered_at") >= F.date_add("snapshot_date", grace_days), F.lit(True))
-    base_rows, updates = raw.where(~late), raw.where(late)
-    return history.rebuild_touched(history.versions(base_rows), base_rows, updates)
+    store = history.ChainStore(spark, shared_folder(spark), buckets=16)
+    store.apply(raw.where(~late), "in time")
+    store.apply(raw.where(late), "late")
+    return store.read()
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:

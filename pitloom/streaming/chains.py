@@ -10,11 +10,11 @@ from pitloom.operators.history import ChainStore
 def keep_history(updates: DataFrame, store: ChainStore, checkpoint: str):
     """Applies every micro-batch of a streaming DataFrame to the store; only the chains a batch touches are rebuilt.
 
-    A batch that is run again after a failure gives the same state, as repeated rows do not change a chain.
+    The stream is known to the store by its checkpoint, so a batch that is run again after a failure is taken in once.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         if batch.take(1):
-            store.apply(batch)
+            store.apply(batch, checkpoint, number)
 
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

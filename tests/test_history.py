@@ -1,6 +1,7 @@
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows, stamp
@@ -56,13 +57,52 @@ def test_rebuilt_chains_are_those_of_a_full_build(spark):
 
 
 def test_store_and_stream(spark, tmp_path):
-    store = ChainStore(str(tmp_path / "store"))
+    store = ChainStore(spark, str(tmp_path / "store"), buckets=3)
     old, new = random_rows(3, 40), random_rows(4, 5)
     store.apply(make(spark, old))
-    first = store.current()
+    first = store.state()
     names = Snapshots().names()
     make(spark, new).select(*names).write.parquet(str(tmp_path / "late"))
     stream = spark.readStream.schema(make(spark, []).select(*names).schema).parquet(str(tmp_path / "late"))
     keep_history(stream, store, str(tmp_path / "checkpoint")).awaitTermination()
-    assert store.current() != first
-    assert chain(store.read(spark)) == chain(versions(make(spark, old + new)))
+    assert store.state()["number"] == first["number"] + 1
+    assert chain(store.read()) == chain(versions(make(spark, old + new)))
+    keep_history(stream, store, str(tmp_path / "checkpoint")).awaitTermination()
+    store.apply(make(spark, new), str(tmp_path / "checkpoint"), 0)  # a batch given again
+    assert store.state()["number"] == first["number"] + 1 and store.read("raw").count() == 45
+
+
+def test_store_writes_only_the_buckets_of_a_batch(spark, tmp_path):
+    store = ChainStore(spark, f"file://{tmp_path}/store", buckets=8, most_tables=2)
+    with pytest.raises(ValueError):
+        store.read()
+    store.apply(make(spark, []))
+    assert store.read().count() == 0
+    rows_so_far = random_rows(5, 60)
+    store.apply(make(spark, rows_so_far), "w", 1)
+    for n in range(2, 6):
+        before, late = store.state(), [r for r in random_rows(n, 40) if r[0] == "u"][:3]
+        rows_so_far += late
+        store.apply(make(spark, [*late, (None, *late[0][1:])]), "w", n)
+        after = store.state()
+        changed = {b for b in after["history"] if after["history"][b] != before["history"].get(b)}
+        assert len(changed) == 1 and chain(store.read()) == chain(versions(make(spark, rows_so_far)))
+        assert all(len(t) <= 2 for t in after["raw"].values()) and store.read("raw").count() == len(rows_so_far)
+    held = {t for t in after["history"].values()} | {t for ts in after["raw"].values() for t in ts}
+    kept = {f"{t.parent.name}/{t.name}" for t in (tmp_path / "store").glob("*/_bucket=*")}
+    assert {f"{after['history'][b]}/_bucket={b}" for b in after["history"]} <= kept and len(kept) <= len(after["history"]) + sum(map(len, after["raw"].values())) + len(after["left"])
+    assert len(list((tmp_path / "store").glob("pointer-*"))) == 2 and held
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    a, b = ChainStore(spark, str(tmp_path / "s")), ChainStore(spark, str(tmp_path / "s"))
+    a.apply(make(spark, [row("x", 0)]), "a")
+    stale = b.state()
+    a.apply(make(spark, [row("x", 1, "b")]), "a", 1)
+    with monkeypatch.context() as m:
+        m.setattr(b, "state", lambda: stale)
+        with pytest.raises(RuntimeError):
+            b.apply(make(spark, [row("x", 2, "c")]), "b")
+    assert [r[2] for r in chain(a.read())] == ["a", "b"]
+    b.apply(make(spark, [row("x", 2, "c")]), "b")
+    assert [r[2] for r in chain(a.read())] == ["a", "b", "c"]
