@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +125,12 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return p6_grid(spark, base).where("missing").select("series_id", F.col("trade_date").cast("string").alias("trade_date"))
 
 
+def p6_weeks(spark: SparkSession, base: str) -> DataFrame:
+    """The same readings on a grid of weeks from Monday, each valid for ten days at most."""
+    out = grid.time_grid(read(spark, base, "int_macro_daily"), "series_id", "trade_date", "value", "row_id", timedelta(days=7), timedelta(days=10), timedelta(days=4))
+    return out.select(F.col("series").alias("series_id"), F.col("cell").cast("date").alias("week"), F.round("value", 6).alias("value"), "coverage", F.round("filled", 6).alias("filled"), "missing")
+
+
 def _macro_known(spark: SparkSession, base: str) -> DataFrame:
     changes = known.vintage_changes(read(spark, base, "stg_macro_series"))
     events = read(spark, base, "int_macro_daily").select("row_id", "trade_date", "series_id", "vintage_date", "observation_date", "value")
@@ -157,5 +165,5 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_profile, p1_masks, p1_divergence, p2_found, p2_reasons, p3_found, p3_rolling, p4_found, p4_changes, p5_found, p5_versions, p6_found, p6_grid, p7_found, p7_known)
+    for f in (p1_found, p1_profile, p1_masks, p1_divergence, p2_found, p2_reasons, p3_found, p3_rolling, p4_found, p4_changes, p5_found, p5_versions, p6_found, p6_grid, p6_weeks, p7_found, p7_known)
 }

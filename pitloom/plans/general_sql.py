@@ -155,6 +155,17 @@ grd AS (
   FROM gd LEFT JOIN cell USING (series_id, day)
 )"""
 
+_WEEKS = """
+wr AS (
+  SELECT series_id, trade_date AS a, value, least(trade_date + 10, coalesce(lead(trade_date) OVER (PARTITION BY series_id ORDER BY trade_date), DATE '9999-12-31')) AS b
+  FROM (SELECT * FROM int_macro_daily WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, trade_date ORDER BY row_id DESC) = 1)
+),
+wg AS (SELECT series_id, CAST(unnest(generate_series(date_trunc('week', f), date_trunc('week', l), INTERVAL 7 DAY)) AS DATE) AS week FROM (SELECT series_id, min(trade_date) AS f, max(trade_date) AS l FROM int_macro_daily GROUP BY ALL)),
+wc AS (
+  SELECT g.series_id, week, sum(value * (least(b, week + 7) - greatest(a, week))) / sum(least(b, week + 7) - greatest(a, week)) AS value, sum(least(b, week + 7) - greatest(a, week)) FILTER (a IS NOT NULL) AS w
+  FROM wg g LEFT JOIN wr r ON g.series_id = r.series_id AND r.a < g.week + 7 AND r.b > g.week GROUP BY ALL
+)"""
+
 _KNOWN = """
 vt AS (SELECT DISTINCT series_id, vintage_date AS kv FROM stg_macro_series),
 ev AS (SELECT e.*, kv FROM int_macro_daily e ASOF LEFT JOIN vt ON e.series_id = vt.series_id AND e.trade_date >= vt.kv),
@@ -224,6 +235,8 @@ SELECT ticker, day AS trade_date, measure, s7::DOUBLE / k AS total_7, s30::DOUBL
     "p5_versions": f"WITH {_VERSIONS} SELECT * FROM hist",
     "p6_found": f"WITH {_GRID} SELECT series_id, CAST(trade_date AS VARCHAR) AS trade_date FROM grd WHERE missing",
     "p6_grid": f"WITH {_GRID} SELECT * FROM grd",
+    "p6_weeks": f"""WITH {_WEEKS} SELECT series_id, week, round(value, 6) AS value, coalesce(w, 0) / 7 AS coverage,
+  round(last_value(value IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY week), 6) AS filled, w IS NULL AS missing FROM wc""",
     "p7_found": f"WITH {_KNOWN} SELECT table_name, row_id, coalesce(CAST(known_date AS VARCHAR), 'none') AS known_date FROM kn WHERE NOT agrees",
     "p7_known": f"WITH {_KNOWN} SELECT * FROM kn",
 }

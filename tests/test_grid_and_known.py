@@ -1,9 +1,13 @@
 import random
+from datetime import datetime, timedelta
+
+import pytest
 
 from helpers import day, rows
-from pitloom.operators.grid import weekday_grid
+from pitloom.operators.grid import time_grid, weekday_grid
 from pitloom.operators.known import as_known, filing_changes, vintage_changes
 
+D0 = datetime(2021, 1, 4)
 READINGS = "row_id long, trade_date date, series_id string, value double, day string, until int, w int, series string"
 
 
@@ -33,6 +37,41 @@ def test_grid_of_nothing(spark):
     assert [r.missing for r in grid(spark, [(day(1), "s", None)]).values()] == [True]
 
 
+def grid_by_hand(data, step, hold):
+    out = {}
+    for s in {d[1] for d in data}:
+        mine = sorted((t, i, x) for i, (t, s2, x) in enumerate(data) if s2 == s)
+        held = {t: x for t, _, x in mine if x is not None}
+        times, last = sorted(held), None
+        for k in range(mine[0][0] // step, mine[-1][0] // step + 1):
+            total = weight = 0
+            for j, t in enumerate(times):
+                end = min(t + hold, times[j + 1] if j + 1 < len(times) else t + hold)
+                w = max(0, min(end, (k + 1) * step) - max(t, k * step))
+                total, weight = total + w * held[t], weight + w
+            last = total / weight if weight else last
+            out[s, k] = (round(total / weight, 9) if weight else None, round(weight / step, 9), None if last is None else round(last, 9), not weight)
+    return out
+
+
+@pytest.mark.parametrize("step,hold,block", [(60, 45, 4), (60, 500, 3), (7, 100, 1), (3600, 30, 4096)])
+def test_time_grid_against_brute_force(spark, step, hold, block):
+    rnd = random.Random(step)
+    data = [(rnd.randrange(4000), s, rnd.choice([None, round(rnd.uniform(-5, 5), 3)])) for s in "abc" for _ in range(60)] + [(9000, "a", 1.0), (20_000, "a", 2.0), (5, "nulls", None)]
+    df = spark.createDataFrame([(D0 + timedelta(seconds=t), s, x, i, "clash", 1) for i, (t, s, x) in enumerate(data)], "at timestamp, s string, x double, n int, cell string, w int")
+    got = time_grid(df, "s", "at", "x", "n", timedelta(seconds=step), timedelta(seconds=hold), D0 - datetime(1970, 1, 1), block).collect()
+    r9 = lambda v: None if v is None else round(v, 9)
+    assert {(r.series, (r.cell - D0) // timedelta(seconds=step)): (r9(r.value), r9(r.coverage), r9(r.filled), r.missing) for r in got} == grid_by_hand(data, step, hold)
+
+
+def test_time_grid_of_nothing(spark):
+    df = spark.createDataFrame([(None, "s", 1.0, 1), (D0, None, 1.0, 1), (D0, "nan", float("nan"), 1)], "at timestamp, s string, x double, n int")
+    a_day = timedelta(days=1)
+    assert rows(time_grid(df, "s", "at", "x", "n", a_day, a_day), "series", "value", "missing") == [("nan", None, True)]
+    with pytest.raises(ValueError):
+        time_grid(df, "s", "at", "x", "n", timedelta(0), a_day)
+
+
 SERIES = "series_id string, observation_date date, vintage_date date, value double, number int, on date"
 EVENTS = "row_id long, series_id string, trade_date date, number string, known_value double, k0 int"
 
