@@ -1,8 +1,9 @@
 """Readings a source's series cannot have had: impossible values, spikes that do not last, readings that hang.
 
 Bars of a series are put in date order once. Mergeable quantile sketches of the day-to-day log changes are kept per source,
-series and context (calendar month) and merged over the contexts into the series' own; a reading is a spike if it stands
-out from the readings on both sides by more than the expanded interquartile range of the series and of its context.
+series and context; bars being daily, contexts are the weekday, which recurs as an hour of the day would, and the calendar
+month, for restless times. The weekdays' sketches are merged into the series' own. A reading is a spike if it stands out from
+the readings on both sides by more than the expanded interquartile ranges of the series, of its weekday and of its month.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from pyspark.sql.window import Window
 
 @dataclass(frozen=True)
 class Fence:
-    """Widths in interquartile ranges of log changes: of the whole series, of the context; the least log change; downwards too."""
+    """Widths in interquartile ranges of log changes: of the whole series, of the month, of the weekday; the least log change; downwards too."""
 
     series: float
-    context: float
+    month: float
+    weekday: float
     change: float = 0.0
     down: bool = False
 
@@ -28,7 +30,7 @@ class Fence:
 @dataclass(frozen=True)
 class SpikeRules:
     fences: dict[str, Fence] = field(
-        default_factory=lambda: {"close": Fence(5.0, 2.5, down=True), "high": Fence(6.0, 3.0), "volume": Fence(2.7, 0.5, change=1.82)}
+        default_factory=lambda: {"close": Fence(5.0, 2.5, 3.0, down=True), "high": Fence(6.0, 3.0, 3.6), "volume": Fence(2.7, 0.5, 1.6, change=1.82)}
     )
     #: An interquartile range below this is taken for this (a pegged price has none).
     least_range: float = 0.0005
@@ -61,8 +63,8 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     """(source, ticker, trade_date, field, reason) of the bars that hold a case; reason is impossible, spike or hangs.
 
     Impossible: close <= 0, high below open or close, volume < 0. Spike: one or two bars above (close: or below) both
-    neighbours by more than the fences, a context of fewer than ``least_changes`` having the series' range; neighbours are the nearest positive readings, so nulls and impossible readings are
-    stepped over, and the first and last readings of a series are none. Hangs: equal to the bar before, within a run of at
+    neighbours by more than the fences, a context of fewer than ``least_changes`` having the series' range; neighbours are the
+    nearest positive readings, so nulls and impossible readings are stepped over, and the first and last readings of a series are none. Hangs: equal to the bar before, within a run of at
     least ``run`` equal bars of a series that otherwise moves; a null reading ends a run. A bar delivered several times with
     different readings counts with the one of the greatest (load_id, row_id). Rows without trade_date have no place in the
     order and are no case. A null source or ticker is a series of its own. An empty table gives no rows.
@@ -111,34 +113,45 @@ def spike_cases(df: DataFrame, rules: SpikeRules = SpikeRules()) -> DataFrame:
     )
     beyond = margins.select("*", *(F.when(F.col(f"all_{c}") > least[c], F.col(f"all_{c}")).alias(f"out_{c}") for c in names))
     any_case = reduce(lambda a, b: a | b, (F.col(f"out_{c}").isNotNull() | F.col(f"bad_{c}") | F.col(f"hung_{c}") for c in names))
-    # months, then series: both groups lie within the partitions of the sort, so nothing is shuffled again; a series' lists
-    # have at most a row a date
+    # contexts, then series: both groups lie within the partitions of the sort, so nothing is shuffled again; a series' lists
+    # have at most a row a date. A month is a number from 0 on, a weekday a negative one
+    month, weekday = F.year("trade_date") * 12 + F.month("trade_date"), -1 - F.weekday("trade_date")
+    may = F.when(any_case, F.array(*(candidate(c, i) for i, c in enumerate(names))))
+    none = F.lit(None).cast("array<struct<trade_date: date, i: int, impossible: boolean, margin: double, hung: boolean>>")
     kept = beyond.select(
-        "source", "ticker", F.trunc("trade_date", "month").alias("context"), *(f"change_{c}" for c in names), *(f"same_{c}" for c in names),
-        F.when(any_case, F.array(*(candidate(c, i) for i, c in enumerate(names)))).alias("may"),
-    )
+        "source", "ticker", *(f"change_{c}" for c in names), *(f"same_{c}" for c in names),
+        F.explode(F.array(F.struct(month.alias("context"), may.alias("may")), F.struct(weekday.alias("context"), none.alias("may")))).alias("in"),
+    ).select("*", "in.context", "in.may")
     per = lambda *f: [g(c) for c in names for g in f]
-    months = kept.groupBy("source", "ticker", "context").agg(
+    contexts = kept.groupBy("source", "ticker", "context").agg(
         F.array_compact(F.flatten(F.collect_list("may"))).alias("may"), F.count(F.lit(1)).alias("bars"),
         *per(lambda c: F.kll_sketch_agg_double(f"change_{c}", F.lit(rules.sketch)).alias(f"sketch_{c}"), lambda c: F.count(f"change_{c}").alias(f"n_{c}"), lambda c: F.sum(f"same_{c}").alias(f"same_{c}")),
     )
     width = lambda s: F.greatest(F.kll_sketch_get_quantile_double(s, F.lit(0.75)) - F.kll_sketch_get_quantile_double(s, F.lit(0.25)), F.lit(rules.least_range))
-    sketch = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(f"sketch_{c}"))
-    series = months.groupBy("source", "ticker").agg(
-        F.collect_list(F.when(F.size("may") > 0, F.struct("may", F.array(*(F.when(F.col(f"n_{c}") >= rules.least_changes, width(sketch(c))) for c in names)).alias("ranges")))).alias("months"),
-        *per(lambda c: F.kll_merge_agg_double(sketch(c), F.lit(rules.sketch)).alias(f"sketch_{c}"), lambda c: F.sum(f"n_{c}").alias(f"n_{c}"), lambda c: (F.sum(f"same_{c}") / F.sum("bars")).alias(f"still_{c}")),
+    recurring = F.col("context") < 0
+    sketch = lambda c: F.when(recurring & (F.col(f"n_{c}") > 0), F.col(f"sketch_{c}"))
+    whole = lambda c: F.sum(F.when(recurring, F.col(c)))
+    ranges = F.array(*(F.when(F.col(f"n_{c}") >= rules.least_changes, width(F.col(f"sketch_{c}"))) for c in names))
+    series = contexts.groupBy("source", "ticker").agg(
+        F.collect_list(F.when(F.size("may") > 0, F.struct("may", ranges.alias("ranges")))).alias("months"),
+        F.map_from_entries(F.collect_list(F.when(recurring, F.struct("context", ranges.alias("ranges"))))).alias("weekdays"),
+        *per(lambda c: F.kll_merge_agg_double(sketch(c), F.lit(rules.sketch)).alias(f"sketch_{c}"), lambda c: whole(f"n_{c}").alias(f"n_{c}"), lambda c: (whole(f"same_{c}") / whole("bars")).alias(f"still_{c}")),
     )
     judged = (
         series.where(F.size("months") > 0)
         .select(
-            "source", "ticker", F.explode("months").alias("m"),
-            F.array(*(F.when(F.col(f"n_{c}") > 0, width(sketch(c))) for c in names)).alias("ranges"), F.array(*(F.col(f"still_{c}") for c in names)).alias("stills"),
+            "source", "ticker", "weekdays", F.explode("months").alias("m"),
+            F.array(*(F.when(F.col(f"n_{c}") > 0, width(F.col(f"sketch_{c}"))) for c in names)).alias("ranges"), F.array(*(F.col(f"still_{c}") for c in names)).alias("stills"),
+        )
+        .select("source", "ticker", "weekdays", "ranges", "stills", F.col("m.ranges").alias("month_ranges"), F.explode("m.may").alias("c"))
+        .select(
+            "source", "ticker", "c.*", F.get("ranges", F.col("c.i")).alias("series_range"), F.get("stills", F.col("c.i")).alias("still"), F.get("month_ranges", F.col("c.i")).alias("month_range"),
+            F.get(F.element_at("weekdays", -1 - F.weekday("c.trade_date")), F.col("c.i")).alias("weekday_range"),
         )
-        .select("source", "ticker", "ranges", "stills", F.col("m.ranges").alias("context_ranges"), F.explode("m.may").alias("c"))
-        .select("source", "ticker", "c.*", F.get("ranges", F.col("c.i")).alias("series_range"), F.get("stills", F.col("c.i")).alias("still"), F.get("context_ranges", F.col("c.i")).alias("context_range"))
     )
     fixed = lambda k: F.get(F.array(*(F.lit(float(getattr(rules.fences[c], k))) for c in names)), F.col("i"))
-    spike = (F.col("margin") > fixed("series") * F.col("series_range")) & (F.col("margin") > fixed("context") * F.coalesce("context_range", "series_range"))
+    beyond_its = lambda k: F.col("margin") > fixed(k) * F.coalesce(f"{k}_range", "series_range")
+    spike = beyond_its("series") & beyond_its("month") & beyond_its("weekday")
     reasons = F.array_compact(F.array(F.when(F.col("impossible"), F.lit("impossible")), F.when(spike, F.lit("spike")), F.when(F.col("hung") & (F.col("still") < rules.still), F.lit("hangs"))))
     return judged.select("source", "ticker", "trade_date", F.get(F.array(*map(F.lit, names)), F.col("i")).alias("field"), F.explode(reasons).alias("reason"))
 

@@ -65,18 +65,19 @@ stands AS (
   FROM pos
 ),
 wide AS (
-  SELECT *, greatest(0.0005, quantile_disc(change, 0.75) OVER (PARTITION BY source, ticker, field) - quantile_disc(change, 0.25) OVER (PARTITION BY source, ticker, field)) AS series_range,
-         greatest(0.0005, quantile_disc(change, 0.75) OVER (PARTITION BY source, ticker, field, month) - quantile_disc(change, 0.25) OVER (PARTITION BY source, ticker, field, month)) AS context_range
-  FROM stands
+  SELECT *, CASE WHEN count(change) OVER mo >= 8 THEN greatest(0.0005, quantile_disc(change, 0.75) OVER mo - quantile_disc(change, 0.25) OVER mo) ELSE series_range END AS month_range,
+         CASE WHEN count(change) OVER wd >= 8 THEN greatest(0.0005, quantile_disc(change, 0.75) OVER wd - quantile_disc(change, 0.25) OVER wd) ELSE series_range END AS weekday_range
+  FROM (SELECT *, greatest(0.0005, quantile_disc(change, 0.75) OVER se - quantile_disc(change, 0.25) OVER se) AS series_range FROM stands WINDOW se AS (PARTITION BY source, ticker, field))
+  WINDOW mo AS (PARTITION BY source, ticker, field, month), wd AS (PARTITION BY source, ticker, field, isodow(trade_date))
 ),
 cases AS (
   SELECT source, ticker, trade_date, field, 'impossible' AS reason FROM long WHERE impossible
   UNION ALL SELECT h.source, h.ticker, trade_date, h.field, 'hangs' FROM hang h JOIN moves m USING (source, ticker, field) WHERE same = 1 AND run >= 7 AND still < 0.5
   UNION ALL SELECT source, ticker, trade_date, field, 'spike' FROM wide
   WHERE CASE field
-    WHEN 'close' THEN greatest(up, down) > 5.0 * series_range AND greatest(up, down) > 2.5 * context_range
-    WHEN 'high' THEN up > 6.0 * series_range AND up > 3.0 * context_range
-    ELSE up > 2.7 * series_range AND up > 0.5 * context_range AND up > 1.82 END
+    WHEN 'close' THEN greatest(up, down) > greatest(5.0 * series_range, 2.5 * month_range, 3.0 * weekday_range)
+    WHEN 'high' THEN up > greatest(6.0 * series_range, 3.0 * month_range, 3.6 * weekday_range)
+    ELSE up > greatest(2.7 * series_range, 0.5 * month_range, 1.6 * weekday_range, 1.82) END
 )"""
 
 _DAILY = """
