@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import pickle
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,7 +27,15 @@ _TAG_OR_COMMENT = regex.compile(_TAG.pattern + r"|(?s:<!--.*?-->)")
 _ENTITY = regex.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 _UNSEEN = regex.compile(r"[\p{M}\p{Cf}]+")
 #: A word is a run of letters and digits; of scripts that write no blanks, a single character. Hangul is written with blanks.
-_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{N}])+")
+_WORD = regex.compile(r"[[\p{L}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}]]+|[\p{Han}\p{Hiragana}\p{Katakana}]", regex.V1)
+
+
+#: The same for texts that are ASCII and in lower case.
+_ASCII_WORD = re.compile("[a-z0-9]+")
+
+
+def _split(plain: str) -> list[str]:
+    return (_ASCII_WORD if plain.isascii() else _WORD).findall(plain)
 
 
 def _plain(text: str) -> str:
@@ -62,7 +71,7 @@ def words(text: str, markup: bool = True) -> list[str]:
             parts.append(text[last : m.start()])
             last = m.end()
         text = " ".join([*parts, text[last:]])
-    return _WORD.findall(_plain(text))
+    return _split(_plain(text))
 
 
 def placed_words(text: str, markup: bool = True) -> list[tuple[str, int, int]]:
@@ -87,7 +96,7 @@ def placed_words(text: str, markup: bool = True) -> list[tuple[str, int, int]]:
     plain, where = [], []
     for c, p in zip(chars, at):
         # a mark is put in order among its neighbours, but it is dropped anyway: characters can be taken one by one
-        for x in _plain(c):
+        for x in c.lower() if c < "\x80" else _plain(c):
             plain.append(x)
             where.append(p)
     return [(m[0], where[m.start()][0], where[m.end() - 1][1]) for m in _WORD.finditer("".join(plain))]
