@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +116,53 @@ def tail_mean(df: DataFrame, keys: list[str], order: str, metrics: list[str], k:
     return long.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).groupBy(*keys, "metric").agg(F.avg("x").alias("mean"))
 
 
+@dataclass(frozen=True)
+class Threshold:
+    """Values from which a metric is WARN and FAIL: at or below them, or at or above if ``lower_is_better``."""
+
+    warn: float
+    fail: float
+    lower_is_better: bool = False
+
+
+#: Fixed values of the tracked metrics.
+TRACKED = {
+    "log_loss": Threshold(0.72, 0.75, True),
+    "brier": Threshold(0.26, 0.28, True),
+    "auc": Threshold(0.50, 0.48),
+    "sharpe": Threshold(0.00, -0.50),
+}
+
+
+def performance(df: DataFrame, keys: list[str], order: str, k: int = 4, tracked: dict[str, Threshold] = TRACKED) -> DataFrame:
+    """(keys..., metric, mean, status): mean of each tracked metric's last k values against its thresholds.
+
+    A metric without any value passes; metrics that the table lacks are left out.
+    """
+    names = [m for m in tracked if m in df.columns]
+    groups = df.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, names))).alias("metric"))
+    means = groups.join(tail_mean(df, keys, order, names, k), [*keys, "metric"], "left")
+
+    def rank(m: str) -> Column:
+        t, x = tracked[m], F.col("mean")
+        beyond = (lambda v: x >= v) if t.lower_is_better else (lambda v: x <= v)
+        return F.when((F.col("metric") == m) & x.isNotNull(), F.when(beyond(t.fail), 2).when(beyond(t.warn), 1))
+
+    return means.withColumn("status", status(F.coalesce(*(rank(m) for m in names), F.lit(0))))
+
+
+def worst_first(df: DataFrame, n: int, ties: list[str]) -> DataFrame:
+    """The n worst rows of a drift table: by status, then the greatest psi, nulls last."""
+    order = F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "WARN", 1).otherwise(0)
+    return df.orderBy(order.desc(), F.col("psi").desc_nulls_last(), *ties).limit(n)
+
+
+def overall(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., status): the worst status of each group, PASS if none is known."""
+    rank = F.max(F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "WARN", 1).otherwise(0))
+    return df.groupBy(*keys).agg(rank.alias("_rank")).select(*keys, status(F.col("_rank")).alias("status"))
+
+
 def exact_ks_p(stat: float, n: int, m: int) -> float:
     """Two-sided p of D for small samples by counting lattice paths; for reports of few features, on the driver."""
     if n < 1 or m < 1 or not math.isfinite(stat):

@@ -60,11 +60,16 @@ def add_market_features(panel: DataFrame, s: FeatureSettings = FeatureSettings()
     )
 
 
-def add_cross_sectional_features(panel: DataFrame, s: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """Percentile ranks of the medium return on each date, among all tickers and among those of the sector."""
-    value = f"px_ret_{s.medium}d"
-    one = percentile_ranks(panel, ["trade_date"], value, f"cs_market_rank_{s.medium}d")
-    return percentile_ranks(one, ["trade_date", "sector"], value, f"cs_sector_rank_{s.medium}d")
+def add_cross_sectional_features(panel: DataFrame, s: FeatureSettings = FeatureSettings(), small: bool = False) -> DataFrame:
+    """Percentile ranks of the medium return on each date, among all tickers and among those of the sector.
+
+    Returns are ranked to six decimals, so that those that differ by the order of a sum are ties. ``small``: see
+    ranks.percentile_ranks; groups of a sector are parts of those of a date, so both are ranked in one partitioning.
+    """
+    one = panel.withColumn("_return", F.round(f"px_ret_{s.medium}d", 6))
+    for keys, name in ((["trade_date"], "market"), (["trade_date", "sector"], "sector")):
+        one = percentile_ranks(one, keys, "_return", f"cs_{name}_rank_{s.medium}d", small=small)
+    return one.drop("_return")
 
 
 def add_year_changes(wide: DataFrame, date: str, columns: list[str], rows: int, scale: float = 100.0, keys: list[str] = []) -> DataFrame:
@@ -89,11 +94,23 @@ def add_fundamental_ratios(wide: DataFrame, s: FeatureSettings = FeatureSettings
     ).drop("_sales")
 
 
-def assemble(panel: DataFrame, macro: DataFrame | None = None, fundamentals: DataFrame | None = None, s: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """All builders in the order that shuffles least: ticker, ticker, date; dated and keyed tables joined last."""
-    out = panel.transform(add_price_features, s).transform(add_market_features, s).transform(add_cross_sectional_features, s)
-    if macro is not None:
-        out = out.join(macro, "trade_date", "left")
+def add_macro_features(wide: DataFrame, passed: list[str], changed: list[str], rows: int = 252, date: str = "trade_date") -> DataFrame:
+    """(date, passed..., <changed>_yoy...): levels of some series as they are, of others the change in percent over so many rows.
+
+    ``wide`` has a column a series; one that it lacks is null.
+    """
+    have = [F.col(c) if c in wide.columns else F.lit(None).cast("double").alias(c) for c in dict.fromkeys([*passed, *changed])]
+    return add_year_changes(wide.select(date, *have), date, changed, rows).select(date, *passed, *(f"{c}_yoy" for c in changed))
+
+
+def assemble(panel: DataFrame, macro: DataFrame | None = None, fundamentals: DataFrame | None = None, s: FeatureSettings = FeatureSettings(), small: bool = False) -> DataFrame:
+    """All builders in the order that shuffles least: ticker, ticker, then dated and keyed tables, the dates' ranks last.
+
+    ``small`` tells that no date has more tickers than a task can rank.
+    """
+    out = panel.transform(add_price_features, s).transform(add_market_features, s)
     if fundamentals is not None:
         out = out.join(fundamentals, ["ticker", "trade_date"], "left")
-    return out
+    if macro is not None:
+        out = out.join(macro, "trade_date", "left")
+    return out.transform(add_cross_sectional_features, s, small)

@@ -16,17 +16,23 @@ from pitloom.operators import ingest as I
 from pitloom.operators import known as K
 from pitloom.operators import panel as P
 from pitloom.operators import quality as Q
+from pitloom.operators.ranks import all_small
 from pitloom.plans import general
 from pitloom.session import cut, read, shared_folder
+from pitloom.sources import sinks
+from pitloom.sources.readers import rows_of
 from pitloom.sources.snapshots import SnapshotStore, retained
 
-#: The columns of macro_pivot_wide, as its SQL has them: the greatest value of a kind's series. mc_yoy_by_series keeps each series.
-KINDS = ["CORECPI", "CREDITGAP", "FUELSTOCK", "HOUSESTART", "JOBLESS", "MILLOUT", "PORTCALLS", "POTOUT", "RATEPATH", "RETAILVOL", "TRUCKORD", "WAGEIDX"]
+#: The registry of the series that have a column of their own: one a series, null where the data lack it. The long form,
+#: macro_asof_daily, has every series, and so has mc_yoy_by_series.
+SERIES = ["PORTCALLS000000", "HOUSESTART000001", "CREDITGAP000002", "MILLOUT000003", "TRUCKORD000004", "RATEPATH000005", "MILLOUT000006", "CORECPI000007", "POTOUT000000"]
+#: Series whose level is a feature, and those whose yearly change is.
+PASSED = ["macro_ratepath000005", "macro_creditgap000002", "macro_portcalls000000", "macro_millout000003"]
+CHANGED = ["macro_corecpi000007", "macro_housestart000001"]
 TAGS = ["OwnersFunds", "PlantOutlay", "ProfitAfterTax", "SalesNet", "StaffCount"]
 FOLDS = B.FoldSettings(train_months=3, test_months=1, step_months=1, gap_days=6, least_train=30, least_test=10)
 FEATURES = X.FeatureSettings()
 MODEL = ["px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_20d", "px_rsi_14", "cs_market_rank_20d"]
-YOY_ROWS = 60
 YEAR = 252
 
 
@@ -70,9 +76,10 @@ def macro_vintages_latest(spark: SparkSession, base: str) -> DataFrame:
     return P.latest_by(read(spark, base, "stg_macro_series"), ["series_id", "vintage_date"], "observation_date", ["value"])
 
 
-def _macro_days(spark: SparkSession, base: str) -> DataFrame:
-    """Every series on every weekday from its first to its last vintage, with what was known then, null if nothing."""
+def _macro_days(spark: SparkSession, base: str, series: list[str] | None = None) -> DataFrame:
+    """Every series (or each of the given ones) on every weekday from its first to its last vintage, with what was known then, null if nothing."""
     s = read(spark, base, "stg_macro_series")
+    s = s if series is None else rows_of(s, "series_id", series)
     spans = s.groupBy("series_id").agg(F.min("vintage_date").alias("a"), F.max("vintage_date").alias("b"))
     days = spans.select("series_id", F.explode(F.filter(F.sequence("a", "b"), lambda d: F.weekday(d) < 5)).alias("trade_date"))
     return K.as_known(days, K.vintage_changes(s).withColumnRenamed("series", "series_id"), ["series_id"], "trade_date", "on", ["vintage", "observed", "value"])
@@ -88,7 +95,8 @@ def macro_asof_daily(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _macro_wide(spark: SparkSession, base: str) -> DataFrame:
-    return P.widen(_macro_daily(spark, base), ["trade_date"], _kind(), F.col("value"), KINDS, "macro_")
+    listed = _macro_days(spark, base, SERIES).where("known_vintage IS NOT NULL")
+    return P.widen(listed, ["trade_date"], F.col("series_id"), F.col("known_value"), SERIES, "macro_")
 
 
 def macro_pivot_wide(spark: SparkSession, base: str) -> DataFrame:
@@ -96,12 +104,11 @@ def macro_pivot_wide(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _macro_features(spark: SparkSession, base: str) -> DataFrame:
-    wide = _macro_wide(spark, base).select("trade_date", "macro_corecpi", "macro_ratepath")
-    return X.add_year_changes(wide, "trade_date", ["macro_corecpi", "macro_ratepath"], YOY_ROWS)
+    return X.add_macro_features(_macro_wide(spark, base), PASSED, CHANGED, YEAR)
 
 
 def mc_yoy(spark: SparkSession, base: str) -> DataFrame:
-    return _macro_features(spark, base).select("trade_date", *_r("macro_corecpi_yoy", "macro_ratepath_yoy"))
+    return _macro_features(spark, base).select("trade_date", *PASSED, *_r(*(f"{c}_yoy" for c in CHANGED)))
 
 
 def _macro_by_series(spark: SparkSession, base: str) -> DataFrame:
@@ -181,14 +188,15 @@ def px_features(spark: SparkSession, base: str) -> DataFrame:
     return out.select("ticker", "trade_date", *_r("px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_5d", "px_vol_20d", "px_vol_60d", "px_vol_ratio", "px_mom_60d"), *_r("px_rsi_14", places=4))
 
 
-def _ranked_panel(spark: SparkSession, base: str) -> DataFrame:
-    """Returns rounded before they are ranked, so that ties are the same everywhere."""
-    w = by_date("ticker")
-    return _panel(spark, base).select("ticker", "trade_date", "sector", F.round(log_return(F.col("adj_close"), w, FEATURES.medium), 6).alias("px_ret_20d"))
+def _small(spark: SparkSession, base: str) -> bool:
+    """Whether every date's tickers can be ranked in one task: a count over one column of the table, not over the panel."""
+    return all_small(read(spark, base, "fct_prices_daily"), ["trade_date"])
 
 
 def cs_ranks(spark: SparkSession, base: str) -> DataFrame:
-    return X.add_cross_sectional_features(_ranked_panel(spark, base)).select("ticker", "trade_date", "cs_market_rank_20d", "cs_sector_rank_20d")
+    w = by_date("ticker")
+    p = _panel(spark, base).select("ticker", "trade_date", "sector", log_return(F.col("adj_close"), w, FEATURES.medium).alias("px_ret_20d"))
+    return X.add_cross_sectional_features(p, small=_small(spark, base)).select("ticker", "trade_date", "cs_market_rank_20d", "cs_sector_rank_20d")
 
 
 def mkt_features(spark: SparkSession, base: str) -> DataFrame:
@@ -198,14 +206,27 @@ def mkt_features(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, base: str) -> DataFrame:
-    macro = _macro_features(spark, base)
     labelled = P.returns_and_labels(_panel(spark, base)).drop("log_return", "next_trade_date", "next_close", "next_adj_close")
-    return X.assemble(labelled, macro, _fundamentals(spark, base))
+    macro = cut(_macro_features(spark, base))  # one row a date, of known size when the panel's join is planned
+    return X.assemble(labelled, macro, _fundamentals(spark, base), small=_small(spark, base))
+
+
+#: The features, in the builders' order.
+PX = ["px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_5d", "px_vol_20d", "px_vol_60d", "px_vol_ratio", "px_mom_60d"]
+MKT, CS = ["mkt_beta_60d", "mkt_corr_60d"], ["cs_market_rank_20d", "cs_sector_rank_20d"]
+MC, FD = [*PASSED, *(f"{c}_yoy" for c in CHANGED)], ["fd_margin", "fd_roe", "fd_outlay", "fd_sales_per_head", "fd_growth"]
 
 
 def features_assembled(spark: SparkSession, base: str) -> DataFrame:
-    names = ["px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_5d", "px_vol_20d", "px_vol_60d", "px_vol_ratio", "px_mom_60d", "mkt_beta_60d", "mkt_corr_60d", "macro_corecpi_yoy", "macro_ratepath_yoy", "fd_margin", "fd_roe", "fd_outlay", "fd_growth"]
-    return _features(spark, base).select("ticker", "trade_date", "sector", "next_return_positive", *_r(*names), *_r("px_rsi_14", places=4))
+    return _features(spark, base).select("ticker", "trade_date", "sector", "is_benchmark", "next_return_positive", *_r("next_log_return", *PX, *MKT, *MC, *FD), *_r("px_rsi_14", places=4), *CS)
+
+
+def features_loaded(spark: SparkSession, base: str) -> DataFrame:
+    """The assembled features written as a version and read back, without the rows that have no label."""
+    root = shared_folder(spark)
+    built = features_assembled(spark, base)
+    path = sinks.write_version(cut(built), root, "v1", [F.col(c) for c in sorted(built.columns)])
+    return spark.read.parquet(path).where("next_return_positive IS NOT NULL").select("ticker", "trade_date", *PX, *CS)
 
 
 # --- selection and evaluation --------------------------------------------------------------------------------------------
@@ -228,10 +249,26 @@ def entry_threshold(spark: SparkSession, base: str) -> DataFrame:
     return B.rule(B.SELECTIONS, "above")(_predictions(spark, base), "prob", 0.55).where("selected").select("ticker", "trade_date", "prob")
 
 
+def _baseline_rows(spark: SparkSession, base: str) -> DataFrame:
+    w = by_date("ticker")
+    p = _panel(spark, base).select("ticker", "trade_date", "sector", "is_benchmark", F.round(log_return(F.col("adj_close"), w, FEATURES.medium), 6).alias("px_ret_20d"))
+    return X.add_cross_sectional_features(p, small=_small(spark, base))
+
+
+def baseline_naive(spark: SparkSession, base: str) -> DataFrame:
+    return B.naive(_panel(spark, base))
+
+
 def baseline_momentum(spark: SparkSession, base: str) -> DataFrame:
-    """The upper fifth of each date by its rank, in equal parts."""
-    ranked = X.percentile_ranks(_predictions(spark, base), ["trade_date"], "prob", "rank")
-    return B.equal_weights(B.above(ranked, "rank", 0.8), 0.05).where("selected").select("ticker", "trade_date", *_r("weight"))
+    return B.momentum_signal(_baseline_rows(spark, base), "px_ret_20d")
+
+
+def baseline_hold(spark: SparkSession, base: str) -> DataFrame:
+    return B.hold(_panel(spark, base), F.col("is_benchmark"))
+
+
+def baseline_top_rank(spark: SparkSession, base: str) -> DataFrame:
+    return B.top_rank_signal(_baseline_rows(spark, base), "cs_market_rank_20d", 10, F.col("is_benchmark"))
 
 
 def entry_above_median(spark: SparkSession, base: str) -> DataFrame:
@@ -274,11 +311,60 @@ def _band(spark: SparkSession, base: str) -> DataFrame:
 
 
 def rebalance_walk(spark: SparkSession, base: str) -> DataFrame:
-    return _band(spark, base).select("model", "trade_date", "ticker", "weight", "traded")
+    return _band(spark, base).select("model", "trade_date", "ticker", *_r("weight", "traded", places=9))
 
 
 def portfolio_returns(spark: SparkSession, base: str) -> DataFrame:
-    return B.portfolio_returns(_band(spark, base), ["model"], cash=0.02)
+    return B.portfolio_returns(_band(spark, base), ["model"], cash=0.02).select("model", "trade_date", *_r("gross", "cash_ret", "cost", "net", "turnover", places=8))
+
+
+def _two_models(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions of two models on the folds' test rows, and the daily returns of their portfolios."""
+    p = B.assign_folds(_predictions(spark, base).where("prob IS NOT NULL"), folds(spark, base)).where("part = 'test'")
+    cells = F.array(F.struct(F.lit("momentum").alias("model"), F.col("prob").alias("prob")), F.struct(F.lit("reversal").alias("model"), F.round(1 - F.col("prob"), 6).alias("prob")))
+    both = cut(p.select("fold_id", "trade_date", "ticker", F.col("close").alias("price"), "next_return", "y", F.explode(cells).alias("c")).select("*", "c.*").drop("c"))
+    return both, B.run_portfolio(both, ["model", "fold_id"], cash=0.02)
+
+
+def portfolio_by_fold(spark: SparkSession, base: str) -> DataFrame:
+    return _two_models(spark, base)[1].select("model", "fold_id", "trade_date", *_r("gross", "cash_ret", "cost", "net", "turnover", places=8))
+
+
+def _run(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    predictions, returns = _two_models(spark, base)
+    return B.run_tables(predictions, cut(returns), ["model"])
+
+
+def run_per_fold(spark: SparkSession, base: str) -> DataFrame:
+    return _run(spark, base)["per_fold"].select("model", "fold_id", "n_obs", "n_days", *_r(*B.CLASSIFICATION), *_r("sharpe", "total_return", "max_drawdown", places=4))
+
+
+def run_aggregate(spark: SparkSession, base: str) -> DataFrame:
+    return _run(spark, base)["aggregate"].where("metric IN ('log_loss', 'brier', 'hit_rate', 'auc', 'sharpe')").select("model", "metric", "n", *_r("mean", "sd", "median", "q1", "q3", "iqr", places=4))
+
+
+def run_pooled(spark: SparkSession, base: str) -> DataFrame:
+    return _run(spark, base)["pooled"].select("model", "n_obs", "n_days", *_r(*B.CLASSIFICATION), *_r("sharpe", "total_return", "max_drawdown", places=4))
+
+
+def run_yearly(spark: SparkSession, base: str) -> DataFrame:
+    return _run(spark, base)["yearly"].select("model", "year", "n", *_r("sharpe", places=4))
+
+
+def run_interval(spark: SparkSession, base: str) -> DataFrame:
+    return _run(spark, base)["interval"]
+
+
+def run_differences(spark: SparkSession, base: str) -> DataFrame:
+    """Metrics by sector of the first and the later half of the dates' parity that differ, or that only one has."""
+    m = _predictions(spark, base).where("sector IS NOT NULL").withColumn("odd", F.dayofmonth("trade_date") % 2)
+    runs = [B.metric_rows(B.classification(m.where(F.col("odd") == k), ["sector"]).select("sector", *_r("brier", "auc")), ["sector"], "cls", ["brier", "auc"]) for k in (0, 1)]
+    return B.metric_differences(*runs)
+
+
+def best_sectors(spark: SparkSession, base: str) -> DataFrame:
+    """The five sectors of the greatest area under the curve."""
+    return B.best_runs(classification_metrics(spark, base), "auc", 5, ["sector"]).select("sector", "auc")
 
 
 def _calendar(df: DataFrame) -> list:
@@ -317,7 +403,7 @@ def reliability_curve(spark: SparkSession, base: str) -> DataFrame:
 
 def calibration(spark: SparkSession, base: str) -> DataFrame:
     """Slope and intercept of one fit over all rows."""
-    return spark.createDataFrame([B.calibration(_predictions(spark, base))], "slope double, intercept double")
+    return spark.createDataFrame([B.calibration(_predictions(spark, base))], "slope double, intercept double").select(*_r("slope", "intercept"))
 
 
 def _yearly(spark: SparkSession, base: str) -> DataFrame:
@@ -344,8 +430,8 @@ def bootstrap_ci(spark: SparkSession, base: str) -> DataFrame:
 
 def deflated_sharpe(spark: SparkSession, base: str) -> DataFrame:
     """Of each sector's mean return, the sectors being the trials."""
-    daily = _predictions(spark, base).where("next_return IS NOT NULL AND sector IS NOT NULL").groupBy("sector", "trade_date").agg(F.avg("next_return").alias("r"))
-    return B.deflated(B.trading(daily, ["sector"], "r"), ["sector"])
+    daily = _predictions(spark, base).where("next_return IS NOT NULL AND sector IS NOT NULL").groupBy("sector", "trade_date").agg(F.avg("next_return").alias("next_return"))
+    return B.deflated(B.trading(daily, ["sector"], "next_return"), ["sector"]).select("sector", *_r("deflated"))
 
 
 # --- monitoring ----------------------------------------------------------------------------------------------------------
@@ -381,7 +467,7 @@ def ks_statistic(spark: SparkSession, base: str) -> DataFrame:
 
 def _drift_whole(spark: SparkSession, base: str) -> DataFrame:
     """Every numeric column of the assembled features, and every macro series' level and yearly change, once a date; on the panel's first and last dates."""
-    built = X.assemble(_panel(spark, base), None, _fundamentals(spark, base)).select("trade_date", "close", "volume", *_r(*DRIFT_COLUMNS))
+    built = X.assemble(_panel(spark, base), None, _fundamentals(spark, base), small=_small(spark, base)).select("trade_date", "close", "volume", *_r(*DRIFT_COLUMNS))
     panel = D.long_features(D.windows(built, "trade_date", DRIFT_DATES, DRIFT_DATES), ["close", "volume", *DRIFT_COLUMNS])
     dates = D.windows(_panel(spark, base).select("trade_date").distinct(), "trade_date", DRIFT_DATES, DRIFT_DATES)
     macro = _macro_by_series(spark, base).join(dates, "trade_date")
@@ -400,6 +486,16 @@ def perf_tail_mean(spark: SparkSession, base: str) -> DataFrame:
     return D.tail_mean(scores, ["sector"], "month", ["log_loss", "auc", "brier"], 4).select("sector", "metric", *_r("mean", places=5))
 
 
+def perf_status(spark: SparkSession, base: str) -> DataFrame:
+    m = _predictions(spark, base).where("y IS NOT NULL AND prob IS NOT NULL AND sector IS NOT NULL").withColumn("month", F.trunc("trade_date", "month"))
+    scores = B.classification(m, ["sector", "month"]).select("sector", "month", *_r("log_loss", "auc", "brier"))
+    return D.performance(scores, ["sector"], "month", 4).select("sector", "metric", *_r("mean", places=5), "status")
+
+
+def perf_overall(spark: SparkSession, base: str) -> DataFrame:
+    return D.overall(perf_status(spark, base), ["sector"])
+
+
 # --- quality -------------------------------------------------------------------------------------------------------------
 
 
@@ -549,9 +645,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, mc_yoy_by_series, vintage_reconstruct, macro_latest_mode,
-        facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled,
-        entry_top_n, entry_threshold, entry_above_median, baseline_momentum, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
-        classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean,
+        facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled, features_loaded,
+        entry_top_n, entry_threshold, entry_above_median, baseline_naive, baseline_momentum, baseline_hold, baseline_top_rank, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, portfolio_by_fold, run_per_fold, run_aggregate, run_pooled, run_yearly, run_interval, run_differences, best_sectors, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
+        classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean, perf_status, perf_overall,
         dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_gate, dq_orphans,
         ingest_normalise, missing_sentinel_parse, json_facts_flatten, json_facts_messy, snapshot_hash, snapshot_store_returns, snapshot_retention, sample_exact_n,
     )

@@ -26,12 +26,15 @@ md AS (
   FROM dv ASOF JOIN ob ON dv.series_id = ob.series_id AND dv.vintage_date = ob.vintage_date AND dv.trade_date >= ob.observation_date
 )"""
 
-_KINDS = ["CORECPI", "CREDITGAP", "FUELSTOCK", "HOUSESTART", "JOBLESS", "MILLOUT", "PORTCALLS", "POTOUT", "RATEPATH", "RETAILVOL", "TRUCKORD", "WAGEIDX"]
-_WIDE = "wide AS (SELECT trade_date, " + ", ".join(f"max(value) FILTER (regexp_replace(series_id, '[0-9]+$', '') = '{k}') AS macro_{k.lower()}" for k in _KINDS) + " FROM md GROUP BY trade_date)"
+_SERIES = ["PORTCALLS000000", "HOUSESTART000001", "CREDITGAP000002", "MILLOUT000003", "TRUCKORD000004", "RATEPATH000005", "MILLOUT000006", "CORECPI000007", "POTOUT000000"]
+_WIDE = "wide AS (SELECT trade_date, " + ", ".join(f"max(value) FILTER (series_id = '{k}') AS macro_{k.lower()}" for k in _SERIES) + " FROM md WHERE series_id IN ('" + "', '".join(_SERIES) + "') GROUP BY trade_date)"
 _YOY = """yoy AS (
-  SELECT trade_date, (macro_corecpi / nullif(lag(macro_corecpi, 60) OVER w, 0) - 1) * 100 AS macro_corecpi_yoy, (macro_ratepath / nullif(lag(macro_ratepath, 60) OVER w, 0) - 1) * 100 AS macro_ratepath_yoy
+  SELECT trade_date, macro_ratepath000005, macro_creditgap000002, macro_portcalls000000, macro_millout000003,
+         (macro_corecpi000007 / nullif(lag(macro_corecpi000007, 252) OVER w, 0) - 1) * 100 AS macro_corecpi000007_yoy,
+         (macro_housestart000001 / nullif(lag(macro_housestart000001, 252) OVER w, 0) - 1) * 100 AS macro_housestart000001_yoy
   FROM wide WINDOW w AS (ORDER BY trade_date)
 )"""
+_MC = "macro_ratepath000005, macro_creditgap000002, macro_portcalls000000, macro_millout000003, round(macro_corecpi000007_yoy, 6) AS macro_corecpi000007_yoy, round(macro_housestart000001_yoy, 6) AS macro_housestart000001_yoy"
 
 _FILED = """
 fl AS (
@@ -80,6 +83,23 @@ mf AS (
          CASE WHEN count(x) OVER w = 60 THEN least(1.0, greatest(-1.0, covar_samp(x, m) OVER w / nullif(stddev_samp(x) OVER w * stddev_samp(m) OVER w, 0))) END AS corr
   FROM mj WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS 59 PRECEDING)
 )"""
+_CS = """
+cv AS (SELECT ticker, trade_date, sector, is_benchmark, round(ln(adj_close / lag(adj_close, 20) OVER (PARTITION BY ticker ORDER BY trade_date)), 6) AS v FROM panel),
+cs AS (
+  SELECT *,
+    CASE WHEN v IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, v) - 1) / 2) / count(v) OVER (PARTITION BY trade_date) END AS cs_market_rank_20d,
+    CASE WHEN v IS NOT NULL AND sector IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date, sector ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, sector, v) - 1) / 2) / count(v) OVER (PARTITION BY trade_date, sector) END AS cs_sector_rank_20d
+  FROM cv
+)"""
+_ALL = f"""{_PANEL}, {_PX}, {_MKT}, {_CS}, {_MACRO}, {_WIDE}, {_YOY}, {_FACTS},
+feat AS (
+  SELECT pf.ticker, pf.trade_date, pf.sector, pf.is_benchmark, nr > 0 AS next_return_positive, round(nr, 6) AS next_log_return, {_PXCOLS}, round(beta, 6) AS mkt_beta_60d, round(corr, 6) AS mkt_corr_60d, {_MC},
+    round(fd_margin, 6) AS fd_margin, round(fd_roe, 6) AS fd_roe, round(fd_outlay, 6) AS fd_outlay, round(fd_sales_per_head, 6) AS fd_sales_per_head, round(fd_growth, 6) AS fd_growth, round(rsi, 4) AS px_rsi_14,
+    cs_market_rank_20d, cs_sector_rank_20d
+  FROM pf JOIN (SELECT ticker, trade_date, nr FROM lab) l USING (ticker, trade_date) LEFT JOIN mf USING (ticker, trade_date) LEFT JOIN yoy USING (trade_date) LEFT JOIN fr USING (ticker, trade_date)
+    JOIN (SELECT ticker, trade_date, cs_market_rank_20d, cs_sector_rank_20d FROM cs) c USING (ticker, trade_date)
+)"""
+
 _PRED = """
 pr AS (
   SELECT ticker, trade_date, sector, close, round(1 / (1 + exp(-ln(adj_close / lag(adj_close, 20) OVER w) * 5)), 6) AS prob, CAST(nr > 0 AS INT) AS y, round(exp(nr) - 1, 6) AS next_return
@@ -105,6 +125,87 @@ AS (
   GROUP BY {k}
 )"""
 
+
+
+def _dense(src: str, value: str) -> str:
+    """Per portfolio g and date number i: the date, the names ever held and a list of their targets and of ``value``."""
+    return f"""
+nm AS (SELECT DISTINCT g, ticker FROM {src} WHERE weight <> 0),
+dy AS (SELECT g, trade_date, row_number() OVER (PARTITION BY g ORDER BY trade_date) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM (SELECT DISTINCT g, trade_date FROM {src} JOIN nm USING (g, ticker))),
+ar AS (
+  SELECT dy.g, dy.trade_date, dy.i, dy.n, list(nm.ticker ORDER BY nm.ticker) AS names, list(coalesce(weight, 0.0) ORDER BY nm.ticker) AS t, list({value} ORDER BY nm.ticker) AS p
+  FROM dy JOIN nm ON dy.g = nm.g LEFT JOIN {src} s ON s.g = dy.g AND s.trade_date = dy.trade_date AND s.ticker = nm.ticker GROUP BY ALL
+)"""
+
+
+def _limits(src: str) -> str:
+    """lw: (g, trade_date, ticker, target, weight, stop_out, state) of ``src`` (g, trade_date, ticker, weight, price), date by date."""
+    ks = "range(1, len(names) + 1)"
+    return _dense(src, "price").replace("nm AS", "ln AS").replace(" nm ", " ln ").replace("nm.", "ln.").replace("dy AS", "ld AS").replace("FROM dy", "FROM ld").replace("dy.", "ld.").replace("ar AS", "la AS") + f""",
+lm AS (SELECT *, lag(p) OVER (PARTITION BY g ORDER BY i) AS q FROM la),
+lr AS (SELECT *, list_transform({ks}, lambda k: CASE WHEN q[k] <> 0 THEN coalesce(p[k] / q[k] - 1, 0.0) ELSE 0.0 END) AS mv FROM lm),
+lk(g, i, trade_date, names, t, value, peak, halted, o, entry, blocked, stops, state) AS (
+  SELECT g, CAST(-1 AS BIGINT), trade_date, names, t, 1.0::DOUBLE, 1.0::DOUBLE, FALSE, list_transform({ks}, lambda k: 0.0::DOUBLE), list_transform({ks}, lambda k: NULL::DOUBLE), list_transform({ks}, lambda k: -1::BIGINT), list_transform({ks}, lambda k: FALSE), ''
+  FROM lr WHERE i = 0
+  UNION ALL
+  SELECT g, i, trade_date, names, t, value, peak, halt,
+    list_transform({ks}, lambda k: CASE WHEN NOT halt AND go[k] AND NOT st[k] THEN t[k] * f ELSE 0.0 END),
+    CASE WHEN halt THEN entry ELSE list_transform({ks}, lambda k: CASE WHEN fr[k] AND NOT (go[k] AND NOT st[k]) THEN NULL WHEN go[k] AND entry[k] IS NULL THEN p[k] ELSE entry[k] END) END,
+    CASE WHEN halt THEN blocked ELSE list_transform({ks}, lambda k: CASE WHEN st[k] THEN least(i + 5, n - 1) ELSE blocked[k] END) END,
+    list_transform({ks}, lambda k: NOT halt AND st[k]), CASE WHEN halt THEN 'halt' WHEN f < 1 THEN 'derisk' ELSE 'normal' END
+  FROM (
+    SELECT *, list_transform({ks}, lambda k: coalesce(go[k] AND entry[k] IS NOT NULL AND p[k] / entry[k] - 1 <= -0.08, FALSE)) AS st
+    FROM (
+      SELECT *, list_transform({ks}, lambda k: coalesce(fr[k] AND t[k] * f <> 0 AND p[k] > 0, FALSE)) AS go
+      FROM (
+        SELECT *, halted OR loss <= -0.20 AS halt, CASE WHEN loss <= -0.10 THEN 0.5 ELSE 1.0 END AS f, list_transform({ks}, lambda k: i > blocked[k]) AS fr
+        FROM (
+          SELECT *, value / greatest(peak0, value) - 1 AS loss, greatest(peak0, value) AS peak
+          FROM (
+            SELECT lr.g, lr.i, lr.n, lr.trade_date, lr.names, lr.t, lr.p, lk.halted, lk.entry, lk.blocked, lk.peak AS peak0,
+              CASE WHEN lk.halted THEN lk.value ELSE lk.value * (1 + list_sum(list_transform(range(1, len(lr.names) + 1), lambda k: lk.o[k] * lr.mv[k]))) END AS value
+            FROM lk JOIN lr ON lk.g = lr.g AND lr.i = lk.i + 1
+          )
+        )
+      )
+    )
+  )
+),
+lw AS (
+  SELECT g, trade_date, u.ticker, u.target, least(0.05, greatest(0.0, u.weight)) AS weight, u.stop_out, state
+  FROM (SELECT g, trade_date, state, unnest(list_transform({ks}, lambda k: {{'ticker': names[k], 'target': t[k], 'weight': o[k], 'stop_out': stops[k]}})) AS u FROM lk WHERE i >= 0)
+)"""
+
+
+def _bands(src: str) -> str:
+    """bw: (g, trade_date, ticker, weight, traded, next_return) of ``src`` (g, trade_date, ticker, weight, next_return), date by date."""
+    ks = "range(1, len(names) + 1)"
+    return _dense(src, "next_return") + f""",
+bl AS (SELECT *, lag(p) OVER (PARTITION BY g ORDER BY i) AS q FROM ar),
+bk(g, i, trade_date, names, p, o, d) AS (
+  SELECT g, CAST(-1 AS BIGINT), trade_date, names, p, list_transform({ks}, lambda k: 0.0::DOUBLE), list_transform({ks}, lambda k: 0.0::DOUBLE) FROM bl WHERE i = 0
+  UNION ALL
+  SELECT g, i, trade_date, names, p, list_transform({ks}, lambda k: CASE WHEN i = 0 OR abs(t[k] - dr[k]) > 0.01 THEN t[k] ELSE dr[k] END), dr
+  FROM (
+    SELECT *, list_transform({ks}, lambda k: CASE WHEN i > 0 AND whole > -0.999999 THEN o[k] * (1 + coalesce(q[k], 0.0)) / (1 + whole) ELSE 0.0 END) AS dr
+    FROM (
+      SELECT bl.g, bl.i, bl.trade_date, bl.names, bl.t, bl.p, bl.q, bk.o, list_sum(list_transform(range(1, len(bl.names) + 1), lambda k: bk.o[k] * coalesce(bl.q[k], 0.0))) AS whole
+      FROM bk JOIN bl ON bk.g = bl.g AND bl.i = bk.i + 1
+    )
+  )
+),
+bw AS (
+  SELECT g, trade_date, u.ticker, u.weight, abs(u.weight - u.drifted) AS traded, u.next_return
+  FROM (SELECT g, trade_date, unnest(list_transform({ks}, lambda k: {{'ticker': names[k], 'weight': o[k], 'drifted': d[k], 'next_return': p[k]}})) AS u FROM bk WHERE i >= 0)
+),
+br AS (
+  SELECT g, trade_date, sum(weight * coalesce(next_return, 0.0)) AS gross, (1 - sum(weight)) * (pow(1.02, 1 / 252) - 1) AS cash_ret, sum(traded) * 2.5 / 10000 AS cost, sum(traded) AS turnover FROM bw GROUP BY ALL
+)"""
+
+
+_WALKED = "wk AS (SELECT 'momentum' AS g, trade_date, ticker, CAST(weight AS DOUBLE) AS weight, close AS price, next_return FROM wt WHERE prob IS NOT NULL)"
+_RETURNS = "round(gross, 8) AS gross, round(cash_ret, 8) AS cash_ret, round(cost, 8) AS cost, round(gross + cash_ret - cost, 8) AS net, round(turnover, 8) AS turnover"
+
 _FOLDS = """
 dts AS (SELECT DISTINCT trade_date AS d FROM fct_prices_daily),
 walk(ts) AS (
@@ -122,6 +223,35 @@ fold AS (
   FROM cut WHERE n_train >= 30 AND n_test >= 10
 )"""
 
+_TWO = f"""{_FOLDS}, {_PANEL}, {_PRED},
+mp AS (
+  SELECT model || '|' || fold_id AS g, model, fold_id, ticker, trade_date, close AS price, next_return, y, CASE model WHEN 'momentum' THEN prob ELSE round(1 - prob, 6) END AS prob
+  FROM pr JOIN fold ON trade_date BETWEEN test_start AND test_end CROSS JOIN (SELECT unnest(['momentum', 'reversal']) AS model) WHERE prob IS NOT NULL
+),
+mt AS (SELECT *, row_number() OVER (PARTITION BY g, trade_date ORDER BY prob DESC, ticker) <= 10 AS selected FROM mp),
+mw AS (SELECT *, CASE WHEN selected THEN CAST(least(1.0 / count(*) FILTER (selected) OVER (PARTITION BY g, trade_date), 0.05) AS DOUBLE) ELSE 0.0 END AS weight FROM mt),
+{_limits("mw")},
+mb AS (SELECT lw.g, lw.trade_date, lw.ticker, lw.weight, mp.next_return FROM lw LEFT JOIN mp USING (g, trade_date, ticker)),
+{_bands("mb")},
+mr AS (SELECT split_part(g, '|', 1) AS model, CAST(split_part(g, '|', 2) AS INT) AS fold_id, trade_date, gross, cash_ret, cost, gross + cash_ret - cost AS next_return, turnover FROM br),
+kp AS (SELECT * FROM mp WHERE y IS NOT NULL), cf {_CLASS.format(k="model, fold_id", t="kp")}, tf {_TRADE.format(k="model, fold_id", t="mr")},
+pf AS (
+  SELECT model, fold_id, cf.n AS n_obs, tf.n AS n_days, CASE WHEN n1 BETWEEN 1 AND cf.n - 1 THEN ll END AS log_loss, brier, hit AS hit_rate, CASE WHEN n1 BETWEEN 1 AND cf.n - 1 THEN (sr - n1 * (n1 + 1) / 2) / (n1 * (cf.n - n1)) END AS auc,
+    CASE WHEN s >= 1e-12 THEN m / s * sqrt(252) ELSE 0 END AS sharpe, v - 1 AS total_return, dd AS max_drawdown
+  FROM cf FULL JOIN tf USING (model, fold_id)
+),
+jn AS (SELECT * FROM mr QUALIFY row_number() OVER (PARTITION BY model, trade_date ORDER BY fold_id) = 1)"""
+_SCORES = "round(log_loss, 6) AS log_loss, round(brier, 6) AS brier, round(hit_rate, 6) AS hit_rate, round(auc, 6) AS auc, round(sharpe, 4) AS sharpe, round(total_return, 4) AS total_return, round(max_drawdown, 4) AS max_drawdown"
+
+
+def _cdf(x: str) -> str:
+    """Share of the normal distribution below x."""
+    series = f"list_sum(list_transform(range(0, 160), lambda k: exp(k * ln(greatest({x} * {x}, 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 ELSE 0.5 + {x} * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * {series} END"
+
+
+_QUANTILE = f"z - greatest(-1.0, least(1.0, ({_cdf('z')} - p) / (exp(-z * z / 2) / sqrt(2 * pi()))))"
+
 _DRIFT = """
 dx AS (SELECT trade_date, round(r, 6) AS px_ret, volume, close FROM ret),
 dk AS (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date AS d FROM dx)),
@@ -133,6 +263,20 @@ dl AS (
 ),
 dn AS (SELECT feature, count(*) FILTER (part = 'ref') AS n_ref, count(*) FILTER (part = 'cur') AS n_cur FROM dl GROUP BY ALL)"""
 
+_PERF = f"""{_PANEL}, {_PRED}, mo AS (SELECT *, CAST(date_trunc('month', trade_date) AS DATE) AS month FROM pr WHERE prob IS NOT NULL AND y IS NOT NULL AND sector IS NOT NULL), cl {_CLASS.format(k="sector, month", t="mo")},
+pm AS (
+  SELECT sector, month, unnest([{{'metric': 'log_loss', 'x': round(CASE WHEN n1 BETWEEN 1 AND n - 1 THEN ll END, 6)}}, {{'metric': 'brier', 'x': round(brier, 6)}},
+    {{'metric': 'auc', 'x': round(CASE WHEN n1 BETWEEN 1 AND n - 1 THEN (sr - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END, 6)}}]) AS c FROM cl
+),
+pk AS (SELECT sector, c.metric AS metric, c.x AS x, CASE WHEN c.x IS NOT NULL THEN row_number() OVER (PARTITION BY sector, c.metric, c.x IS NULL ORDER BY month DESC) END AS k FROM pm),
+pa AS (SELECT sector, metric, avg(x) FILTER (k <= 4) AS mean FROM pk GROUP BY ALL),
+ps AS (
+  SELECT sector, metric, round(mean, 5) AS mean, CASE metric
+    WHEN 'log_loss' THEN CASE WHEN mean >= 0.75 THEN 'FAIL' WHEN mean >= 0.72 THEN 'WARN' ELSE 'PASS' END
+    WHEN 'brier' THEN CASE WHEN mean >= 0.28 THEN 'FAIL' WHEN mean >= 0.26 THEN 'WARN' ELSE 'PASS' END
+    ELSE CASE WHEN mean <= 0.48 THEN 'FAIL' WHEN mean <= 0.50 THEN 'WARN' ELSE 'PASS' END END AS status FROM pa
+)"""
+
 
 def _bad(table: str, rules: dict[str, str], keys: str) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS rule FROM {table} WHERE NOT coalesce({r}, TRUE)" for n, r in rules.items())
@@ -200,7 +344,9 @@ FROM lab l JOIN hist h ON l.ticker = h.ticker AND trade_date >= h.valid_from AND
     "macro_vintages_latest": """SELECT series_id, vintage_date, max(observation_date) AS max_observation_date, max_by(value, observation_date) AS value FROM stg_macro_series GROUP BY ALL""",
     "macro_asof_daily": f"WITH {_MACRO} SELECT * FROM md",
     "macro_pivot_wide": f"WITH {_MACRO}, {_WIDE} SELECT * FROM wide",
-    "mc_yoy": f"WITH {_MACRO}, {_WIDE}, {_YOY} SELECT trade_date, round(macro_corecpi_yoy, 6) AS macro_corecpi_yoy, round(macro_ratepath_yoy, 6) AS macro_ratepath_yoy FROM yoy",
+    "mc_yoy": f"WITH {_MACRO}, {_WIDE}, {_YOY} SELECT trade_date, {_MC} FROM yoy",
+    "mc_yoy_by_series": f"""WITH {_MACRO}, al AS (SELECT dd.series_id, dd.trade_date, value FROM dd LEFT JOIN md USING (series_id, trade_date))
+SELECT series_id, trade_date, value, round((value / nullif(lag(value, 252) OVER (PARTITION BY series_id ORDER BY trade_date), 0) - 1) * 100, 6) AS value_yoy FROM al""",
     "vintage_reconstruct": """WITH s AS (SELECT DISTINCT * FROM stg_macro_series),
 i AS (SELECT series_id, observation_date, vintage_date AS b, coalesce(lead(vintage_date) OVER (PARTITION BY series_id, observation_date ORDER BY vintage_date) - 1, DATE '9999-12-31') AS e, value FROM s),
 v AS (SELECT DISTINCT series_id, vintage_date FROM s)
@@ -215,21 +361,17 @@ WHERE namespace = 'xg-core' AND tag IN ('SalesNet', 'ProfitAfterTax', 'OwnersFun
     "fd_ratios": f"WITH {_PANEL}, {_FACTS} SELECT ticker, trade_date, fd_margin, fd_roe, fd_outlay, fd_sales_per_head FROM fr",
     "fd_growth": f"WITH {_PANEL}, {_FACTS} SELECT ticker, trade_date, round(fd_growth, 6) AS fd_growth FROM fr",
     "px_features": f"WITH {_PANEL}, {_PX} SELECT ticker, trade_date, {_PXCOLS}, round(rsi, 4) AS px_rsi_14 FROM pf",
-    "cs_ranks": f"""WITH {_PANEL}, x AS (SELECT ticker, trade_date, sector, round(ln(adj_close / lag(adj_close, 20) OVER (PARTITION BY ticker ORDER BY trade_date)), 6) AS v FROM panel)
-SELECT ticker, trade_date,
-  CASE WHEN v IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, v) - 1) / 2) / count(v) OVER (PARTITION BY trade_date) END AS cs_market_rank_20d,
-  CASE WHEN v IS NOT NULL AND sector IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date, sector ORDER BY v NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, sector, v) - 1) / 2) / count(v) OVER (PARTITION BY trade_date, sector) END AS cs_sector_rank_20d
-FROM x""",
+    "cs_ranks": f"WITH {_PANEL}, {_CS} SELECT ticker, trade_date, cs_market_rank_20d, cs_sector_rank_20d FROM cs",
     "mkt_features": f"WITH {_PANEL}, {_MKT} SELECT ticker, trade_date, round(beta, 6) AS mkt_beta_60d, round(corr, 6) AS mkt_corr_60d FROM mf",
-    "features_assembled": f"""WITH {_PANEL}, {_PX}, {_MKT}, {_MACRO}, {_WIDE}, {_YOY}, {_FACTS}
-SELECT pf.ticker, pf.trade_date, pf.sector, nr > 0 AS next_return_positive, {_PXCOLS}, round(beta, 6) AS mkt_beta_60d, round(corr, 6) AS mkt_corr_60d, round(macro_corecpi_yoy, 6) AS macro_corecpi_yoy,
-  round(macro_ratepath_yoy, 6) AS macro_ratepath_yoy, round(fd_margin, 6) AS fd_margin, round(fd_roe, 6) AS fd_roe, round(fd_outlay, 6) AS fd_outlay, round(fd_growth, 6) AS fd_growth, round(rsi, 4) AS px_rsi_14
-FROM pf JOIN (SELECT ticker, trade_date, nr FROM lab) l USING (ticker, trade_date) LEFT JOIN mf USING (ticker, trade_date) LEFT JOIN yoy USING (trade_date) LEFT JOIN fr USING (ticker, trade_date)""",
+    "features_assembled": f"WITH {_ALL} SELECT * FROM feat",
+    "features_loaded": f"WITH {_ALL} SELECT ticker, trade_date, px_ret_1d, px_ret_5d, px_ret_20d, px_vol_5d, px_vol_20d, px_vol_60d, px_vol_ratio, px_mom_60d, cs_market_rank_20d, cs_sector_rank_20d FROM feat WHERE next_return_positive IS NOT NULL",
     "entry_top_n": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, prob FROM tp WHERE selected",
     "entry_threshold": f"WITH {_PANEL}, {_PRED} SELECT ticker, trade_date, prob FROM pr WHERE prob > 0.55",
-    "baseline_momentum": f"""WITH {_PANEL}, {_PRED},
-rk AS (SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY prob) + (count(*) OVER (PARTITION BY trade_date, prob) - 1) / 2) / count(*) OVER (PARTITION BY trade_date) AS rk FROM pr WHERE prob IS NOT NULL)
-SELECT ticker, trade_date, round(least(0.05, 1 / count(*) OVER (PARTITION BY trade_date)), 6) AS weight FROM rk WHERE rk > 0.8""",
+    "baseline_naive": f"WITH {_PANEL} SELECT ticker, trade_date, CAST(0.5 AS DOUBLE) AS prob, CAST(0 AS DOUBLE) AS weight FROM panel",
+    "baseline_momentum": f"WITH {_PANEL}, {_CS} SELECT ticker, trade_date, CAST(CASE WHEN v > 0 THEN 1.0 ELSE 0.45 END AS DOUBLE) AS prob FROM cs",
+    "baseline_hold": f"WITH {_PANEL} SELECT ticker, trade_date, CAST(0.5 AS DOUBLE) AS prob, CAST(1 AS DOUBLE) AS weight FROM panel WHERE is_benchmark",
+    "baseline_top_rank": f"""WITH {_PANEL}, {_CS}, tk AS (SELECT ticker, trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY cs_market_rank_20d DESC, ticker) AS k FROM cs WHERE cs_market_rank_20d IS NOT NULL AND NOT coalesce(is_benchmark, FALSE))
+SELECT ticker, trade_date, CAST(CASE WHEN k <= 10 THEN 1.0 ELSE 0.45 END AS DOUBLE) AS prob FROM cs LEFT JOIN tk USING (ticker, trade_date)""",
     "entry_above_median": f"WITH {_PANEL}, {_PRED} SELECT ticker, trade_date, prob FROM pr QUALIFY prob > quantile_cont(prob, 0.5) OVER (PARTITION BY trade_date)",
     "stake_equal_weight": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, CAST(weight AS DOUBLE) AS weight FROM wt",
     "stake_odds": f"WITH {_PANEL}, {_PRED}, {_TOP} SELECT ticker, trade_date, round(least(0.05, greatest(0.0, 0.25 * (2 * prob - 1))), 8) AS weight FROM tp WHERE selected",
@@ -238,6 +380,50 @@ vl AS (SELECT ticker, trade_date, CASE WHEN count(r) OVER w = 20 THEN stddev_sam
 SELECT ticker, trade_date, round(CASE WHEN vol > 0 THEN 0.05 * least(1.0, 0.10 / vol) ELSE 0.05 END, 6) AS weight FROM tp JOIN vl USING (ticker, trade_date) WHERE selected""",
     "turnover": f"""WITH {_PANEL}, {_PRED}, {_TOP}
 SELECT trade_date, round(sum(d), 6) AS turnover FROM (SELECT trade_date, CAST(abs(weight - coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY trade_date), 0)) AS DOUBLE) AS d FROM wt) GROUP BY trade_date""",
+    "limits_walk": f"WITH RECURSIVE {_PANEL}, {_PRED}, {_TOP}, {_WALKED}, {_limits('wk')} SELECT g AS model, trade_date, ticker, target, CAST(weight AS DOUBLE) AS weight, stop_out, state FROM lw",
+    "rebalance_walk": f"WITH RECURSIVE {_PANEL}, {_PRED}, {_TOP}, {_WALKED}, {_bands('wk')} SELECT g AS model, trade_date, ticker, round(weight, 9) AS weight, round(traded, 9) AS traded FROM bw",
+    "portfolio_returns": f"WITH RECURSIVE {_PANEL}, {_PRED}, {_TOP}, {_WALKED}, {_bands('wk')} SELECT g AS model, trade_date, {_RETURNS} FROM br",
+    "portfolio_by_fold": f"WITH RECURSIVE {_TWO} SELECT split_part(g, '|', 1) AS model, CAST(split_part(g, '|', 2) AS INT) AS fold_id, trade_date, {_RETURNS} FROM br",
+    "run_per_fold": f"WITH RECURSIVE {_TWO} SELECT model, fold_id, n_obs, n_days, {_SCORES} FROM pf",
+    "run_aggregate": f"""WITH RECURSIVE {_TWO},
+l AS (SELECT model, unnest([{{'metric': 'log_loss', 'x': log_loss}}, {{'metric': 'brier', 'x': brier}}, {{'metric': 'hit_rate', 'x': hit_rate}}, {{'metric': 'auc', 'x': auc}}, {{'metric': 'sharpe', 'x': sharpe}}]) AS c FROM pf),
+x AS (SELECT model, c.metric AS metric, c.x AS x FROM l WHERE c.x IS NOT NULL)
+SELECT model, metric, count(*) AS n, round(avg(x), 4) AS mean, round(coalesce(stddev_samp(x), 0), 4) AS sd, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.25), 4) AS q1,
+  round(quantile_cont(x, 0.75), 4) AS q3, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) AS iqr FROM x GROUP BY ALL""",
+    "run_pooled": f"""WITH RECURSIVE {_TWO}, cp {_CLASS.format(k="model", t="kp")}, tp {_TRADE.format(k="model", t="jn")}
+SELECT model, cp.n AS n_obs, tp.n AS n_days, {_SCORES} FROM (SELECT model, n, CASE WHEN n1 BETWEEN 1 AND n - 1 THEN ll END AS log_loss, brier, hit AS hit_rate, CASE WHEN n1 BETWEEN 1 AND n - 1 THEN (sr - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END AS auc FROM cp) cp
+FULL JOIN (SELECT model, n, CASE WHEN s >= 1e-12 THEN m / s * sqrt(252) ELSE 0 END AS sharpe, v - 1 AS total_return, dd AS max_drawdown FROM tp) tp USING (model)""",
+    "run_yearly": f"""WITH RECURSIVE {_TWO}, jy AS (SELECT *, CAST(year(trade_date) AS INT) AS year FROM jn), ty {_TRADE.format(k="model, year", t="jy")}
+SELECT model, year, n, round(CASE WHEN s >= 1e-12 THEN m / s * sqrt(252) ELSE 0 END, 4) AS sharpe FROM ty""",
+    "run_differences": f"""WITH {_PANEL}, {_PRED}, od AS (SELECT *, CAST(day(trade_date) % 2 AS INT) AS odd FROM pr WHERE prob IS NOT NULL AND y IS NOT NULL AND sector IS NOT NULL), cl {_CLASS.format(k="sector, odd", t="od")},
+l AS (SELECT odd, 'cls.' || sector || '.brier' AS metric, round(brier, 6) AS value FROM cl UNION ALL SELECT odd, 'cls.' || sector || '.auc', round(CASE WHEN n1 BETWEEN 1 AND n - 1 THEN (sr - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END, 6) FROM cl)
+SELECT metric, a.value AS a, b.value AS b, CASE WHEN b.metric IS NULL THEN 'removed' WHEN a.metric IS NULL THEN 'added' ELSE 'changed' END AS change
+FROM (SELECT * FROM l WHERE odd = 0) a FULL JOIN (SELECT * FROM l WHERE odd = 1) b USING (metric) WHERE a.metric IS NULL OR b.metric IS NULL OR (a.value IS DISTINCT FROM b.value AND coalesce(abs(a.value - b.value) > 1e-9, TRUE))""",
+    "best_sectors": f"""WITH {_PANEL}, {_PRED}, kn AS (SELECT * FROM pr WHERE prob IS NOT NULL AND y IS NOT NULL AND sector IS NOT NULL), cl {_CLASS.format(k="sector", t="kn")}
+SELECT sector, round(CASE WHEN n1 BETWEEN 1 AND n - 1 THEN (sr - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END, 6) AS auc FROM cl ORDER BY auc DESC NULLS LAST, sector LIMIT 5""",
+    "calibration": f"""WITH RECURSIVE {_PANEL}, {_PRED},
+d AS (SELECT ln(p / (1 - p)) AS x, y, count(*) AS n FROM (SELECT greatest(1e-6, least(1 - 1e-6, prob)) AS p, y FROM pr WHERE prob IS NOT NULL AND y IS NOT NULL) GROUP BY ALL),
+nt(k, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1)
+  FROM (
+    SELECT k, a, b, sum(n * (y - m)) AS g0, sum(n * (y - m) * x) AS g1, sum(n * m * (1 - m)) AS h0, sum(n * m * (1 - m) * x) AS h1, sum(n * m * (1 - m) * x * x) AS h2
+    FROM (SELECT nt.*, d.*, 1 / (1 + exp(-(a + b * x))) AS m FROM nt CROSS JOIN d) GROUP BY k, a, b
+  ) WHERE k < 20
+)
+SELECT round(b, 6) AS slope, round(a, 6) AS intercept FROM nt WHERE k = 20""",
+    "deflated_sharpe": f"""WITH RECURSIVE {_PANEL}, {_PRED}, dm AS (SELECT sector, trade_date, avg(next_return) AS next_return FROM pr WHERE next_return IS NOT NULL AND sector IS NOT NULL GROUP BY ALL), tr {_TRADE.format(k="sector", t="dm")},
+z AS (SELECT sector, (next_return - avg(next_return) OVER w) / nullif(stddev_samp(next_return) OVER w, 0) AS z FROM dm WINDOW w AS (PARTITION BY sector)),
+zz AS (SELECT sector, avg(pow(z, 3)) AS skew, avg(pow(z, 4)) AS kurt FROM z GROUP BY sector),
+tn AS (SELECT greatest(2, count(*)) AS n FROM tr),
+qt(k, j, p, z) AS (
+  SELECT 0, j, p, 0.0::DOUBLE FROM (SELECT 1 AS j, 1 - 1 / n AS p FROM tn UNION ALL SELECT 2, 1 - 1 / (n * exp(1)) FROM tn)
+  UNION ALL SELECT k + 1, j, p, {_QUANTILE} FROM qt WHERE k < 40
+),
+ch AS (SELECT sum(CASE j WHEN 1 THEN (1 - 0.5772156649015329) * z ELSE 0.5772156649015329 * z END) AS c FROM qt WHERE k = 40),
+sc AS (SELECT sector, (r * sqrt(n - 1) - c) / sqrt(1 - skew * r + (kurt - 1) / 4 * r * r) AS x FROM (SELECT sector, n, m / s AS r, skew, kurt, c FROM tr JOIN zz USING (sector) CROSS JOIN ch))
+SELECT sector, round({_cdf('x')}, 6) AS deflated FROM sc""",
     "folds": f"WITH RECURSIVE {_FOLDS} SELECT * FROM fold",
     "fold_assignment": f"""WITH RECURSIVE {_FOLDS}, {_PANEL}, sp AS (SELECT fold_id, 'train' AS part, train_start AS a, train_end AS b FROM fold UNION ALL SELECT fold_id, 'test', test_start, test_end FROM fold)
 SELECT fold_id, part, count(*) AS n, count(DISTINCT trade_date) AS n_dates FROM panel JOIN sp ON trade_date BETWEEN a AND b GROUP BY ALL""",
@@ -275,6 +461,8 @@ l AS (
   UNION ALL SELECT sector, month, 'auc', round(CASE WHEN n1 BETWEEN 1 AND n - 1 THEN (sr - n1 * (n1 + 1) / 2) / (n1 * (n - n1)) END, 6) FROM cl
 )
 SELECT sector, metric, round(avg(x), 5) AS mean FROM (SELECT * FROM l WHERE x IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sector, metric ORDER BY month DESC) <= 4) GROUP BY ALL""",
+    "perf_status": f"WITH {_PERF} SELECT sector, metric, mean, status FROM ps",
+    "perf_overall": f"WITH {_PERF} SELECT sector, CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM ps GROUP BY sector",
     "dq_ohlc": _bad("stg_prices", _OHLC, "row_id"),
     "dq_return_ranges": "SELECT DISTINCT * FROM (" + _bad("fct_returns_daily", {"between:log_return": "log_return BETWEEN -0.1 AND 0.1", "between:next_log_return": "next_log_return BETWEEN -0.1 AND 0.1"}, "ticker, trade_date, loaded_at") + ")",
     "dq_label_null": "SELECT DISTINCT * FROM ("
