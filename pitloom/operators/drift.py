@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,11 +90,28 @@ def drift_report(df: DataFrame, date: str, features: list[str], n_ref: int = 60,
     return drift_of(long_features(windows(df, date, n_ref, n_cur), features))
 
 
-def drift_of(long: DataFrame) -> DataFrame:
-    """(feature, n_ref, n_cur, psi, ks_stat, ks_pvalue, status) of each feature of (part, feature, x)."""
+def drift_of(long: DataFrame, exact_cells: int = 0) -> DataFrame:
+    """(feature, n_ref, n_cur, psi, ks_stat, ks_pvalue, status) of each feature of (part, feature, x).
+
+    The p-value is exact where both samples' sizes multiply to ``exact_cells`` at most, else of Kolmogorov's series.
+    """
     both = psi(long).join(ks(long).select("feature", "ks_stat"), "feature", "left")
-    p = ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))
-    return both.withColumn("ks_pvalue", p).withColumn("status", severity(F.col("psi"), F.col("ks_pvalue")))
+    if exact_cells:
+        both = both.withColumn("_exact", _exact_p("ks_stat", "n_ref", "n_cur", F.col("n_ref") * F.col("n_cur") <= exact_cells))
+    else:
+        both = both.withColumn("_exact", F.lit(None).cast("double"))
+    p = F.coalesce("_exact", ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur")))
+    return both.withColumn("ks_pvalue", p).withColumn("status", severity(F.col("psi"), F.col("ks_pvalue"))).drop("_exact")
+
+
+def _exact_p(stat: str, n: str, m: str, where: Column) -> Column:
+    """exact_ks_p of a feature's row, null where not asked for."""
+
+    @F.pandas_udf("double")
+    def run(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else exact_ks_p(x, int(i), int(j)) for x, i, j in zip(d, a, b)], dtype="float64")
+
+    return run(F.when(where, F.col(stat)), F.col(n), F.col(m))
 
 
 def freshness(tables: dict[str, tuple[DataFrame, str, int, int]], reference: Column) -> DataFrame:

@@ -477,7 +477,19 @@ def _drift_whole(spark: SparkSession, base: str) -> DataFrame:
 
 
 def drift_status(spark: SparkSession, base: str) -> DataFrame:
-    return D.drift_of(cut(_drift_whole(spark, base)))
+    return D.drift_of(cut(_drift_whole(spark, base))).select("feature", "n_ref", "n_cur", *_r("psi", "ks_stat", "ks_pvalue"), "status")
+
+
+def drift_exact(spark: SparkSession, base: str) -> DataFrame:
+    """As drift_status, of the macro series, whose samples are small enough for exact p-values."""
+    dates = D.windows(read(spark, base, "fct_prices_daily").select("trade_date").distinct(), "trade_date", DRIFT_DATES, DRIFT_DATES)
+    long = _macro_by_series(spark, base).join(dates, "trade_date").where("value IS NOT NULL").select("part", F.col("series_id").alias("feature"), F.col("value").alias("x"))
+    return D.drift_of(cut(long), exact_cells=10_000).select("feature", "n_ref", "n_cur", *_r("psi", "ks_stat", "ks_pvalue"), "status")
+
+
+def drift_worst(spark: SparkSession, base: str) -> DataFrame:
+    """The ten worst features: by status, then the greatest psi."""
+    return D.worst_first(drift_status(spark, base), 10, ["feature"])
 
 
 def perf_tail_mean(spark: SparkSession, base: str) -> DataFrame:
@@ -548,21 +560,49 @@ def _like(column: str, pattern: str) -> dict[str, Column]:
 def contracts() -> list[Q.Contract]:
     """What every layer's table must hold."""
     not_later = lambda a, b: {f"not_later:{a}": F.col(a) <= F.col(b)}
-    prices = {"ticker": "string", "trade_date": "date", "close": "double", "adj_close": "double", "volume": "bigint"}
+    of = lambda text: dict(c.split(":") for c in text.split())
+    prices = of("ticker:string trade_date:date open:double high:double low:double close:double adj_close:double volume:bigint loaded_at:timestamp_ntz")
+    series, facts = of("series_id:string observation_date:date vintage_date:date value:double"), of("ticker:string namespace:string tag:string value:double")
+    filed = of("cik:bigint unit:string period_start:date period_end:date filed:date form:string fiscal_year:int fiscal_period:string frame:string")
+    following = of("next_trade_date:date next_close:double next_adj_close:double next_log_return:double next_return_positive:boolean sector:string is_benchmark:boolean")
+    labelled = {c: t for c, t in prices.items() if c not in ("open", "high", "low")} | of("log_return:double") | following
+    columns = {
+        "stg_prices": prices | of("row_id:bigint source:string load_id:bigint"), "fct_prices_daily": prices | of("sector:string is_benchmark:boolean"), "fct_returns_daily": labelled,
+        "stg_macro_series": series, "int_macro_daily": series | of("row_id:bigint trade_date:date"), "stg_sec_facts": facts | filed,
+        "int_fundamentals_pit": facts | of("row_id:bigint trade_date:date filed_used:date period_end_used:date"),
+        "ticker_metadata": of("snapshot_date:date delivered_at:timestamp_ntz ticker:string sector:string is_benchmark:boolean valid_from:date valid_to:date"),
+        "manifest": of("manifest_no:bigint source:string ticker:string latest_hash:string path:string written_at:timestamp_ntz row_count:bigint first_date:date last_date:date"),
+        "drift_features": of("report_id:bigint source:string generated_at:timestamp_ntz feature:string status:string psi:string ks_pvalue:double n_ref:int n_cur:int reason:string"),
+    }
+    held = lambda name, rules, unique=(): Q.Contract(name, columns[name], rules, unique, strict=True)
     return [
-        Q.Contract("stg_prices", prices, Q.not_null("open", "low", "adj_close", "volume", "close") | Q.ohlc_rules() | _like("ticker", TICKER), ("source", "ticker", "trade_date")),
-        Q.Contract("fct_prices_daily", prices | {"sector": "string", "is_benchmark": "boolean"}, Q.not_null("ticker", "trade_date", "close", "volume") | Q.ohlc_rules(), ("ticker", "trade_date")),
-        Q.Contract("fct_returns_daily", prices | {"log_return": "double"}, Q.not_null("ticker", "trade_date", "sector") | Q.between("log_return", -1, 1) | Q.between("next_log_return", -1, 1) | not_later("trade_date", "next_trade_date"), ("ticker", "trade_date")),
-        Q.Contract("stg_macro_series", {"series_id": "string", "value": "double"}, Q.not_null("series_id", "value"), ("series_id", "observation_date", "vintage_date")),
-        Q.Contract("int_macro_daily", {"trade_date": "date", "value": "double"}, Q.not_null("series_id", "trade_date", "vintage_date") | not_later("vintage_date", "trade_date") | not_later("observation_date", "trade_date"), ("trade_date", "series_id")),
-        Q.Contract("stg_sec_facts", {"cik": "bigint", "value": "double", "fiscal_year": "int"}, Q.not_null("ticker", "tag", "period_end", "filed", "form", "value") | Q.between("fiscal_year", 1990, 2100) | {"length:form": F.length("form") <= 16} | not_later("period_start", "period_end") | not_later("period_end", "filed")),
-        Q.Contract("int_fundamentals_pit", {"value": "double", "filed_used": "date"}, Q.not_null("ticker", "trade_date", "tag") | not_later("filed_used", "trade_date") | not_later("period_end_used", "filed_used"), ("trade_date", "ticker", "namespace", "tag")),
-        Q.Contract("ticker_metadata", {"sector": "string", "is_benchmark": "boolean"}, Q.not_null("ticker", "sector", "valid_from") | not_later("valid_from", "valid_to") | _like("ticker", TICKER), ("ticker", "snapshot_date")),
-        Q.Contract("manifest", {"manifest_no": "bigint"}, Q.not_null("source", "ticker", "latest_hash", "path") | not_later("first_date", "last_date") | {"positive:row_count": F.col("row_count") > 0}, ("source", "manifest_no", "ticker")),
-        Q.Contract("drift_features", {"psi": "string"}, Q.not_null("status", "psi") | Q.accepted("status", ["PASS", "WARN", "FAIL"])),
+        held("stg_prices", Q.not_null("open", "low", "adj_close", "volume", "close") | Q.ohlc_rules() | _like("ticker", TICKER), ("source", "ticker", "trade_date")),
+        held("fct_prices_daily", Q.not_null("ticker", "trade_date", "close", "volume") | Q.ohlc_rules(), ("ticker", "trade_date")),
+        held("fct_returns_daily", Q.not_null("ticker", "trade_date", "sector") | Q.between("log_return", -1, 1) | Q.between("next_log_return", -1, 1) | not_later("trade_date", "next_trade_date"), ("ticker", "trade_date")),
+        held("stg_macro_series", Q.not_null("series_id", "value"), ("series_id", "observation_date", "vintage_date")),
+        held("int_macro_daily", Q.not_null("series_id", "trade_date", "vintage_date") | not_later("vintage_date", "trade_date") | not_later("observation_date", "trade_date"), ("trade_date", "series_id")),
+        held("stg_sec_facts", Q.not_null("ticker", "tag", "period_end", "filed", "form", "value") | Q.between("fiscal_year", 1990, 2100) | {"length:form": F.length("form") <= 16} | not_later("period_start", "period_end") | not_later("period_end", "filed")),
+        held("int_fundamentals_pit", Q.not_null("ticker", "trade_date", "tag") | not_later("filed_used", "trade_date") | not_later("period_end_used", "filed_used"), ("trade_date", "ticker", "namespace", "tag")),
+        held("ticker_metadata", Q.not_null("ticker", "sector", "valid_from") | not_later("valid_from", "valid_to") | _like("ticker", TICKER), ("ticker", "snapshot_date")),
+        held("manifest", Q.not_null("source", "ticker", "latest_hash", "path") | not_later("first_date", "last_date") | {"positive:row_count": F.col("row_count") > 0}, ("source", "manifest_no", "ticker")),
+        held("drift_features", Q.not_null("status", "psi") | Q.accepted("status", ["PASS", "WARN", "FAIL"])),
     ]
 
 
+def dq_raw_by_ticker(spark: SparkSession, base: str) -> DataFrame:
+    """The raw contract for every ticker that a source delivers."""
+    raw = next(c for c in contracts() if c.name == "stg_prices")
+    return Q.check_groups(read(spark, base, "stg_prices"), raw, ["source", "ticker"])
+
+
+def dq_first_violation(spark: SparkSession, base: str) -> DataFrame:
+    return Q.first_violation(read(spark, base, "stg_prices"), ["source", "ticker"], "trade_date", Q.bar_rules())
+
+
+def dq_bar_events(spark: SparkSession, base: str) -> DataFrame:
+    return Q.bar_events(read(spark, base, "stg_prices"))
+
+
 def dq_contract_counts(spark: SparkSession, base: str) -> DataFrame:
     out = None
     for c in contracts():
@@ -647,8 +687,8 @@ QUERIES = {
         bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, mc_yoy_by_series, vintage_reconstruct, macro_latest_mode,
         facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled, features_loaded,
         entry_top_n, entry_threshold, entry_above_median, baseline_naive, baseline_momentum, baseline_hold, baseline_top_rank, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, portfolio_by_fold, run_per_fold, run_aggregate, run_pooled, run_yearly, run_interval, run_differences, best_sectors, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
-        classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, perf_tail_mean, perf_status, perf_overall,
-        dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_gate, dq_orphans,
+        classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, drift_exact, drift_worst, perf_tail_mean, perf_status, perf_overall,
+        dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_raw_by_ticker, dq_first_violation, dq_bar_events, dq_gate, dq_orphans,
         ingest_normalise, missing_sentinel_parse, json_facts_flatten, json_facts_messy, snapshot_hash, snapshot_store_returns, snapshot_retention, sample_exact_n,
     )
 }

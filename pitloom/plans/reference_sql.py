@@ -277,6 +277,37 @@ ps AS (
     ELSE CASE WHEN mean <= 0.48 THEN 'FAIL' WHEN mean <= 0.50 THEN 'WARN' ELSE 'PASS' END END AS status FROM pa
 )"""
 
+_PXS = ["px_ret_1d", "px_ret_5d", "px_ret_20d", "px_vol_5d", "px_vol_20d", "px_vol_60d", "px_vol_ratio", "px_mom_60d", "px_rsi_14", "mkt_beta_60d", "mkt_corr_60d", "cs_market_rank_20d", "cs_sector_rank_20d", "fd_margin", "fd_roe", "fd_outlay", "fd_sales_per_head", "fd_growth"]
+_STATUS = f"""{_ALL},
+wd AS (SELECT d, CASE WHEN k <= 60 THEN 'ref' WHEN k > n - 60 THEN 'cur' END AS part FROM (SELECT d, row_number() OVER (ORDER BY d) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date AS d FROM panel)) WHERE n >= 120),
+fx AS (
+  SELECT feat.* REPLACE (round(pf.rsi, 6) AS px_rsi_14, round(cs_market_rank_20d, 6) AS cs_market_rank_20d, round(cs_sector_rank_20d, 6) AS cs_sector_rank_20d), pf.close, CAST(pf.volume AS DOUBLE) AS volume, part
+  FROM feat JOIN pf USING (ticker, trade_date) JOIN wd ON feat.trade_date = wd.d WHERE part IS NOT NULL
+),
+ms AS (SELECT dd.series_id, dd.trade_date, value FROM dd LEFT JOIN md USING (series_id, trade_date)),
+my AS (SELECT *, (value / nullif(lag(value, 252) OVER (PARTITION BY series_id ORDER BY trade_date), 0) - 1) * 100 AS yoy FROM ms),
+dl AS (
+  SELECT part, c.f AS feature, c.x AS x FROM (
+    SELECT part, unnest([{", ".join(f"{{'f': '{c}', 'x': {c}}}" for c in ["close", "volume", *_PXS])}]) AS c FROM fx
+    UNION ALL SELECT part, unnest([{{'f': 'macro:' || series_id, 'x': value}}, {{'f': 'macro_yoy:' || series_id, 'x': round(yoy, 6)}}]) FROM my JOIN wd ON trade_date = wd.d WHERE part IS NOT NULL
+  ) WHERE c.x IS NOT NULL AND isfinite(c.x)
+),
+dn AS (SELECT feature, count(*) FILTER (part = 'ref') AS n_ref, count(*) FILTER (part = 'cur') AS n_cur FROM dl GROUP BY ALL),
+ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM dl WHERE part = 'ref' GROUP BY feature),
+bn AS (SELECT feature, part, len(list_filter(e[2:len(e) - 1], lambda b: b <= x)) AS bin FROM dl JOIN ed USING (feature) WHERE len(e) >= 3),
+sh AS (SELECT feature, bin, greatest(1e-6, count(*) FILTER (part = 'ref') / any_value(n_ref)) AS r, greatest(1e-6, count(*) FILTER (part = 'cur') / any_value(n_cur)) AS c FROM bn JOIN dn USING (feature) WHERE n_ref >= 2 AND n_cur >= 2 GROUP BY ALL),
+ps AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM sh GROUP BY feature),
+cu AS (SELECT feature, x, sum(CAST(part = 'ref' AS INT)) OVER w / n_ref AS a, sum(CAST(part = 'cur' AS INT)) OVER w / n_cur AS b FROM dl JOIN dn USING (feature) WINDOW w AS (PARTITION BY feature ORDER BY x RANGE UNBOUNDED PRECEDING)),
+kd AS (SELECT feature, n_ref, n_cur, psi, CASE WHEN n_ref >= 2 AND n_cur >= 2 THEN d END AS d, sqrt(n_ref * n_cur / (n_ref + n_cur)) AS en FROM dn LEFT JOIN (SELECT feature, max(abs(a - b)) AS d FROM cu GROUP BY feature) USING (feature) LEFT JOIN ps USING (feature)),
+kp AS (SELECT *, (en + 0.12 + 0.11 / en) * d AS lam FROM kd),
+kv AS (
+  SELECT *, CASE WHEN d IS NULL THEN NULL WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda j: CASE WHEN j % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * j * j * lam * lam))))) END AS p FROM kp
+),
+st AS (
+  SELECT feature, n_ref, n_cur, round(psi, 6) AS psi, round(d, 6) AS ks_stat, round(p, 6) AS ks_pvalue,
+    CASE greatest(CASE WHEN psi >= 0.25 THEN 2 WHEN psi >= 0.10 THEN 1 ELSE 0 END, CASE WHEN p <= 0.01 THEN 2 WHEN p <= 0.05 THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM kv
+)"""
+
 
 def _bad(table: str, rules: dict[str, str], keys: str) -> str:
     return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS rule FROM {table} WHERE NOT coalesce({r}, TRUE)" for n, r in rules.items())
@@ -307,30 +338,43 @@ def _later(a: str, b: str) -> dict[str, str]:
     return {f"not_later:{a}": f"{a} <= {b}"}
 
 
-_BAR = ["ticker", "trade_date", "close", "adj_close", "volume"]
+_COLUMNS = {
+    "stg_prices": "row_id source ticker trade_date open high low close adj_close volume load_id loaded_at",
+    "fct_prices_daily": "ticker trade_date open high low close adj_close volume sector is_benchmark loaded_at",
+    "fct_returns_daily": "ticker trade_date close adj_close volume log_return next_trade_date next_close next_adj_close next_log_return next_return_positive sector is_benchmark loaded_at",
+    "stg_macro_series": "series_id observation_date vintage_date value",
+    "int_macro_daily": "row_id trade_date series_id vintage_date observation_date value",
+    "stg_sec_facts": "ticker cik namespace tag unit period_start period_end filed form fiscal_year fiscal_period frame value",
+    "int_fundamentals_pit": "row_id trade_date ticker namespace tag value filed_used period_end_used",
+    "ticker_metadata": "snapshot_date delivered_at ticker sector is_benchmark valid_from valid_to",
+    "manifest": "manifest_no source ticker latest_hash path written_at row_count first_date last_date",
+    "drift_features": "report_id source generated_at feature status psi ks_pvalue n_ref n_cur reason",
+}
 _LIKE = {"matches:ticker": "regexp_full_match(ticker, '[A-Z][A-Z0-9]{0,9}')"}
+_RULES = {
+    "stg_prices": (_nn("open", "low", "adj_close", "volume", "close") | _OHLC | _LIKE, "source, ticker, trade_date"),
+    "fct_prices_daily": (_nn("ticker", "trade_date", "close", "volume") | _OHLC, "ticker, trade_date"),
+    "fct_returns_daily": (_nn("ticker", "trade_date", "sector") | {f"between:{c}": f"{c} BETWEEN -1 AND 1" for c in ("log_return", "next_log_return")} | _later("trade_date", "next_trade_date"), "ticker, trade_date"),
+    "stg_macro_series": (_nn("series_id", "value"), "series_id, observation_date, vintage_date"),
+    "int_macro_daily": (_nn("series_id", "trade_date", "vintage_date") | _later("vintage_date", "trade_date") | _later("observation_date", "trade_date"), "trade_date, series_id"),
+    "stg_sec_facts": (
+        _nn("ticker", "tag", "period_end", "filed", "form", "value") | {"between:fiscal_year": "fiscal_year BETWEEN 1990 AND 2100", "length:form": "length(form) <= 16"} | _later("period_start", "period_end") | _later("period_end", "filed"), None,
+    ),
+    "int_fundamentals_pit": (_nn("ticker", "trade_date", "tag") | _later("filed_used", "trade_date") | _later("period_end_used", "filed_used"), "trade_date, ticker, namespace, tag"),
+    "ticker_metadata": (_nn("ticker", "sector", "valid_from") | _later("valid_from", "valid_to") | _LIKE, "ticker, snapshot_date"),
+    "manifest": (_nn("source", "ticker", "latest_hash", "path") | _later("first_date", "last_date") | {"positive:row_count": "row_count > 0"}, "source, manifest_no, ticker"),
+    "drift_features": (_nn("status", "psi") | {"accepted:status": "status IN ('PASS', 'WARN', 'FAIL')"}, None),
+}
 _CONTRACTS = " UNION ALL ".join(
-    (
-        _contract("stg_prices", _nn("open", "low", "adj_close", "volume", "close") | _OHLC | _LIKE, _BAR, "source, ticker, trade_date"),
-        _contract("fct_prices_daily", _nn("ticker", "trade_date", "close", "volume") | _OHLC, [*_BAR, "sector", "is_benchmark"], "ticker, trade_date"),
-        _contract(
-            "fct_returns_daily",
-            _nn("ticker", "trade_date", "sector") | {f"between:{c}": f"{c} BETWEEN -1 AND 1" for c in ("log_return", "next_log_return")} | _later("trade_date", "next_trade_date"),
-            [*_BAR, "log_return"], "ticker, trade_date",
-        ),
-        _contract("stg_macro_series", _nn("series_id", "value"), ["series_id", "value"], "series_id, observation_date, vintage_date"),
-        _contract("int_macro_daily", _nn("series_id", "trade_date", "vintage_date") | _later("vintage_date", "trade_date") | _later("observation_date", "trade_date"), ["trade_date", "value"], "trade_date, series_id"),
-        _contract(
-            "stg_sec_facts",
-            _nn("ticker", "tag", "period_end", "filed", "form", "value") | {"between:fiscal_year": "fiscal_year BETWEEN 1990 AND 2100", "length:form": "length(form) <= 16"} | _later("period_start", "period_end") | _later("period_end", "filed"),
-            ["cik", "value", "fiscal_year"], None,
-        ),
-        _contract("int_fundamentals_pit", _nn("ticker", "trade_date", "tag") | _later("filed_used", "trade_date") | _later("period_end_used", "filed_used"), ["value", "filed_used"], "trade_date, ticker, namespace, tag"),
-        _contract("ticker_metadata", _nn("ticker", "sector", "valid_from") | _later("valid_from", "valid_to") | _LIKE, ["sector", "is_benchmark"], "ticker, snapshot_date"),
-        _contract("manifest", _nn("source", "ticker", "latest_hash", "path") | _later("first_date", "last_date") | {"positive:row_count": "row_count > 0"}, ["manifest_no"], "source, manifest_no, ticker"),
-        _contract("drift_features", _nn("status", "psi") | {"accepted:status": "status IN ('PASS', 'WARN', 'FAIL')"}, ["psi"], None),
-    )
-)
+    _contract(t, rules, _COLUMNS[t].split(), unique) + f" UNION ALL SELECT '{t}', 'other_columns', count(*) FILTER (column_name NOT IN ('" + "', '".join(_COLUMNS[t].split()) + f"')) FROM (DESCRIBE {t})" for t, (rules, unique) in _RULES.items()
+)
+_BARS = {"missing": " AND ".join(f"{c} IS NOT NULL" for c in ("open", "high", "low", "close", "adj_close", "volume"))} | {f"positive:{c}": f"{c} > 0" for c in ("open", "high", "low", "close", "adj_close")}
+_BARS |= {f"{a}>{b}": f"{a} <= {b}" for a, b in (("low", "open"), ("low", "close"), ("open", "high"), ("close", "high"))} | {"volume": "volume >= 0"}
+
+
+def _framed(*parts: str) -> str:
+    return " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE length({x}) || ':' || {x} END" for x in parts)
+
 
 _FLAT = """SELECT ticker, coalesce(namespace, 'none') AS namespace, coalesce(tag, 'none') AS tag, coalesce(unit, 'none') AS unit, period_start, period_end, filed, left(form, 16) AS form, fiscal_year,
   nullif(trim(fiscal_period), '') AS fiscal_period, nullif(trim(frame), '') AS frame, value FROM stg_sec_facts WHERE period_end IS NOT NULL AND filed IS NOT NULL AND form IS NOT NULL"""
@@ -455,6 +499,8 @@ SELECT feature, n_ref, n_cur, round(sum((c - r) * ln(c / r)), 6) AS psi FROM dn
     "ks_statistic": f"""WITH {_PANEL}, {_DRIFT},
 cu AS (SELECT feature, x, sum(CAST(part = 'ref' AS INT)) OVER w / n_ref AS a, sum(CAST(part = 'cur' AS INT)) OVER w / n_cur AS b FROM dl JOIN dn USING (feature) WINDOW w AS (PARTITION BY feature ORDER BY x RANGE UNBOUNDED PRECEDING))
 SELECT feature, n_ref, n_cur, round(max(abs(a - b)), 6) AS ks_stat FROM cu JOIN dn USING (feature) GROUP BY ALL""",
+    "drift_status": f"WITH {_STATUS} SELECT * FROM st",
+    "drift_worst": f"WITH {_STATUS} SELECT * FROM st ORDER BY CASE status WHEN 'FAIL' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END DESC, psi DESC NULLS LAST, feature LIMIT 10",
     "perf_tail_mean": f"""WITH {_PANEL}, {_PRED}, mo AS (SELECT *, CAST(date_trunc('month', trade_date) AS DATE) AS month FROM pr WHERE prob IS NOT NULL AND y IS NOT NULL AND sector IS NOT NULL), cl {_CLASS.format(k="sector, month", t="mo")},
 l AS (
   SELECT sector, month, 'log_loss' AS metric, round(CASE WHEN n1 BETWEEN 1 AND n - 1 THEN ll END, 6) AS x FROM cl UNION ALL SELECT sector, month, 'brier', round(brier, 6) FROM cl
@@ -474,6 +520,16 @@ SELECT sector, metric, round(avg(x), 5) AS mean FROM (SELECT * FROM l WHERE x IS
     "dq_benchmark_present": "SELECT DISTINCT trade_date FROM fct_prices_daily WHERE trade_date NOT IN (SELECT trade_date FROM fct_prices_daily WHERE is_benchmark)",
     "dq_pit_boundaries": f"""WITH {_PANEL} SELECT ticker, count(*) FILTER (r IS NULL) AS null_returns, count(*) FILTER (nr IS NULL) AS null_labels FROM lab GROUP BY ticker HAVING null_returns <> 1 OR null_labels <> 1""",
     "dq_contract_counts": _CONTRACTS,
+    "dq_raw_by_ticker": "SELECT source, ticker, count(*) AS n_rows, "
+    + " + ".join(f"CAST(count(*) FILTER (NOT coalesce({r}, TRUE)) > 0 AS BIGINT)" for r in _RULES["stg_prices"][0].values()) + " AS failed, "
+    + " + ".join(f"count(*) FILTER (NOT coalesce({r}, TRUE))" for r in _RULES["stg_prices"][0].values()) + " AS violations FROM stg_prices GROUP BY ALL",
+    "dq_first_violation": "WITH d AS (SELECT source, ticker, trade_date, count(*) = 1 AS r0, " + ", ".join(f"bool_and(coalesce({r}, TRUE)) AS r{i}" for i, r in enumerate(_BARS.values(), 1)) + " FROM stg_prices GROUP BY ALL), b AS ("
+    + " UNION ALL ".join(f"SELECT source, ticker, trade_date, {i} AS k, '{n}' AS rule FROM d WHERE NOT r{i}" for i, n in enumerate(("duplicate", *_BARS)))
+    + """) SELECT source, ticker, rule, string_agg(CAST(trade_date AS VARCHAR), ',' ORDER BY trade_date) AS dates
+FROM (SELECT * FROM b QUALIFY k = min(k) OVER (PARTITION BY source, ticker)) GROUP BY ALL""".replace("(SELECT * FROM b QUALIFY", "(SELECT * FROM (SELECT * FROM b QUALIFY").replace("source, ticker)) GROUP", "source, ticker)) QUALIFY row_number() OVER (PARTITION BY source, ticker ORDER BY trade_date) <= 3) GROUP"),
+    "dq_bar_events": "SELECT DISTINCT source, ticker, trade_date, source || ':' || ticker || ':' || CAST(trade_date AS VARCHAR) || ':' || sha256("
+    + _framed("source", "ticker", "CAST(trade_date AS VARCHAR)", *(f"CAST(CAST(round({c}, 6) AS DECIMAL(38,6)) AS VARCHAR)" for c in ("open", "high", "low", "close", "adj_close")), "CAST(volume AS VARCHAR)")
+    + ") AS idempotency_key FROM stg_prices WHERE length(source) >= 1 AND length(ticker) BETWEEN 1 AND 16 AND trade_date IS NOT NULL AND " + " AND ".join(f"({r})" for r in _BARS.values()),
     "dq_gate": f"SELECT contract, count(*) FILTER (violations > 0) AS failed, count(*) FILTER (violations > 0) = 0 AS passed FROM ({_CONTRACTS}) GROUP BY contract",
     "dq_orphans": "SELECT DISTINCT ticker FROM stg_prices WHERE ticker NOT IN (SELECT ticker FROM ticker_metadata)",
     "ingest_normalise": """SELECT source || ':' || ticker AS ticker, trade_date, open, high, low, close, coalesce(adj_close, close) AS adj_close, coalesce(volume, 0) AS volume FROM stg_prices
@@ -482,7 +538,7 @@ WHERE open IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL AND close IS NOT
     "json_facts_flatten": _FLAT,
     "json_facts_messy": _FLAT,
     "snapshot_hash": "WITH h AS (SELECT source, load_id, sha256("
-    + " || ".join(f"CASE WHEN {x} IS NULL THEN '-' ELSE length({x}) || ':' || {x} END" for x in ("ticker", "CAST(trade_date AS VARCHAR)", "CAST(CAST(round(close, 4) AS DECIMAL(38,4)) AS VARCHAR)", "CAST(CAST(round(high, 4) AS DECIMAL(38,4)) AS VARCHAR)", "CAST(volume AS VARCHAR)"))
+    + _framed("ticker", "CAST(trade_date AS VARCHAR)", "CAST(CAST(round(close, 4) AS DECIMAL(38,4)) AS VARCHAR)", "CAST(CAST(round(high, 4) AS DECIMAL(38,4)) AS VARCHAR)", "CAST(volume AS VARCHAR)")
     + """) AS s FROM stg_prices),
 w AS (SELECT source, load_id, count(*) AS n_rows, """
     + ", ".join(f"CAST(sum(CAST('0x' || substring(s, {1 + 15 * i}, 15) AS HUGEINT)) AS VARCHAR) AS w{i}" for i in range(4))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,36 @@ def tag_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(part(1).alias("namespace"), part(2).alias("tag")).where("tag <> ''").distinct()
 
 
+def registry(path: str) -> dict:
+    """A registry file, JSON or (where a parser for it is installed) YAML, read on the driver: registries are written by hand."""
+    with open(path) as f:
+        text = f.read()
+    if path.endswith((".yml", ".yaml")):
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    return json.loads(text)
+
+
+def series_registry(spark: SparkSession, path: str, latest_only: str | None = None) -> DataFrame:
+    """(position, series_id, title, category, mode): series by category, ``latest`` for those the second file lists, else ``full``.
+
+    The first file holds ``series``: categories with lists of {id, title}; the second, which may be missing, ``series``: ids.
+    """
+    found = registry(path)
+    if not isinstance(found, dict) or not isinstance(found.get("series"), dict):
+        raise ValueError(f"{path} has no categories under series")
+    second = registry(latest_only).get("series", []) if latest_only and os.path.exists(latest_only) else []
+    once, rows = {str(s) for s in second}, []
+    for category, entries in found["series"].items():
+        for e in entries if isinstance(entries, list) else [entries]:
+            if not isinstance(e, dict) or "id" not in e:
+                raise ValueError(f"an entry under {category} in {path} has no id: {e!r}")
+            sid = str(e["id"])
+            rows.append((len(rows), sid, str(e.get("title", sid)), str(category), "latest" if sid in once else "full"))
+    return spark.createDataFrame(rows, "position int, series_id string, title string, category string, mode string")
+
+
 def documents(spark: SparkSession, glob: str) -> DataFrame:
     """(path, document): whole JSON texts, for operators.ingest.flatten_facts."""
     return spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))

@@ -62,6 +62,61 @@ def test_contract(spark):
     assert rows(Q.orphans(df, "ticker", parent, "t")) == [("a",)]
 
 
+BARS = "source string, ticker string, trade_date date, open double, high double, low double, close double, adj_close double, volume long"
+
+
+def bar(t, d, o=2.0, h=3.0, l=1.0, c=2.5, a=2.5, v=7):  # noqa: E741
+    return ("s", t, None if d is None else day(d), o, h, l, c, a, v)
+
+
+def test_first_violation(spark):
+    data = [bar("twice", 0), bar("twice", 0, v=-1), bar("null", 3, a=None), bar("null", 1, l=9.0)] + [bar("low", d, o=0.5) for d in (5, 2, 4, 1)] + [bar("fine", 0), bar("vol", 1, v=-2), bar(None, None, v=-2)]
+    got = rows(Q.first_violation(spark.createDataFrame(data, BARS), ["ticker"], "trade_date", Q.bar_rules()))
+    d = lambda *n: ",".join(str(day(k)) for k in n)
+    assert set(got) == {("twice", "duplicate", d(0)), ("null", "missing", d(3)), ("low", "low>open", d(1, 2, 4)), ("vol", "volume", d(1)), (None, "volume", "none")}
+    assert Q.first_violation(spark.createDataFrame([], BARS), ["ticker"], "trade_date", Q.bar_rules()).count() == 0
+
+
+def test_bar_events(spark):
+    data = [bar("a", 0), bar("a", 0), bar("a", 0, c=2.6), bar("b", 0, v=-1), bar("c", 0, a=None), bar("x" * 17, 0), bar("d", None), bar(None, 0)]
+    got = rows(Q.bar_events(spark.createDataFrame(data, BARS)))
+    assert [g[1] for g in got] == ["a", "a"] and all(g[3].startswith(f"s:a:{day(0)}:") for g in got)
+
+
+def test_strict_contract_groups_and_gate(spark):
+    df = spark.createDataFrame([("a", 1), ("a", -1), ("b", 2), (None, -3)], "t string, x int")
+    c = Q.Contract("c", {"t": "string", "x": "bigint"}, {"positive": F.col("x") > 0}, strict=True)
+    found = dict(rows(Q.check(df.withColumn("more", F.lit(1)), c), "rule", "violations"))
+    assert found == {"not_empty": 0, "positive": 2, "column:t": 0, "column:x": 1, "other_columns": 1}
+    assert rows(Q.check_groups(df, c, ["t"])) == [("a", 2, 1, 1), ("b", 1, 0, 0), (None, 1, 1, 1)]
+    ok = Q.Contract("ok", {"t": "string"}, {"known": F.lit(True)})
+
+    def gone():
+        raise FileNotFoundError("no such table")
+
+    layers, code = Q.run_gate({"c": lambda: df, "ok": lambda: df, "gone": gone}, [c, ok, Q.Contract("gone"), Q.Contract("later")], skip=("later",))
+    assert [(x.name, x.status) for x in layers] == [("c", "fail"), ("ok", "pass"), ("gone", "fail"), ("later", "skip")] and code == 1
+    assert layers[0].broken == {"positive": 2, "column:x": 1} and "no such table" in layers[2].error
+    assert Q.run_gate({"ok": lambda: df}, [ok])[1] == 0
+
+
+def test_performance(spark):
+    data = [("m", k, a, 0.7, None) for k, a in enumerate([0.9, 0.9, 0.47, 0.47, 0.49, 0.47])] + [("n", 0, None, 0.9, 1.0)]
+    df = spark.createDataFrame(data, "model string, fold int, auc double, log_loss double, sharpe double")
+    got = {(r.model, r.metric): (r.mean, r.status) for r in D.performance(df, ["model"], "fold").collect()}
+    assert got["m", "auc"][1] == "FAIL" and got["m", "log_loss"][1] == "PASS" and got["m", "sharpe"] == (None, "PASS")
+    assert got["n", "auc"] == (None, "PASS") and got["n", "log_loss"] == (0.9, "FAIL") and got["n", "sharpe"] == (1.0, "PASS")
+    assert rows(D.overall(D.performance(df, ["model"], "fold"), ["model"])) == [("m", "FAIL"), ("n", "FAIL")]
+
+
+def test_exact_p_in_the_report(spark):
+    data = [("ref", "small", float(k)) for k in range(6)] + [("cur", "small", k + 4.5) for k in range(5)] + [(p, "large", float(k)) for p in ("ref", "cur") for k in range(60)]
+    df = spark.createDataFrame(data, "part string, feature string, x double")
+    exact, series = ({r.feature: r.ks_pvalue for r in D.drift_of(df, n).collect()} for n in (100, 0))
+    assert exact["large"] == series["large"] and abs(exact["small"] - D.exact_ks_p(5 / 6, 6, 5)) < 1e-12 and exact["small"] != series["small"]
+    assert rows(D.worst_first(D.drift_of(df), 1, ["feature"]), "feature") == [("small",)]
+
+
 def test_normalise(spark):
     schema = "Date string, Open double, High double, Low double, Close double, Volume long, n long"
     df = spark.createDataFrame([("2021-01-04 23:30:00", 1.0, 2.0, 0.5, 1.5, None, 1), ("2021-01-04 05:00:00", 1.0, 2.0, 0.5, 1.6, 7, 2), ("2021-01-05", float("nan"), 1.0, 1.0, 1.0, 1, 3)], schema)

@@ -1,11 +1,15 @@
 import json
+from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import day, rows, stamp
 from pitloom import pipeline
 from pitloom.functions.hashing import content_hash, fixed, row_hash
-from pitloom.sources import bars, readers, sinks
+from pitloom.functions.safe import number
+from pitloom.operators.ingest import vintages_from_intervals
+from pitloom.sources import bars, http, readers, sinks
 from pitloom.sources.snapshots import SnapshotStore, retained
 
 SCHEMA = "ticker string, date date, close double, adj_close double"
@@ -94,6 +98,51 @@ def test_readers(spark, tmp_path):
     assert rows(readers.seed(spark, str(tmp_path / "s.csv"), "ticker string, valid_to date")) == [("x", None), ("y", day(0))]
 
 
+def test_series_registry(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"series": {"rates": [{"id": "A", "title": "a rate"}, {"id": "B"}], "prices": [{"id": 7}]}}')
+    (tmp_path / "once.json").write_text('{"series": ["B", "X"]}')
+    got = readers.series_registry(spark, str(tmp_path / "s.json"), str(tmp_path / "once.json"))
+    assert rows(got) == [(0, "A", "a rate", "rates", "full"), (1, "B", "B", "rates", "latest"), (2, "7", "7", "prices", "full")]
+    assert {r.mode for r in readers.series_registry(spark, str(tmp_path / "s.json"), str(tmp_path / "none.json")).collect()} == {"full"}
+    (tmp_path / "bad.json").write_text('{"series": {"rates": [{"title": "no id"}]}}')
+    for bad in ("bad.json", "once.json"):
+        with pytest.raises(ValueError):
+            readers.series_registry(spark, str(tmp_path / bad))
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "s.yml").write_text(yaml.safe_dump({"series": {"rates": [{"id": "A"}]}}))
+    assert readers.series_registry(spark, str(tmp_path / "s.yml")).count() == 1
+
+
+def test_fetcher():
+    answers = iter([(500, "x"), ConnectionError("gone"), (429, ""), (200, "good"), (404, "no")])
+
+    def transport(address, headers):
+        assert headers == {"agent": "me"}
+        a = next(answers)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    f = http.Fetcher(transport, waits=(0, 0, 0), headers=(("agent", "me"),))
+    assert f.one("u") == (200, "good", None)
+    assert f.one("u") == (404, None, "status 404")  # not tried again
+    broken = http.Fetcher(lambda a, h: (503, "later"), waits=(0,))
+    assert broken.one("u") == (503, None, "status 503")
+
+
+def test_fetched_vintages(spark):
+    def transport(address, headers):
+        if address.endswith("down"):
+            raise ConnectionError("gone")
+        return 200, json.dumps({"observations": [{"date": "2021-01-01", "realtime_start": "2021-02-01", "realtime_end": "2021-02-28", "value": "."}, {"date": "2021-01-01", "realtime_start": "2021-03-01", "realtime_end": "9999-12-31", "value": "2.5"}]})
+
+    asked = spark.createDataFrame([("s", "http://x/up"), ("t", "http://x/down"), ("n", None)], "series_id string, u string")
+    got = http.fetch(asked, "series_id", "u", http.Fetcher(transport, waits=()))
+    assert rows(got, "series_id", "status", "error") == [("s", 200, None), ("t", None, "ConnectionError: gone")]
+    seen = http.observations(got).withColumn("value", number(F.col("value")))
+    assert rows(vintages_from_intervals(seen), "series_id", "vintage_date", "value") == [("s", date(2021, 2, 1), None), ("s", date(2021, 3, 1), 2.5)]
+
+
 def test_bar_source(spark, tmp_path):
     (tmp_path / "x.csv").write_text("date,open,close\n2021-01-04,1,2\n2021-02-01,3,\n")
     (tmp_path / "y.csv").write_text("date,close\n2021-01-05,9\n")
