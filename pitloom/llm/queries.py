@@ -8,12 +8,19 @@ from pitloom.llm import encode, leak, split
 from pitloom.session import read
 
 
+def _documents(spark: SparkSession, base: str) -> DataFrame:
+    """Ids and texts. A file of fewer row groups than the session has cores is dealt out, as texts are work for Python."""
+    docs = read(spark, base, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def p8_ids(spark: SparkSession, base: str) -> DataFrame:
-    return encode.encode_corpus(read(spark, base, "documents"), "doc_id", "text")
+    return encode.encode_corpus(_documents(spark, base), "doc_id", "text")
 
 
 def p9_passages(spark: SparkSession, base: str) -> DataFrame:
-    return leak.leaked_passages(read(spark, base, "documents"), "doc_id", "text", read(spark, base, "eval_items"), "item_id", "text")
+    return leak.leaked_passages(_documents(spark, base), "doc_id", "text", read(spark, base, "eval_items"), "item_id", "text")
 
 
 def p9_found(spark: SparkSession, base: str) -> DataFrame:
@@ -21,7 +28,7 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, base: str) -> DataFrame:
-    return split.split_corpus(read(spark, base, "documents"), "doc_id", "text")
+    return split.split_corpus(_documents(spark, base), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
