@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -91,6 +91,13 @@ def flatten_facts(df: DataFrame, document: str, key: str) -> DataFrame:
     ).where("period_end IS NOT NULL AND filed IS NOT NULL AND form IS NOT NULL")
 
 
-def curated(facts: DataFrame, tags: list[str]) -> DataFrame:
-    """Facts of the tags given as ``namespace:tag``."""
-    return facts.where(F.concat_ws(":", "namespace", "tag").isin(tags))
+def tag_table(spark: SparkSession, tags: list[str]) -> DataFrame:
+    """(namespace, tag), each once, of texts ``namespace:tag``; texts without both are left out."""
+    part = lambda k: F.split_part("t", F.lit(":"), F.lit(k))
+    listed = spark.createDataFrame([(t,) for t in tags], "t string").select(part(1).alias("namespace"), part(2).alias("tag"))
+    return listed.where("namespace <> '' AND tag <> ''").distinct()
+
+
+def curated(facts: DataFrame, tags: DataFrame) -> DataFrame:
+    """Facts of the tags in ``tags`` (namespace, tag): an equi-join on both; a list's size is known to the planner."""
+    return facts.join(tags.select("namespace", "tag").distinct(), ["namespace", "tag"], "left_semi")

@@ -62,7 +62,28 @@ def missing_from(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).distinct().join(other.select(*keys), keys, "left_anti")
 
 
+def kept_columns(df: DataFrame, allowed: list[str]) -> DataFrame:
+    """Only the allowed columns, in their own order; helper columns go, allowed ones that are missing are left out."""
+    names = set(allowed)
+    return df.select(*(c for c in df.columns if c in names))
+
+
+def date_slice(df: DataFrame, date: str, first: str | None = None, last: str | None = None, tickers: list[str] | None = None) -> DataFrame:
+    """Rows from ``first`` to ``last``, both included (None: open), perhaps of some tickers only; all of it reaches the scan."""
+    if first is not None:
+        df = df.where(F.col(date) >= F.lit(first).cast("date"))
+    if last is not None:
+        df = df.where(F.col(date) <= F.lit(last).cast("date"))
+    return df if tickers is None else df.where(F.col("ticker").isin(tickers))
+
+
+def common_dates(a: DataFrame, b: DataFrame, date: str = "trade_date") -> DataFrame:
+    """Rows of ``a`` on dates that ``b`` has too."""
+    return a.join(b.select(date).distinct(), date, "left_semi")
+
+
 def exact_sample(df: DataFrame, key: Column, n: int, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if there are fewer), always the same: those of the least hash of key and seed."""
+    """Exactly n rows (all, if there are fewer), always the same: those of the least hash of key and seed. ``n_total``: how many there are."""
     mark = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
-    return df.withColumn("_mark", mark).orderBy("_mark").limit(n).drop("_mark")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.withColumn("_mark", mark).orderBy("_mark").limit(n).drop("_mark").withColumn("n_total", total)

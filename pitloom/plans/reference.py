@@ -142,7 +142,7 @@ def macro_latest_mode(spark: SparkSession, base: str) -> DataFrame:
 
 
 def facts_filter_curated(spark: SparkSession, base: str) -> DataFrame:
-    facts = I.curated(read(spark, base, "stg_sec_facts"), ["xg-core:SalesNet", "xg-core:ProfitAfterTax", "xg-core:OwnersFunds"])
+    facts = I.curated(read(spark, base, "stg_sec_facts"), I.tag_table(spark, ["xg-core:SalesNet", "xg-core:ProfitAfterTax", "xg-core:OwnersFunds", "xg-core:SalesNet"]))
     return facts.where(F.col("form").isin("10-K", "10-Q") & (F.col("period_end") <= F.col("filed")) & F.col("value").isNotNull()).select("ticker", "tag", "filed", "period_end", "value")
 
 
@@ -295,6 +295,11 @@ def stake_scaled(spark: SparkSession, base: str) -> DataFrame:
     return B.scaled_weights(picked, "vol", 0.10, 0.05).where("selected").select("ticker", "trade_date", *_r("weight"))
 
 
+def stake_fixed(spark: SparkSession, base: str) -> DataFrame:
+    picked = B.select_by(_predictions(spark, base), "above", "prob", 0.55)
+    return B.weigh_by(picked, "fixed", 0.02, 0.03).select("ticker", "trade_date", "side", "weight")
+
+
 def turnover(spark: SparkSession, base: str) -> DataFrame:
     return B.plain_turnover(_weights(spark, base), []).select("trade_date", *_r("turnover"))
 
@@ -524,6 +529,30 @@ def dq_label_null(spark: SparkSession, base: str) -> DataFrame:
     return Q.violations(read(spark, base, "fct_returns_daily"), rules, ["ticker", "trade_date", "loaded_at"]).distinct()
 
 
+def _damaged(spark: SparkSession, base: str) -> DataFrame:
+    """Returns and labels, of which some are taken away and some signs turned, by the day of the month."""
+    day = F.dayofmonth("trade_date")
+    label = F.when(day == 13, F.lit(None)).when(day == 17, ~F.col("next_return_positive")).otherwise(F.col("next_return_positive"))
+    return P.returns_and_labels(_panel(spark, base)).withColumn("next_return_positive", label).withColumn("log_return", F.when(day != 15, F.col("log_return")))
+
+
+def dq_label_damaged(spark: SparkSession, base: str) -> DataFrame:
+    rules = {"label_null_iff_return_null": F.col("next_log_return").isNull() == F.col("next_return_positive").isNull(), "label_sign": (F.col("next_log_return") > 0) == F.col("next_return_positive")}
+    return Q.violations(_damaged(spark, base), rules, ["ticker", "trade_date"])
+
+
+def dq_failure_cases(spark: SparkSession, base: str) -> DataFrame:
+    """Of each rule on the day's order how many rows break it, and ten of them."""
+    bad = Q.violations(read(spark, base, "stg_prices"), Q.ohlc_rules(), ["source", "ticker", "trade_date"])
+    return Q.first_failures(bad, ["source", "ticker", "trade_date"], 10).select("rule", "n_rows", F.array_join("examples", ",").alias("examples"))
+
+
+def prices_sliced(spark: SparkSession, base: str) -> DataFrame:
+    """Bars of three quarters on dates that have a macro row, without helper columns."""
+    p = P.date_slice(read(spark, base, "fct_prices_daily"), "trade_date", "2021-04-01", "2021-12-31")
+    return P.kept_columns(P.common_dates(p, read(spark, base, "int_macro_daily").where("value IS NOT NULL")), ["ticker", "trade_date", "close", "volume", "no such column"])
+
+
 def dq_macro_pit(spark: SparkSession, base: str) -> DataFrame:
     rules = {"vintage_not_later": F.col("vintage_date") <= F.col("trade_date"), "observation_not_later": F.col("observation_date") <= F.col("trade_date")}
     return Q.violations(read(spark, base, "int_macro_daily"), rules, ["row_id"])
@@ -545,7 +574,14 @@ def dq_benchmark_present(spark: SparkSession, base: str) -> DataFrame:
 
 def dq_pit_boundaries(spark: SparkSession, base: str) -> DataFrame:
     """Tickers whose returns are null other than on the first bar, or whose labels are null other than on the last."""
-    p = P.returns_and_labels(_panel(spark, base))
+    return _boundaries(P.returns_and_labels(_panel(spark, base)))
+
+
+def dq_pit_damaged(spark: SparkSession, base: str) -> DataFrame:
+    return _boundaries(_damaged(spark, base))
+
+
+def _boundaries(p: DataFrame) -> DataFrame:
     n = p.groupBy("ticker").agg(F.count(F.when(F.col("log_return").isNull(), 1)).alias("null_returns"), F.count(F.when(F.col("next_return_positive").isNull(), 1)).alias("null_labels"))
     return n.where("null_returns <> 1 OR null_labels <> 1")
 
@@ -686,9 +722,9 @@ QUERIES = {
     for f in (
         bars_in_force, returns_labels, returns_interval_join, macro_vintage_override, macro_vintages_latest, macro_asof_daily, macro_pivot_wide, mc_yoy, mc_yoy_by_series, vintage_reconstruct, macro_latest_mode,
         facts_filter_curated, facts_latest_in_filing, facts_pit_asof, facts_pivot_first, fd_ratios, fd_growth, px_features, cs_ranks, mkt_features, features_assembled, features_loaded,
-        entry_top_n, entry_threshold, entry_above_median, baseline_naive, baseline_momentum, baseline_hold, baseline_top_rank, stake_equal_weight, stake_odds, stake_scaled, turnover, limits_walk, rebalance_walk, portfolio_returns, portfolio_by_fold, run_per_fold, run_aggregate, run_pooled, run_yearly, run_interval, run_differences, best_sectors, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
+        entry_top_n, entry_threshold, entry_above_median, baseline_naive, baseline_momentum, baseline_hold, baseline_top_rank, stake_equal_weight, stake_odds, stake_scaled, stake_fixed, turnover, limits_walk, rebalance_walk, portfolio_returns, portfolio_by_fold, run_per_fold, run_aggregate, run_pooled, run_yearly, run_interval, run_differences, best_sectors, folds, fold_assignment, time_decay_weights, logistic_walk_forward,
         classification_metrics, reliability_curve, calibration, sharpe_by_year, skew_kurt, summary_median_iqr, bootstrap_ci, deflated_sharpe, freshness, psi, ks_statistic, drift_status, drift_exact, drift_worst, perf_tail_mean, perf_status, perf_overall,
-        dq_ohlc, dq_return_ranges, dq_label_null, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_contract_counts, dq_raw_by_ticker, dq_first_violation, dq_bar_events, dq_gate, dq_orphans,
+        dq_ohlc, dq_return_ranges, dq_label_null, dq_label_damaged, dq_failure_cases, prices_sliced, dq_macro_pit, dq_facts_pit, dq_vintage_dup, dq_benchmark_present, dq_pit_boundaries, dq_pit_damaged, dq_contract_counts, dq_raw_by_ticker, dq_first_violation, dq_bar_events, dq_gate, dq_orphans,
         ingest_normalise, missing_sentinel_parse, json_facts_flatten, json_facts_messy, snapshot_hash, snapshot_store_returns, snapshot_retention, sample_exact_n,
     )
 }

@@ -338,6 +338,10 @@ def _later(a: str, b: str) -> dict[str, str]:
     return {f"not_later:{a}": f"{a} <= {b}"}
 
 
+_DAMAGED = """
+dm AS (
+  SELECT ticker, trade_date, nr, CASE WHEN day(trade_date) <> 15 THEN r END AS r, CASE day(trade_date) WHEN 13 THEN NULL WHEN 17 THEN NOT (nr > 0) ELSE nr > 0 END AS label FROM lab
+)"""
 _COLUMNS = {
     "stg_prices": "row_id source ticker trade_date open high low close adj_close volume load_id loaded_at",
     "fct_prices_daily": "ticker trade_date open high low close adj_close volume sector is_benchmark loaded_at",
@@ -422,6 +426,7 @@ SELECT ticker, trade_date, CAST(CASE WHEN k <= 10 THEN 1.0 ELSE 0.45 END AS DOUB
     "stake_scaled": f"""WITH {_PANEL}, {_PRED}, {_TOP},
 vl AS (SELECT ticker, trade_date, CASE WHEN count(r) OVER w = 20 THEN stddev_samp(r) OVER w * sqrt(252) END AS vol FROM ret WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS 19 PRECEDING))
 SELECT ticker, trade_date, round(CASE WHEN vol > 0 THEN 0.05 * least(1.0, 0.10 / vol) ELSE 0.05 END, 6) AS weight FROM tp JOIN vl USING (ticker, trade_date) WHERE selected""",
+    "stake_fixed": f"WITH {_PANEL}, {_PRED} SELECT ticker, trade_date, CASE WHEN prob > 0.55 THEN 'long' ELSE 'flat' END AS side, CAST(CASE WHEN prob > 0.55 THEN 0.02 ELSE 0.0 END AS DOUBLE) AS weight FROM pr",
     "turnover": f"""WITH {_PANEL}, {_PRED}, {_TOP}
 SELECT trade_date, round(sum(d), 6) AS turnover FROM (SELECT trade_date, CAST(abs(weight - coalesce(lag(weight) OVER (PARTITION BY ticker ORDER BY trade_date), 0)) AS DOUBLE) AS d FROM wt) GROUP BY trade_date""",
     "limits_walk": f"WITH RECURSIVE {_PANEL}, {_PRED}, {_TOP}, {_WALKED}, {_limits('wk')} SELECT g AS model, trade_date, ticker, target, CAST(weight AS DOUBLE) AS weight, stop_out, state FROM lw",
@@ -514,6 +519,13 @@ SELECT sector, metric, round(avg(x), 5) AS mean FROM (SELECT * FROM l WHERE x IS
     "dq_label_null": "SELECT DISTINCT * FROM ("
     + _bad("fct_returns_daily", {"label_null_iff_return_null": "(next_log_return IS NULL) = (next_return_positive IS NULL)", "label_sign": "(next_log_return > 0) = next_return_positive"}, "ticker, trade_date, loaded_at")
     + ")",
+    "dq_label_damaged": f"WITH {_PANEL}, {_DAMAGED} "
+    + _bad("dm", {"label_null_iff_return_null": "(nr IS NULL) = (label IS NULL)", "label_sign": "(nr > 0) = label"}, "ticker, trade_date"),
+    "dq_pit_damaged": f"WITH {_PANEL}, {_DAMAGED} SELECT ticker, count(*) FILTER (r IS NULL) AS null_returns, count(*) FILTER (label IS NULL) AS null_labels FROM dm GROUP BY ticker HAVING null_returns <> 1 OR null_labels <> 1",
+    "dq_failure_cases": "WITH b AS (SELECT rule, concat_ws(' ', source, ticker, CAST(trade_date AS VARCHAR)) AS k FROM (" + _bad("stg_prices", _OHLC, "source, ticker, trade_date") + """)),
+t AS (SELECT rule, string_agg(k, ',' ORDER BY k) AS examples FROM (SELECT * FROM (SELECT DISTINCT rule, k FROM b) QUALIFY row_number() OVER (PARTITION BY rule ORDER BY k) <= 10) GROUP BY rule)
+SELECT rule, count(*) AS n_rows, any_value(examples) AS examples FROM b JOIN t USING (rule) GROUP BY rule""",
+    "prices_sliced": "SELECT ticker, trade_date, close, volume FROM fct_prices_daily WHERE trade_date BETWEEN DATE '2021-04-01' AND DATE '2021-12-31' AND trade_date IN (SELECT trade_date FROM int_macro_daily WHERE value IS NOT NULL)",
     "dq_macro_pit": _bad("int_macro_daily", {"vintage_not_later": "vintage_date <= trade_date", "observation_not_later": "observation_date <= trade_date"}, "row_id"),
     "dq_facts_pit": _bad("int_fundamentals_pit", {"filed_not_later": "filed_used <= trade_date", "period_ended": "period_end_used <= filed_used"}, "row_id"),
     "dq_vintage_dup": "SELECT series_id, observation_date, vintage_date, count(*) AS n FROM stg_macro_series GROUP BY ALL HAVING count(*) > 1",
@@ -546,5 +558,5 @@ w AS (SELECT source, load_id, count(*) AS n_rows, """
 SELECT source, load_id, sha256(n_rows || '|' || w0 || '|' || w1 || '|' || w2 || '|' || w3) AS content_hash, n_rows FROM w""",
     "snapshot_store_returns": "SELECT source, load_id, ticker, trade_date, close, row_id FROM stg_prices WHERE row_id % 2 = 0",
     "snapshot_retention": "SELECT source, ticker, arg_max(path, (last_date, written_at, path)) AS path FROM manifest WHERE path IS NOT NULL GROUP BY ALL",
-    "sample_exact_n": "SELECT row_id, ticker, close FROM stg_prices ORDER BY md5(CAST(row_id AS VARCHAR) || '|42') LIMIT 1000",
+    "sample_exact_n": "SELECT row_id, ticker, close, (SELECT count(*) FROM stg_prices) AS n_total FROM stg_prices ORDER BY md5(CAST(row_id AS VARCHAR) || '|42') LIMIT 1000",
 }

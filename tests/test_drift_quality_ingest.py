@@ -145,6 +145,12 @@ def test_facts_document(spark):
     assert [(g[:6], g[6], g[7]) for g in got] == [(("x", "ns", "T", "USD", "2021-04-01", "10-K-and-much-to"), None, 5.0), (("x", "ns", "T", "USD", "2021-04-02", "8-K"), None, None)]
 
 
+def test_curated_by_join(spark):
+    facts = spark.createDataFrame([("n", "a", 1), ("n", "b", 2), ("m", "a", 3), (None, "a", 4)], "namespace string, tag string, x int")
+    tags = I.tag_table(spark, ["n:a", "n:a", "m:c", "broken", ":x"])
+    assert rows(tags) == [("m", "c"), ("n", "a")] and rows(I.curated(facts, tags), "x") == [(1,)]
+
+
 def test_facts_beside_other_shapes(spark):
     good = '{"end":"2021-03-31","val":5,"form":"10-K","filed":"2021-04-01"}'
     unit = f'{{"units":{{"USD":[{good}]}}}}'

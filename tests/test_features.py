@@ -11,6 +11,7 @@ from pitloom.functions.safe import clip, number, ratio
 from pitloom.functions.windows import wilder_rsi
 from pitloom.operators import features as X
 from pitloom.operators import panel as P
+from pitloom.operators.ranks import all_small, percentile_ranks
 
 S = X.FeatureSettings(short=3, medium=5, long=8, rsi=4, year=6)
 PANEL = "ticker string, trade_date date, adj_close double, sector string, is_benchmark boolean"
@@ -98,6 +99,7 @@ def test_expressions(spark):
 def test_sample_is_exact_and_repeatable(spark):
     df = spark.range(1000)
     a = rows(P.exact_sample(df, F.col("id"), 50))
+    assert {r[-1] for r in a} == {df.count()}
     assert len(a) == 50 and a == rows(P.exact_sample(df.repartition(7), F.col("id"), 50)) and a != rows(P.exact_sample(df, F.col("id"), 50, seed=1))
 
 
@@ -117,3 +119,21 @@ def test_rsi_of_long_and_resting_series(spark):
         else:
             assert got["a", i + 1] is None
     assert all(got["flat", i] is None for i in range(1500)) and got["up", 39] == 100
+
+
+def test_slices_and_kept_columns(spark):
+    df = spark.createDataFrame([("a", day(i), i) for i in range(5)] + [("b", None, 9)], "ticker string, trade_date date, x int")
+    assert rows(P.date_slice(df, "trade_date", str(day(1)), str(day(2))), "x") == [(1,), (2,)]
+    assert rows(P.date_slice(df, "trade_date", None, str(day(0)), ["a"]), "x") == [(0,)] and P.date_slice(df, "trade_date", tickers=["b"]).count() == 1
+    assert P.kept_columns(df, ["x", "gone", "ticker"]).columns == ["ticker", "x"]
+    assert rows(P.common_dates(df, df.where("x IN (1, 3, 9)")), "x") == [(1,), (3,)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_groups_are_ranked_alike(spark, seed):
+    rnd = random.Random(seed)
+    df = spark.createDataFrame([(rnd.choice(["p", "q", None]), rnd.choice("xy"), rnd.choice([None, 1.0, 2.0, rnd.random()]), i) for i in range(60)], "g string, h string, v double, _value int")
+    for keys in (["g"], ["g", "h"]):
+        a, b = (percentile_ranks(df.withColumnRenamed("_value", "i"), keys, "v", "r", small=s) for s in (True, False))
+        assert rows(a) == rows(b)
+    assert all_small(df, ["g"]) and not all_small(df, ["g"], 5)
