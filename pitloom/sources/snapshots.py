@@ -6,6 +6,7 @@ the comparison with the manifest and the write are distributed; entities are nev
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitloom.functions.hashing import content_hash
-from pitloom.session import cut
+from pitloom.session import Folder, cut
 
 MANIFEST = "entity string, hash string, written_at timestamp, n_rows long, first_date date, last_date date"
 
@@ -75,6 +76,7 @@ class SnapshotStore:
         judged = cut(judged)  # fixed before the store changes
         new = judged.where("status = 'written'")
         data = rows.join(new.where(~F.col("had")).select(F.col("entity").alias("_entity"), F.col("hash").alias("_hash")), "_entity")
+        Folder(spark, self.root).create_text("schema.json", data.schema.json())
         data.hint("rebalance", F.col("_entity"), F.col("_hash")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_entity", "_hash").parquet(f"{self.root}/data")
         when = written_at if written_at is not None else F.current_timestamp()
         new.select("entity", "hash", when.alias("written_at"), "n_rows", "first_date", "last_date").write.mode("append").parquet(f"{self.root}/manifest")
@@ -85,7 +87,13 @@ class SnapshotStore:
         return spark.read.schema(self._schema(spark)).parquet(f"{self.root}/data")
 
     def _schema(self, spark: SparkSession) -> T.StructType:
-        found = spark.read.parquet(f"{self.root}/data").schema
+        try:
+            found = spark.read.parquet(f"{self.root}/data").schema
+        except AnalysisException as e:
+            if "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            # nothing but empty snapshots so far: the schema of the first
+            found = T.StructType.fromJson(json.loads(Folder(spark, self.root).read_text("schema.json")))
         text = {"_entity", "_hash"}
         return T.StructType([T.StructField(f.name, T.StringType() if f.name in text else f.dataType) for f in found])
 

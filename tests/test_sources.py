@@ -59,6 +59,14 @@ def test_content_that_returns_is_not_stored_again(spark, tmp_path):
     assert rows(store.read_entity(spark, "none", 1.0)) == []
 
 
+def test_store_of_nothing(spark, tmp_path):
+    store = SnapshotStore(str(tmp_path / "s"), "ticker", "date", (F.col("close"),))
+    store.write(spark.createDataFrame([(None, day(0), 1.0, 1.0)], SCHEMA))
+    assert store.read_latest(spark).count() == 0 and store.read_latest(spark).columns == ["ticker", "date", "close", "adj_close"]
+    store.write(spark.createDataFrame([("a", day(0), 1.0, 1.0)], SCHEMA))
+    assert rows(store.read_latest(spark), "ticker") == [("a",)]
+
+
 def test_retention(spark):
     df = spark.createDataFrame([("a", "p1", day(1), stamp(5)), ("a", "p2", day(2), stamp(1)), ("a", "p3", day(2), stamp(3))], "ticker string, path string, last_date date, written_at timestamp")
     assert rows(retained(df, ["ticker"])) == [("a", "p3")]
