@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pitloom.functions.masks import mask, number_mask
-from pitloom.operators.ranks import bucket_edges, null_safe
+from pitloom.operators.ranks import MOST_BUCKETS, MOST_CUTS, bucket_edges, null_safe
 from pitloom.session import cut, together
 
 
@@ -204,15 +204,33 @@ def rare_violations(counted: DataFrame, contracts: list[ColumnContract], limits:
 _GROUP = ["source", "by", "column"]
 
 
+def _bucketed(values: DataFrame, hot_rows: int) -> DataFrame | None:
+    """Adds bucket, ascending with the number; None if no group is hot. Buckets that are still too large are cut again.
+
+    A value that is several edges at once has as many buckets: its rows, all equal, may be ranked in any order. They are drawn
+    by the number ``pick`` that a row has from the scan, so that a task that is run again draws alike.
+    """
+    out, key = values.withColumn("bucket", F.lit(0).cast("long")), [*_GROUP, "bucket"]
+    for cut_no in range(MOST_CUTS):
+        edges = bucket_edges(out, key, "number", hot_rows)
+        if edges is None:
+            return out if cut_no else None
+        low = F.size(F.filter("_edges", lambda e: e < F.col("number")))
+        ties = F.size(F.filter("_edges", lambda e: e == F.col("number")))
+        held = out.alias("v").join(edges.alias("e"), null_safe("v", "e", key), "left").select("v.*", "e._edges")
+        drawn = F.pmod(F.xxhash64("pick", F.lit(cut_no)), ties + 1).cast("int")
+        out = held.withColumn("bucket", F.col("bucket") * (MOST_BUCKETS + 1) + F.when(F.col("_edges").isNull(), 0).otherwise(low + drawn)).drop("_edges")
+    return out
+
+
 def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
     """Adds bucket (0 but in hot groups), rank (in the group, by number), own (rank among the load's), n_all, n_load, n_most.
 
     n_most is the largest n_load of the group. Hot groups are cut at approximate quantiles into buckets that are ranked
-    alone; counts of the buckets before are added, so ranks stay exact. Buckets are drawn from the rows of the scan, in an
-    order that a task that is run again repeats.
+    alone; counts of the buckets before are added, so ranks stay exact.
     """
-    edges = bucket_edges(values, _GROUP, "number", limits.hot_rows)
-    if edges is None:
+    split = _bucketed(values, limits.hot_rows)
+    if split is None:
         whole = Window.partitionBy(*_GROUP)
         own = Window.partitionBy(*_GROUP, "load")
         return (
@@ -223,11 +241,6 @@ def _ranked(values: DataFrame, limits: Departures) -> DataFrame:
             .withColumn("n_load", F.count(F.lit(1)).over(own))
             .withColumn("n_most", F.max("n_load").over(whole))
         )
-    # a value that is several edges at once has as many buckets: its rows, all equal, may be ranked in any order
-    low = F.size(F.filter("_edges", lambda e: e < F.col("number")))
-    ties = F.size(F.filter("_edges", lambda e: e == F.col("number")))
-    drawn = values.withColumn("pick", F.rand(7)).alias("v").join(edges.alias("e"), null_safe("v", "e", _GROUP), "left").select("v.*", "e._edges")
-    split = drawn.withColumn("bucket", F.when(F.col("_edges").isNull(), 0).otherwise(low + F.floor(F.col("pick") * (ties + 1)).cast("int"))).drop("_edges", "pick")
     counts = split.groupBy(*_GROUP, "bucket", "load").agg(F.count(F.lit(1)).alias("n"))
     by_bucket = counts.groupBy(*_GROUP, "bucket").agg(F.sum("n").alias("n"))
     by_load = counts.groupBy(*_GROUP, "load").agg(F.sum("n").alias("n_load"))
@@ -292,7 +305,7 @@ def far_bounds(counted: DataFrame, limits: Departures = Departures()) -> DataFra
 def far_counts(values: DataFrame, limits: Departures = Departures()) -> DataFrame:
     """(source, by, column, load, n_far): how many values are far from the exact median of the group's values in the other loads.
 
-    Input: (source, by, column, load, number). Let a value have rank r in its group and rank j within its load, so that r - j
+    Input: (source, by, column, load, number, pick), the last a number drawn for each row where it was read. Let a value have rank r in its group and rank j within its load, so that r - j
     values of other loads are below it. The k-th value of the others then has rank k + #{r - j < k} in the group, which gives
     the leave-one-out median of every load from two sorts, without pairing loads with values. Only values ranked around the
     middle can be such medians, and only they are looked up.
@@ -329,6 +342,11 @@ def far_counts(values: DataFrame, limits: Departures = Departures()) -> DataFram
     return own.withColumn("far", far).groupBy(*_GROUP, "load").agg(F.sum("far").alias("n_far"))
 
 
+def _drawn(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None) -> DataFrame:
+    """The numbers of the columns, each with a ``pick``: drawn from the rows of the scan, before anything is shuffled."""
+    return _long(df, contracts, source, load, by).withColumn("pick", F.rand(7)).where(F.col("number").isNotNull())
+
+
 def _far_loads(df: DataFrame, contracts: list[ColumnContract], source: str, load: str, by: str | None, counted: DataFrame, limits: Departures) -> DataFrame:
     """(source, load, column): the loads of which at least ``far_share`` of the values are far; bounds first, then exact ranks."""
     key = ["source", "load", "column"]
@@ -342,9 +360,9 @@ def _far_loads(df: DataFrame, contracts: list[ColumnContract], source: str, load
     if not open_loads.take(1):
         return certain
     unsure = cut(groups.where("most_far > least_far").alias("g").join(open_loads.select(*key).alias("l"), null_safe("g", "l", key), "left_semi"))
-    values = _long(df, contracts, source, load, by).where(F.col("number").isNotNull())
+    values = _drawn(df, contracts, source, load, by)
     theirs = values.alias("v").join(unsure.select(*_GROUP).distinct().alias("u"), null_safe("v", "u", _GROUP), "left_semi")
-    exact = far_counts(theirs.select(*_GROUP, "load", "number"), limits)
+    exact = far_counts(theirs.select(*_GROUP, "load", "number", "pick"), limits)
     gained = (
         unsure.alias("u").join(exact.alias("e"), null_safe("u", "e", [*_GROUP, "load"]), "left")
         .select(*(f"u.{k}" for k in key), (F.coalesce("e.n_far", F.lit(0)) - F.col("u.least_far")).alias("more"))

@@ -1,7 +1,8 @@
 """Exact ranks and quantiles of groups of any size.
 
 A group's values are counted first. A group with more distinct values than fit one task is cut at approximate quantiles into
-buckets; running counts are taken within a bucket and the counts of the buckets before are added, so the result is exact.
+buckets, and these again if they are too large; running counts are taken within a bucket and the counts of the buckets before
+are added, so the result is exact.
 """
 
 from __future__ import annotations
@@ -12,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pitloom.session import cut as written
+
 HOT = 2_000_000
+#: Parts of one cut, and how often parts are cut again: room for HOT * 1000 ** 3 values a group.
 MOST_BUCKETS = 1000
+MOST_CUTS = 3
 
 
 def null_safe(a: str, b: str, keys: list[str]) -> Column:
@@ -37,30 +42,30 @@ def bucket_edges(df: DataFrame, keys: list[str], value: str, hot_rows: int = HOT
     picked = df.alias("c").join(hot.alias("h"), null_safe("c", "h", keys)).select(*(F.col(f"c.{k}") for k in keys), F.col(f"c.{value}").cast("double").alias("_v"), "h._parts")
     cut = picked.groupBy(*keys).agg(F.percentile_approx("_v", at, 10_000).alias("_q"), F.max("_parts").alias("_parts"))
     places = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.element_at("_q", F.floor(i * MOST_BUCKETS / F.col("_parts")).cast("int")))
-    return cut.select(*keys, places.alias("_edges"))
+    return written(cut.select(*keys, places.alias("_edges")))  # the edges must be the same wherever they are used
 
 
-def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], hot_rows: int = HOT) -> DataFrame:
+def running(counts: DataFrame, keys: list[str], value: str, sums: list[str], hot_rows: int = HOT, cuts: int = MOST_CUTS) -> DataFrame:
     """``counts`` (one row per keys and value) with before_<c> and all_<c> of each column in ``sums``.
 
     before_<c> adds up c over the smaller values of the group, all_<c> over the whole group. Null keys are a group.
     """
     if not keys:
-        return running(counts.withColumn("_all", F.lit(0)), ["_all"], value, sums, hot_rows).drop("_all")
+        return running(counts.withColumn("_all", F.lit(0)), ["_all"], value, sums, hot_rows, cuts).drop("_all")
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy(*keys)
-    edges = bucket_edges(counts, keys, value, hot_rows)
+    edges = bucket_edges(counts, keys, value, hot_rows) if cuts else None
     if edges is None:
         order = whole.orderBy(value)
         return counts.select("*", *(before(order, c).alias(f"before_{c}") for c in sums), *(F.sum(c).over(whole).alias(f"all_{c}") for c in sums))
     held = counts.alias("c").join(edges.alias("h"), null_safe("c", "h", keys), "left").select("c.*", "h._edges")
-    split = held.withColumn("_bucket", F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))).drop("_edges")
-    buckets = split.groupBy(*keys, "_bucket").agg(*(F.sum(c).alias(f"_b_{c}") for c in sums))
-    offsets = buckets.select(*keys, "_bucket", *(before(whole.orderBy("_bucket"), f"_b_{c}").alias(f"_o_{c}") for c in sums), *(F.sum(f"_b_{c}").over(whole).alias(f"all_{c}") for c in sums))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    ranked = split.select("*", *(before(inner, c).alias(f"_i_{c}") for c in sums))
-    joined = ranked.alias("r").join(offsets.alias("o"), null_safe("r", "o", [*keys, "_bucket"]))
-    return joined.select(*(f"r.{c}" for c in counts.columns), *((F.col(f"r._i_{c}") + F.col(f"o._o_{c}")).alias(f"before_{c}") for c in sums), *(f"o.all_{c}" for c in sums))
+    bucket = f"_bucket{cuts}"
+    split = held.withColumn(bucket, F.when(F.col("_edges").isNull(), 0).otherwise(F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double"))))).drop("_edges")
+    buckets = split.groupBy(*keys, bucket).agg(*(F.sum(c).alias(f"_b_{c}") for c in sums))
+    offsets = buckets.select(*keys, bucket, *(before(whole.orderBy(bucket), f"_b_{c}").alias(f"_o_{c}") for c in sums), *(F.sum(f"_b_{c}").over(whole).alias(f"_w_{c}") for c in sums))
+    ranked = running(split, [*keys, bucket], value, sums, hot_rows, cuts - 1)
+    joined = ranked.alias("r").join(offsets.alias("o"), null_safe("r", "o", [*keys, bucket]))
+    return joined.select(*(f"r.{c}" for c in counts.columns), *((F.col(f"r.before_{c}") + F.col(f"o._o_{c}")).alias(f"before_{c}") for c in sums), *(F.col(f"o._w_{c}").alias(f"all_{c}") for c in sums))
 
 
 def all_small(df: DataFrame, keys: list[str], hot_rows: int = HOT) -> bool:

@@ -43,7 +43,7 @@ def test_far_counts_against_brute_force(spark, hot, sign):
     data = [(s, l, t, rnd.choice([0.0, sign * 1.0, sign * 2.0, sign * 3.0, 50.0, None]) if rnd.random() < 0.6 and rnd.random() < 0.9 else rnd.uniform(-0.1, 30), None) for s in "ab" for l in range(4) for t in ("x", "y", "z") for _ in range(rnd.choice([0, 1, 3, 9]))]
     data += [("a", 9, "lonely", 4.0, None)]
     limits, df = P.Departures(hot_rows=hot), table(spark, data)
-    values = P._long(df, LOW, "source", "load_id", "ticker").where("number IS NOT NULL").select("source", "by", "column", "load", "number")
+    values = P._drawn(df, LOW, "source", "load_id", "ticker")
     hand = far_by_hand(data)
     found = {(r["source"], r["load"]): r["n"] for r in P.far_counts(values, limits).groupBy("source", "load").agg(F.sum("n_far").alias("n")).collect()}
     assert all(found.get(k, 0) == v for k, v in hand.items())
