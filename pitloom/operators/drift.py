@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitloom.operators.ranks import quantiles, running
+from pitloom.operators.ranks import quantiles_of_counts, running
+from pitloom.session import cut
 
 EPS = 1e-6
 
@@ -35,19 +36,26 @@ def long_features(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select("part", F.explode(cells).alias("c")).select("part", "c.*").where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')")
 
 
-def psi(long: DataFrame, bins: int = 10) -> DataFrame:
-    """(feature, psi): population stability index over the reference's quantile bins, outer bins open.
+def counted(long: DataFrame) -> DataFrame:
+    """(feature, x, r, c): how often each value comes in the reference and in the current window; all that the figures need."""
+    side = lambda part: F.sum(F.when(F.col("part") == part, 1).otherwise(0))
+    return long.groupBy("feature", "x").agg(side("ref").alias("r"), side("cur").alias("c"))
+
+
+def psi(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, n_ref, n_cur, psi) of ``counted``: population stability index over the reference's quantile bins, outer bins open.
 
     Bins are closed on the left, equal edges count once, a share below a millionth counts as that. Null with fewer than two
     inner or outer bins or fewer than two values on a side.
     """
     at = [i / bins for i in range(bins + 1)]
-    edges = quantiles(long.where("part = 'ref'"), ["feature"], "x", at).select("feature", F.array_distinct("quantiles").alias("edges"))
+    reference = counts.where("r > 0").select("feature", "x", F.col("r").alias("_n"))
+    edges = quantiles_of_counts(reference, ["feature"], "x", at).select("feature", F.array_distinct("quantiles").alias("edges"))
     x = F.col("x")
     inner = F.slice("edges", 2, F.size("edges") - 2)
-    binned = long.join(edges, "feature").where(F.size("edges") >= 3).select("feature", "part", "edges", F.size(F.filter(inner, lambda e: e <= x)).alias("bin"))
-    sides = binned.groupBy("feature", "bin").agg(F.sum(F.when(F.col("part") == "ref", 1).otherwise(0)).alias("r"), F.sum(F.when(F.col("part") == "cur", 1).otherwise(0)).alias("c"))
-    sizes = long.groupBy("feature").agg(F.sum(F.when(F.col("part") == "ref", 1).otherwise(0)).alias("nr"), F.sum(F.when(F.col("part") == "cur", 1).otherwise(0)).alias("nc"))
+    binned = counts.join(edges, "feature").where(F.size("edges") >= 3).select("feature", "r", "c", F.size(F.filter(inner, lambda e: e <= x)).alias("bin"))
+    sides = binned.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    sizes = counts.groupBy("feature").agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     # the bins of the reference that hold nothing of either side cannot be told from the counts: they add nothing
     share = lambda k, n: F.greatest(F.col(k) / F.col(n), F.lit(EPS))
     r, c = share("r", "nr"), share("c", "nc")
@@ -55,9 +63,8 @@ def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     return sizes.select("feature", F.col("nr").alias("n_ref"), F.col("nc").alias("n_cur")).join(total, "feature", "left")
 
 
-def ks(long: DataFrame) -> DataFrame:
-    """(feature, ks_stat, n_ref, n_cur): largest distance of the two distribution functions; null below two values a side."""
-    counts = long.groupBy("feature", "x").agg(F.sum(F.when(F.col("part") == "ref", 1).otherwise(0)).alias("r"), F.sum(F.when(F.col("part") == "cur", 1).otherwise(0)).alias("c"))
+def ks(counts: DataFrame) -> DataFrame:
+    """(feature, ks_stat, n_ref, n_cur) of ``counted``: largest distance of the two distribution functions; null below two values a side."""
     cum = running(counts, ["feature"], "x", ["r", "c"])
     gap = F.abs(F.try_divide(F.col("before_r") + F.col("r"), F.col("all_r")) - F.try_divide(F.col("before_c") + F.col("c"), F.col("all_c")))
     out = cum.groupBy("feature").agg(F.max(gap).alias("ks_stat"), F.max("all_r").alias("n_ref"), F.max("all_c").alias("n_cur"))
@@ -93,9 +100,11 @@ def drift_report(df: DataFrame, date: str, features: list[str], n_ref: int = 60,
 def drift_of(long: DataFrame, exact_cells: int = 0) -> DataFrame:
     """(feature, n_ref, n_cur, psi, ks_stat, ks_pvalue, status) of each feature of (part, feature, x).
 
-    The p-value is exact where both samples' sizes multiply to ``exact_cells`` at most, else of Kolmogorov's series.
+    The p-value is exact where both samples' sizes multiply to ``exact_cells`` at most, else of Kolmogorov's series. The counts
+    of the values are written once, and all figures are read off them.
     """
-    both = psi(long).join(ks(long).select("feature", "ks_stat"), "feature", "left")
+    counts = cut(counted(long))
+    both = psi(counts).join(ks(counts).select("feature", "ks_stat"), "feature", "left")
     if exact_cells:
         both = both.withColumn("_exact", _exact_p("ks_stat", "n_ref", "n_cur", F.col("n_ref") * F.col("n_cur") <= exact_cells))
     else:

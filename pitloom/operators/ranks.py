@@ -98,6 +98,11 @@ def percentile_ranks(df: DataFrame, keys: list[str], value: str, out: str, hot_r
 def quantiles(df: DataFrame, keys: list[str], value: str, at: list[float], hot_rows: int = HOT) -> DataFrame:
     """(keys..., quantiles, n): exact quantiles of each group by linear interpolation; null values do not count."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return quantiles_of_counts(counts, keys, value, at, hot_rows)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, at: list[float], hot_rows: int = HOT) -> DataFrame:
+    """As quantiles, of (keys..., value, _n): each value once, with how often it comes."""
     r = running(counts, keys, value, ["_n"], hot_rows)
     spots = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("all__n") - 1)).alias("p")) for i, p in enumerate(at)))
     low, high = F.col("before__n"), F.col("before__n") + F.col("_n") - 1

@@ -463,11 +463,11 @@ def _drift_long(spark: SparkSession, base: str) -> DataFrame:
 
 
 def psi(spark: SparkSession, base: str) -> DataFrame:
-    return D.psi(_drift_long(spark, base)).select("feature", "n_ref", "n_cur", *_r("psi"))
+    return D.psi(cut(D.counted(_drift_long(spark, base)))).select("feature", "n_ref", "n_cur", *_r("psi"))
 
 
 def ks_statistic(spark: SparkSession, base: str) -> DataFrame:
-    return D.ks(_drift_long(spark, base)).select("feature", "n_ref", "n_cur", *_r("ks_stat"))
+    return D.ks(cut(D.counted(_drift_long(spark, base)))).select("feature", "n_ref", "n_cur", *_r("ks_stat"))
 
 
 def _drift_whole(spark: SparkSession, base: str) -> DataFrame:
@@ -482,14 +482,14 @@ def _drift_whole(spark: SparkSession, base: str) -> DataFrame:
 
 
 def drift_status(spark: SparkSession, base: str) -> DataFrame:
-    return D.drift_of(cut(_drift_whole(spark, base))).select("feature", "n_ref", "n_cur", *_r("psi", "ks_stat", "ks_pvalue"), "status")
+    return D.drift_of(_drift_whole(spark, base)).select("feature", "n_ref", "n_cur", *_r("psi", "ks_stat", "ks_pvalue"), "status")
 
 
 def drift_exact(spark: SparkSession, base: str) -> DataFrame:
     """As drift_status, of the macro series, whose samples are small enough for exact p-values."""
     dates = D.windows(read(spark, base, "fct_prices_daily").select("trade_date").distinct(), "trade_date", DRIFT_DATES, DRIFT_DATES)
     long = _macro_by_series(spark, base).join(dates, "trade_date").where("value IS NOT NULL").select("part", F.col("series_id").alias("feature"), F.col("value").alias("x"))
-    return D.drift_of(cut(long), exact_cells=10_000).select("feature", "n_ref", "n_cur", *_r("psi", "ks_stat", "ks_pvalue"), "status")
+    return D.drift_of(long, exact_cells=10_000).select("feature", "n_ref", "n_cur", *_r("psi", "ks_stat", "ks_pvalue"), "status")
 
 
 def drift_worst(spark: SparkSession, base: str) -> DataFrame:

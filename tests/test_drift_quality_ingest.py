@@ -15,17 +15,17 @@ def test_drift(spark):
     ref, same, moved = rng.normal(size=2000), rng.normal(size=2000), rng.normal(2, 1, size=2000)
     data = [("ref", "same", x) for x in ref] + [("cur", "same", x) for x in same] + [("ref", "moved", x) for x in ref] + [("cur", "moved", x) for x in moved] + [("ref", "one", 1.0)]
     df = spark.createDataFrame([(a, b, float(x)) for a, b, x in data], "part string, feature string, x double")
-    psi = {r.feature: r.psi for r in D.psi(df).collect()}
+    psi = {r.feature: r.psi for r in D.psi(D.counted(df)).collect()}
     edges = np.quantile(ref, np.linspace(0, 1, 11))[1:-1]
     share = lambda v: np.clip(np.bincount(np.searchsorted(edges, v, side="right"), minlength=10) / len(v), 1e-6, None)
     for name, cur in (("same", same), ("moved", moved)):
         assert math.isclose(psi[name], float(np.sum((share(cur) - share(ref)) * np.log(share(cur) / share(ref)))), rel_tol=1e-9)
     assert psi["one"] is None
-    ks = {r.feature: r for r in D.ks(df).collect()}
+    ks = {r.feature: r for r in D.ks(D.counted(df)).collect()}
     grid = np.sort(np.concatenate([ref, moved]))
     assert math.isclose(ks["moved"].ks_stat, np.abs(np.searchsorted(np.sort(ref), grid, side="right") - np.searchsorted(np.sort(moved), grid, side="right")).max() / 2000)
     assert ks["one"].ks_stat is None
-    p = {r.feature: r.p for r in D.ks(df).withColumn("p", D.ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))).collect()}
+    p = {r.feature: r.p for r in D.ks(D.counted(df)).withColumn("p", D.ks_p_value(F.col("ks_stat"), F.col("n_ref"), F.col("n_cur"))).collect()}
     assert p["moved"] < 1e-6 < p["same"] <= 1 and p["one"] is None
 
 
